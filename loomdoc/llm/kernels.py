@@ -94,6 +94,7 @@ class Words:
     def __init__(self, raw: np.ndarray, off: np.ndarray, sep: np.ndarray, lower: bool = False):
         n = len(raw)
         self.raw = LOWER[raw] if lower else raw
+        self._sums = None
         on = np.zeros(n + 2, dtype=np.int8)
         on[1 : n + 1] = ~sep[raw]
         step = on[1:] - on[:-1]
@@ -108,10 +109,15 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """64 bits for each word, the same for the same bytes wherever they stand."""
+        return self.spans(self.start, self.end)
+
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The hashes of any byte spans."""
         n = len(self.raw)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(BYTES[self.raw] * _pow(MUL, n + 1, "mul")[:n], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * _pow(INV, n + 1, "inv")[self.start] + (self.end - self.start).astype(np.uint64))
+        if self._sums is None:
+            self._sums = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum(BYTES[self.raw] * _pow(MUL, n + 1, "mul")[:n], out=self._sums[1:])
+        return mix((self._sums[end] - self._sums[start]) * _pow(INV, n + 1, "inv")[start] + (end - start).astype(np.uint64))
 
     def rows(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)

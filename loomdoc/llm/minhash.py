@@ -168,3 +168,18 @@ def near_duplicates(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
     out = written(out, "near")
     dropped(sig, reps, met, pairs, links, label, left, more, late)
     return out
+
+
+def deduplicated(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """docs with one document of each group: that of the least doc_id. Rows that repeat a doc_id go too; rows without doc_id stay."""
+    near = near_duplicates(docs, cfg)
+    key = F.col("doc_id").cast("long")
+    gone = written(near.where("not kept").select(F.col("doc_id").alias("gone__")).distinct(), "gone")
+    small = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    out = docs.join(small, key == F.col("gone__"), "left_anti")
+    twice = written(near.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice__")), "twice")
+    n = twice.count()
+    if n:
+        twice = F.broadcast(twice) if n <= BROADCAST_IDS else twice
+        out = out.join(twice, key == F.col("twice__"), "left_anti").unionByName(out.join(twice, key == F.col("twice__"), "left_semi").dropDuplicates(["doc_id"]))
+    return out

@@ -2,19 +2,58 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash
+from . import decontam, htmlmain, license, minhash, packing, quality, substring, tokenbin, tokencount, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a passage of 50 words or more that stands in another document too."""
+    return substring.repeated(_table(spark, sf_dir, "documents"))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), minhash.Config(words=2))
 
 
-QUERIES = {"op2_minhash": op2_minhash}
-ORACLES: dict[str, str] = {}
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cfg = tokenbin.Config(public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenbin.documents_of(spark, tokenbin.write(_table(spark, sf_dir, "documents"), cfg))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(_table(spark, sf_dir, "documents"), tokencount.Config(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), packing.Config(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlmain.main_text(_table(spark, sf_dir, "pages"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_table(spark, sf_dir, "documents"))
+
+
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.licences(_table(spark, sf_dir, "documents").withColumn("path", F.expr(license.PATH_SQL)))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring, op2_minhash, op3_toxicity, op4_token_shards, op5_token_counts, op6_packing, op7_main_text, op8_decontamination, op9_quality, op10_licences)}
+ORACLES = {"op8_decontamination": decontam.oracle(), "op10_licences": license.oracle()}
