@@ -10,9 +10,10 @@ probability 2 * (1 - 0.8 ** 3) ** 12 = 3.7e-4, one of 0.9 with 4.7e-7.
    a class; its least doc_id stands for it, so that copies are never expanded.
 2. Representatives are dealt to tables. In every table each member is paired with the table's first member
    and with the member before it; candidates are confirmed on full sets and joined to components.
-3. What can still link two different components are pairs of one table whose members carry different labels.
-   All of these are confirmed too, so that no candidate of any table is left out, however large it is; a
-   table whose members are already one component, as of a large group of near copies, costs nothing more.
+3. What can still link two different components are pairs of one table whose members carry different labels. The
+   documents of such tables are compared within their half keys of A, which covers all of these pairs, in blocks of
+   bounded size that emit links only, so that no candidate is left out and no pairs are made. A table whose members
+   are already one component, as of a large group of near copies, costs nothing more.
 
 Sets are kept as 64-bit hashes of shingles (word hashes of whole texts), and similarity is tested in whole
 numbers: 100 * intersection >= percent * union.
@@ -48,6 +49,7 @@ class Config:
     half_tables: int = 12
     half_rows: int = 3
     seed: int = 20
+    block: int = 1024
 
 
 def shingle_sets(raw, off, k: int):
@@ -129,9 +131,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, cfg: Config) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id, kept, class_id, n_links.
+    """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id, kept, class_id.
 
-    class_id: the least doc_id with the same set. n_links: confirmed links of the class.
+    class_id: the least doc_id with the same set.
     component_id: the least doc_id that can be reached; kept: whether it is the row's own.
     """
     sig = written(signatures(docs, cfg), "signatures")
@@ -149,27 +151,100 @@ def near_duplicates(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
     links = confirmed(pairs, docs, cfg)
     label = written(components(links), "labels")
 
-    # pairs of one table that carry different labels and were not compared yet
-    big = met.where("not (back is null and next is null)").select("key", "rep", "n")
-    named = big.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label"))
+    # documents of tables that hold more than one label: what may still link two components
+    big = met.where("not (back is null and next is null)").select("key", "rep")
+    named = big.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
     mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2").select("key")
-    left = written(named.join(mixed, "key", "left_semi"), "mixed")
-    other = left.select("key", F.col("rep").alias("v"), F.col("n").alias("m"), F.col("label").alias("label_v"))
-    more = left.join(other, "key").where((F.col("label") > F.col("label_v")) & fits("n", "m")).select(F.greatest("rep", "v").alias("u"), F.least("rep", "v").alias("v")).distinct()
-    more = written(more.join(pairs, ["u", "v"], "left_anti"), "more")
-    late = confirmed(more, docs, cfg)
-    every = links.unionByName(late)
+    open_ = written(named.join(mixed, "key", "left_semi").select("rep", "label").distinct(), "open")
+    late = confirmed(_late_links(open_, reps, docs, cfg), docs, cfg)
     if late.limit(1).count():
-        label = written(components(every), "labels")
+        label = written(components(links.unionByName(late)), "labels")
 
-    degree = every.select("u").unionByName(every.select(F.col("v").alias("u"))).groupBy("u").agg(F.count("*").alias("n_links"))
-    classes = reps.select("n", "h1", "h2", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").join(degree.withColumnRenamed("u", "rep"), "rep", "left").select("n", "h1", "h2", F.col("rep").alias("class_id"), F.coalesce("label", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = sig.select("doc_id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component_id", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    classes = reps.select("n", "h1", "h2", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("n", "h1", "h2", F.col("rep").alias("class_id"), F.coalesce("label", "rep").alias("component_id"))
+    out = sig.select("doc_id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component_id", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"))
     out = written(out, "near")
-    dropped(sig, reps, met, pairs, links, label, left, more, late)
+    dropped(sig, reps, met, pairs, links, label, open_, late)
     return out
 
 
+def _overlaps(sets: list[np.ndarray], size: np.ndarray, label: np.ndarray, split: int, percent: int) -> list[tuple[int, int]]:
+    """One pair for each two labels that some pair of different blocks (before and from split; one block if split is 0) links."""
+    n = len(sets)
+    flat, of = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
+    _, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count > 1
+    column = np.cumsum(shared) - 1
+    keep = shared[inverse]
+    of, column = of[keep], column[inverse[keep]]
+    rows, cols = (slice(0, split), slice(split, n)) if split else (slice(0, n), slice(0, n))
+    both = np.zeros((rows.stop - rows.start, cols.stop - cols.start), np.float32)
+    order = np.argsort(column, kind="stable")
+    of, column = of[order], column[order]
+    for a in range(0, int(shared.sum()), 4096):  # slabs of the shared shingles as 0/1 columns
+        lo, hi = np.searchsorted(column, (a, a + 4096))
+        slab = np.zeros((n, 4096), np.float32)
+        slab[of[lo:hi], column[lo:hi] - a] = 1
+        both += slab[rows] @ slab[cols].T
+    total = size[rows][:, None] + size[cols][None, :]
+    i, j = np.nonzero((100 * both >= percent * (total - both)) & (label[rows][:, None] != label[cols][None, :]))
+    seen: dict[tuple[int, int], tuple[int, int]] = {}
+    for u, v in zip((i + rows.start).tolist(), (j + cols.start).tolist()):
+        seen.setdefault(tuple(sorted((int(label[u]), int(label[v])))), (u, v))
+    return list(seen.values())
+
+
+def _late_links(open_: DataFrame, reps: DataFrame, docs: DataFrame, cfg: Config) -> DataFrame:
+    """(u, v): links between documents of `open_` (rep, label) that carry different labels and share a half key of A.
+
+    Groups of one half key are cut into blocks of cfg.block; each two blocks meet in one group of bounded size, and there
+    all sets are compared at once (a product of 0/1 matrices). Only links leave it, never candidates.
+    """
+    few = written(reps.join(open_, "rep").select("rep", "label", "a"), "few")
+    n = few.count()
+    ids = few.select(F.col("rep").alias("doc_id"))
+    sets = _sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi"), cfg)
+    sets = written(sets.select(F.col("doc_id").alias("rep"), "s").dropDuplicates(["rep"]), "late_sets")
+    rows = few.select("rep", "label", F.explode("a").alias("x"))
+    groups = rows.groupBy("x").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    blocks = F.ceil(F.col("size") / cfg.block).cast("int")
+    placed = rows.join(groups, "x").select("x", "rep", "label", F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("own"), blocks.alias("blocks"))
+    dealt = placed.select("x", "rep", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("x", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "label").join(sets, "rep")
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(batches):
+        held: list[tuple] = []
+
+        def solve():
+            if len({h[5] for h in held}) < 2:
+                return []
+            rep, label = np.array([h[4] for h in held]), np.array([h[5] for h in held])
+            split = sum(h[3] == held[0][1] for h in held) if held[0][1] != held[0][2] else 0
+            if split == len(held):
+                return []
+            found = [h[6] for h in held]
+            return [(max(rep[u], rep[v]), min(rep[u], rep[v])) for u, v in _overlaps(found, np.array([len(f) for f in found]), label, split, cfg.percent)]
+
+        for batch in batches:
+            out = []
+            flat = batch.column("s").flatten().to_numpy()
+            ends = np.concatenate([[0], np.cumsum(batch.column("s").value_lengths().to_numpy(zero_copy_only=False))]).astype(int)
+            for k, key in enumerate(zip(*(batch.column(c).to_pylist() for c in ("x", "i", "j", "own", "rep", "label")))):
+                if held and held[0][:3] != key[:3]:
+                    out += solve()
+                    held = []
+                held.append((*key, flat[ends[k] : ends[k + 1]].copy()))
+            if out:
+                yield arrow_rows(schema, [np.array(c, np.int64) for c in zip(*out)])
+        if held and (out := solve()):
+            yield arrow_rows(schema, [np.array(c, np.int64) for c in zip(*out)])
+
+    links = dealt.repartition("x", "i", "j").sortWithinPartitions("x", "i", "j", "own").select("x", "i", "j", "own", "rep", "label", "s").mapInArrow(run, "u long, v long")
+    links = written(links.distinct(), "late")
+    dropped(few, sets)
+    return links
+
+
 def deduplicated(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
     """docs with one document of each group: that of the least doc_id. Rows that repeat a doc_id go too; rows without doc_id stay."""
     near = near_duplicates(docs, cfg)
