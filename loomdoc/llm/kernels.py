@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 2 << 20
+SLICE = 1 << 19
 _MUL = 0x9E3779B97F4A7C15 | 2  # = 3 modulo 4, so that exchanging two bytes loses one bit at most
 _MASK = (1 << 64) - 1
 
