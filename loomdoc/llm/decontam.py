@@ -13,7 +13,6 @@ one; windows of items without item_id mark words but no item. Extra columns of b
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernels import ALNUM, Words, arrow_rows, slices, windows
+from .kernels import ALNUM, Words, arrow_rows, lean, slices, windows
 
 
 @dataclass(frozen=True)
@@ -105,16 +104,19 @@ def _scan(raw, off, block: dict) -> tuple[Words, np.ndarray, dict[int, set]]:
     return w, np.cumsum(edge[:-1]) > 0, items
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """docs with n_words, spans (array of [begin, end) in words, ascending, apart) and items (sorted strings)."""
+def scan(docs: DataFrame, benchmark: DataFrame, cfg: Config = Config(), then=None) -> DataFrame:
+    """docs with n_words, spans (array of [begin, end) in words, ascending, apart) and items (sorted strings); or, with
+    then, what it makes of each batch of these, with the columns of docs."""
     own = {"n_words": T.LongType(), "spans": T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]), False), "items": T.ArrayType(T.StringType(), False)}
     keep = [f for f in docs.schema if f.name not in own]
     out = docs.select(*[F.col(f"`{f.name}`") for f in keep])
     spans_type = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-    for n, block in enumerate(blocks(benchmark, cfg) or [{}]):
+    every = blocks(benchmark, cfg) or [{}]
+    for n, block in enumerate(every):
+        last = then if n == len(every) - 1 else None
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches, shared=shared, again=n > 0):
+        def run(batches, shared=shared, again=n > 0, last=last):
             for batch in batches:
                 for rows, raw, off in slices(batch):
                     w, hit, items = _scan(raw, off, shared.value)
@@ -136,9 +138,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, cfg: Config = Config()) -> DataF
                             all_spans.append([])
                         all_items.append(sorted(found))
                     cols = [rows.column(f.name) for f in keep] + [pa.array(w.count.astype(np.int64)), pa.array(all_spans, spans_type), pa.array(all_items, pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in keep] + list(own))
+                    found = pa.RecordBatch.from_arrays(cols, names=[f.name for f in keep] + list(own))
+                    yield found if last is None else last(found)
 
-        out = out.mapInArrow(run, T.StructType(keep + [T.StructField(k, t) for k, t in own.items()]))
+        out = out.mapInArrow(lean(run), docs.schema if last is not None else T.StructType(keep + [T.StructField(k, t) for k, t in own.items()]))
     return out
 
 
@@ -152,32 +155,26 @@ def report(docs: DataFrame, benchmark: DataFrame, cfg: Config = Config()) -> Dat
 def cleaned(docs: DataFrame, benchmark: DataFrame, cfg: Config = Config()) -> DataFrame:
     """docs without the hit spans (each becomes one space), and without documents of which at least drop_percent of the words are hit. Texts without hits stay as they are."""
     names = docs.columns
-    found = scan(docs, benchmark, cfg)
-
-    def run(batches):
-        for batch in batches:
-            for rows, raw, off in slices(batch):
-                spans = rows.column("spans").to_pylist()
-                text = rows.column("text")
-                if any(spans):
-                    w = Words(raw, off, ALNUM, lower=True)
-                    new = text.to_pylist()
-                    for i, s in enumerate(spans):
-                        if s:
-                            a, at, parts = w.first[i], off[i], []
-                            for x in s:
-                                parts.append(raw[at : w.start[a + x["begin"]]].tobytes())
-                                at = w.end[a + x["end"] - 1]
-                            new[i] = b" ".join([*parts, raw[at : off[i + 1]].tobytes()]).decode()
-                    text = pa.array(new, text.type)
-                yield pa.RecordBatch.from_arrays([text if k == "text" else rows.column(k) for k in names], names=names)
 
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["begin"])
-    return found.where((F.size("spans") == 0) | (100 * hit < cfg.drop_percent * F.col("n_words"))).mapInArrow(run, docs.schema)
-
-
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+    def cut(batch):
+        spans, n_words = batch.column("spans").to_pylist(), batch.column("n_words").to_pylist()
+        text, keep = batch.column("text"), np.ones(batch.num_rows, bool)
+        if any(spans):
+            new = text.to_pylist()
+            for i, s in enumerate(spans):
+                if s:
+                    keep[i] = 100 * sum(x["end"] - x["begin"] for x in s) < cfg.drop_percent * n_words[i]
+                    raw = np.frombuffer(new[i].encode(), np.uint8)
+                    w, at, parts = Words(raw, np.array([0, len(raw)]), ALNUM, lower=True), 0, []
+                    for x in s:
+                        parts.append(raw[at : w.start[x["begin"]]].tobytes())
+                        at = w.end[x["end"] - 1]
+                    new[i] = b" ".join([*parts, raw[at:].tobytes()]).decode()
+            text = pa.array(new, text.type)
+        out = pa.RecordBatch.from_arrays([text if k == "text" else batch.column(k) for k in names], names=names)
+        return out if keep.all() else out.filter(pa.array(keep))
+
+    return scan(docs, benchmark, cfg, cut)
 
 
 def oracle(words: int = 10) -> str:

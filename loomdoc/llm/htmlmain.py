@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .kernels import lean
 from .scratch import written
 
 BROADCAST_HOSTS = 200_000
@@ -190,7 +191,7 @@ def votes(pages: DataFrame, cfg: Config = Config()) -> DataFrame:
                     out.append((host, page.path[top[0]], int(top[1])))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else ((), (), ()), schema.types)], schema=schema)
 
-    ballots = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path string, chars long")
+    ballots = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(lean(run), "host string, path string, chars long")
     counted = ballots.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
     first = F.max(F.struct("n", "chars")).alias("top")
     top = counted.groupBy("host").agg(first)
@@ -210,4 +211,4 @@ def main_text(pages: DataFrame, cfg: Config = Config()) -> DataFrame:
     winners = written(votes(pages, cfg), "hosts")
     small = F.broadcast(winners) if winners.count() <= BROADCAST_HOSTS else winners
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").withColumn("host", host_of(F.col("url")))
-    return own.join(small, "host", "left").select("page_id", "url", "html", "path").mapInArrow(run, "page_id long, url string, text string, n_chars long, path string")
+    return own.join(small, "host", "left").select("page_id", "url", "html", "path").mapInArrow(lean(run), "page_id long, url string, text string, n_chars long, path string")

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .graph import components
-from .kernels import SPACED, Words, arrow_rows, mix, slices, windows, within
+from .kernels import SPACED, Words, arrow_rows, lean, mix, slices, windows, within
 from .scratch import dropped, written
 
 #: A set of ids up to this size is broadcast (8 bytes each); a larger one is joined by shuffle.
@@ -99,7 +99,7 @@ def signatures(docs: DataFrame, cfg: Config) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(ends, pa.array(flat_keys[n > 0, s : s + m].ravel())) for s in (0, m)]
                 yield arrow_rows(arrow, [rows.column(0).cast(pa.int64()), n, h1.view(np.int64), h2.view(np.int64), *lists])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), schema)
 
 
 def _sets(docs: DataFrame, cfg: Config) -> DataFrame:
@@ -114,7 +114,7 @@ def _sets(docs: DataFrame, cfg: Config) -> DataFrame:
                 flat = np.concatenate(list(sets.values())).view(np.int64) if sets else np.zeros(0, np.int64)
                 yield arrow_rows(arrow, [rows.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, cfg: Config) -> DataFrame:
@@ -239,7 +239,7 @@ def _late_links(open_: DataFrame, reps: DataFrame, docs: DataFrame, cfg: Config)
         if held and (out := solve()):
             yield arrow_rows(schema, [np.array(c, np.int64) for c in zip(*out)])
 
-    links = dealt.repartition("x", "i", "j").sortWithinPartitions("x", "i", "j", "own").select("x", "i", "j", "own", "rep", "label", "s").mapInArrow(run, "u long, v long")
+    links = dealt.repartition("x", "i", "j").sortWithinPartitions("x", "i", "j", "own").select("x", "i", "j", "own", "rep", "label", "s").mapInArrow(lean(run), "u long, v long")
     links = written(links.distinct(), "late")
     dropped(few, sets)
     return links

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .kernels import arrow_rows, slices
+from .kernels import arrow_rows, lean, slices
 from .pieces import byte_level
 from .scratch import written
 
@@ -70,7 +70,7 @@ def encoded(docs: DataFrame, cfg: Config) -> DataFrame:
                 windows += int(full.sum())
                 yield arrow_rows(schema, [rows.column("doc_id"), np.full(len(n), part), n, pa.array(crcs, pa.list_(pa.int64())), before, pa.array(tails, pa.binary()), tail.astype(np.int32), rank])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, part long, n_tokens long, full array<long>, full_before long, tail binary, tail_len int, rank long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, part long, n_tokens long, full array<long>, full_before long, tail binary, tail_len int, rank long")
 
 
 def combinations(window: int) -> np.ndarray:
@@ -209,4 +209,4 @@ def pack(docs: DataFrame, cfg: Config) -> DataFrame:
             doc, start, size, sums, sequence, offset = (np.concatenate(x) for x in zip(*out))
             yield arrow_rows(schema, [batch.column("doc_id").take(pa.array(doc)), start, size, sums, n[doc], sequence, offset])
 
-    return joined.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return joined.mapInArrow(lean(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

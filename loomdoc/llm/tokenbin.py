@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import arrow_rows, mix, slices
+from .kernels import arrow_rows, lean, mix, slices
 from .pieces import byte_level
 from .scratch import new_path
 
@@ -165,7 +165,7 @@ def write(docs: DataFrame, cfg: Config, path: str | None = None) -> list[tuple]:
 
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dealt = (dealt.repartitionByRange(cfg.shards, "doc_id") if cfg.shards else dealt.repartitionByRange("doc_id")).sortWithinPartitions("doc_id", "text")
-    made = sorted(tuple(r) for r in dealt.mapInArrow(run, "shard int, path string, rows long, ids long, low long, high long").collect())
+    made = sorted(tuple(r) for r in dealt.mapInArrow(lean(run), "shard int, path string, rows long, ids long, low long, high long").collect())
     out, before = [], 0
     for _, name, rows, ids, low, high in made:
         out.append((name, before, rows, ids, low, high))
@@ -200,4 +200,4 @@ def documents_of(spark, manifest: list[tuple]) -> DataFrame:
                 shard.close()
 
     rows = spark.createDataFrame([m[:2] for m in manifest], "path string, before long")
-    return rows.repartition(max(1, len(manifest))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard string")
+    return rows.repartition(max(1, len(manifest))).mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long, shard string")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import arrow_rows, slices
+from .kernels import arrow_rows, lean, slices
 from .pieces import piece_counter, points, space_segments, span_hashes
 
 
@@ -63,7 +63,7 @@ def frequent_lengths(docs: DataFrame, cfg: Config) -> tuple[np.ndarray, np.ndarr
         trim(cfg.per_task)
         yield arrow_rows(schema, [keys.view(np.int64), counts, np.array(counter.lengths(names.tolist()), np.int32)])
 
-    table = docs.select("text").mapInArrow(run, "h long, n long, tokens int").groupBy("h", "tokens").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(cfg.frequent).select("h", "tokens").toArrow()
+    table = docs.select("text").mapInArrow(lean(run), "h long, n long, tokens int").groupBy("h", "tokens").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(cfg.frequent).select("h", "tokens").toArrow()
     keys = table["h"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
     return keys[order], table["tokens"].to_numpy()[order].astype(np.int32)
@@ -82,5 +82,5 @@ def token_counts(docs: DataFrame, cfg: Config) -> DataFrame:
                 n = counter.count([t or "" for t in rows.column("text").to_pylist()], keys, sizes)
                 yield arrow_rows(schema, [rows.column("doc_id"), np.diff(off), n])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, n_bytes long, n_tokens long")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > cfg.limit).alias("over_limit"))

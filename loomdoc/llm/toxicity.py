@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import ALNUM, Words, arrow_rows, mix, slices
+from .kernels import ALNUM, Words, arrow_rows, lean, mix, slices
 from .scratch import dropped, written
 
 PREFIXES = (4, 5, 6, 7, 8, 10)
@@ -120,7 +120,7 @@ def _count(sample: DataFrame, keep: np.ndarray | None) -> DataFrame:
                     n = np.bincount(h[u[at]], minlength=len(keep))
                     yield arrow_rows(schema, [keep.view(np.int64)[n > 0], np.zeros(int((n > 0).sum()), np.int64), n[n > 0]])
 
-    return sample.mapInArrow(run, "h long, p long, u long").groupBy("h").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    return sample.mapInArrow(lean(run), "h long, p long, u long").groupBy("h").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
 
 
 def _matrix(sample: DataFrame, keep: np.ndarray):
@@ -133,7 +133,7 @@ def _matrix(sample: DataFrame, keep: np.ndarray):
                 ends = np.searchsorted(at, np.arange(rows.num_rows + 1))
                 yield arrow_rows(schema, [rows.column(0), rows.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(j, pa.int32()))])
 
-    table = sample.mapInArrow(run, "p boolean, u boolean, at array<int>").toArrow().combine_chunks()
+    table = sample.mapInArrow(lean(run), "p boolean, u boolean, at array<int>").toArrow().combine_chunks()
     lists = table["at"].combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
     lens = np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), np.int64)
     return table["p"].to_numpy().astype(bool), table["u"].to_numpy().astype(bool), np.repeat(np.arange(len(lens)), lens), lists.flatten().to_numpy(zero_copy_only=False)
@@ -198,7 +198,7 @@ def score(docs: DataFrame, model: Model, cfg: Config = Config()) -> DataFrame:
                 z = np.bincount(at, weights=weights[j], minlength=rows.num_rows) + intercept
                 yield arrow_rows(schema, [rows.column(0), 1 / (1 + np.exp(-np.clip(z, -40, 40)))])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % cfg.folds == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -215,7 +215,7 @@ def rejecting(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFram
                 z = np.bincount(at, weights=weights[j], minlength=rows.num_rows) + intercept
                 yield rows.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, cfg: Config = Config()) -> DataFrame:
