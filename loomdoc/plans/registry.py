@@ -2,5 +2,439 @@
 
 from __future__ import annotations
 
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..config import DEFAULT, RetrievalConfig
+from ..functions import text as T
+from ..operators import chunking, ner, retrieval, store, tables, tree, vector
+from ..sources import readers
+from ..streaming import ingest
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark, d):
+    return _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("source_id"), F.col("lang").alias("language"), F.col("n_chars").alias("char_count"))
+
+
+def _points(spark, d):
+    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+
+
+def _vector(spark, d, i=0):
+    return [float(x) for x in _points(spark, d).where(F.col("id") == i).select("embedding").first()[0]]
+
+
+# --- vectors
+
+DOT = "round(list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: e.embedding[i]::DOUBLE * q.embedding[i]::DOUBLE)), 6)"
+
+
+@query(f"SELECT e.vec_id AS id, {DOT} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, id LIMIT 5")
+def vector_topk(spark, d):
+    return vector.top_k(_points(spark, d), _vector(spark, d), 5).select("id", "score")
+
+
+@query(f"""SELECT e.vec_id AS id, {DOT} AS score, d.source AS source_id FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
+WHERE d.lang = 'en' AND d.n_chars BETWEEN 300 AND 4000 AND {DOT} >= 0.1 ORDER BY score DESC, id LIMIT 5""")
+def vector_topk_filtered(spark, d):
+    both = _points(spark, d).join(_docs(spark, d), "id")
+    return vector.top_k(both, _vector(spark, d), 5, vector.payload_filter(language="en", min_chars=300, max_chars=4000), 0.1).select("id", "score", "source_id")
+
+
+@query(f"""SELECT query_id, rank, id, score FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, {DOT} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {DOT} DESC, e.vec_id) AS rank
+FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0) q) WHERE rank <= 5""")
+def vector_topk_per_query(spark, d):
+    p = _points(spark, d)
+    return vector.top_k_per_query(p, p.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query")), 5).select("query_id", "rank", "id", "score")
+
+
+@query("SELECT vec_id AS id, round(sqrt(list_sum(list_transform(embedding, lambda x: (3 * x::DOUBLE) ** 2))) / 3, 4) AS norm, 1.0::DOUBLE AS after FROM embeddings")
+def vector_normalize(spark, d):
+    p = _points(spark, d).withColumn("big", F.transform("embedding", lambda x: 3 * x.cast("double")))
+    n = vector.normalized(F.col("big"))
+    return p.select("id", F.round(F.sqrt(vector.dot(F.col("big"), F.col("big"))) / 3, 4).alias("norm"), F.round(F.sqrt(vector.dot(n, n)), 6).alias("after"))
+
+
+@query("SELECT DISTINCT source AS source_id FROM documents")
+def point_sources(spark, d):
+    return _docs(spark, d).select("source_id").distinct().orderBy("source_id")
+
+
+@query("SELECT label AS collection, count(*) AS points, max(len(embedding)) AS vector_size FROM embeddings GROUP BY label")
+def collection_stats(spark, d):
+    return _points(spark, d).groupBy(F.col("label").alias("collection")).agg(F.count("*").alias("points"), F.max(F.size("embedding")).cast("long").alias("vector_size"))
+
+
+@query("SELECT doc_id AS id FROM documents WHERE source = 'src3' AND lang = 'en' AND n_chars >= 500 AND n_chars <= 3000 AND contains(text, 'The')")
+def payload_filter(spark, d):
+    return _docs(spark, d).where(vector.payload_filter(source_id="src3", language="en", min_chars=500, max_chars=3000, custom=[F.col("text").contains("The")])).select("id")
+
+
+@query("SELECT doc_id AS id FROM documents WHERE source = 'src7' AND n_chars = (SELECT max(n_chars) FROM documents WHERE source = 'src7')")
+def kv_filter(spark, d):
+    docs = _docs(spark, d)
+    most = docs.where("source_id = 'src7'").agg(F.max("char_count")).first()[0]
+    return docs.where(vector.key_value_filter("source_id = src7", docs.columns)).where(vector.key_value_filter(f"char_count={most}", docs.columns)).select("id")
+
+
+# --- text
+
+SQUEEZE = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+CLEAN = SQUEEZE.format("regexp_replace(regexp_replace(" + SQUEEZE.format("text") + ", '\\.{3,}', ' ', 'g'), '(\\.\\s){3,}', ' ', 'g')")
+WORDS = "list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')"
+
+
+@query(f"SELECT doc_id AS id, sha256({CLEAN}) AS digest FROM documents")
+def clean_text(spark, d):
+    return _docs(spark, d).select("id", F.sha2(T.clean(F.col("text")), 256).alias("digest"))
+
+
+@query("SELECT doc_id AS id, sha256(text)[1:16] AS document_hash, sha256(concat(source, ':', text))[1:16] AS chunk_hash FROM documents")
+def document_hashes(spark, d):
+    return _docs(spark, d).select("id", T.hash16(F.col("text")).alias("document_hash"), T.chunk_key(F.col("source_id"), F.col("text")).alias("chunk_hash"))
+
+
+@query(f"""SELECT doc_id AS id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS chunk_index, count(*) OVER (PARTITION BY source) AS total_chunks, length(text) AS char_count, len({WORDS}) AS word_count FROM documents""")
+def doc_format(spark, d):
+    rows = chunking.formatted(_docs(spark, d).withColumn("pos", F.col("id")))
+    return rows.select("id", F.col("chunk_index").cast("long").alias("chunk_index"), "total_chunks", F.col("char_count").cast("long").alias("char_count"), F.col("word_count").cast("long").alias("word_count"))
+
+
+@query("SELECT doc_id AS id FROM documents WHERE length(text) >= 300")
+def filter_short(spark, d):
+    return _docs(spark, d).where(F.length("text") >= DEFAULT.min_chars).select("id")
+
+
+@query(f"SELECT doc_id AS id FROM documents WHERE len({WORDS}) >= 20 AND len(list_filter({WORDS}, lambda w: regexp_full_match(w, '\\pL+'))) / greatest(len({WORDS}), 1) >= 0.3")
+def filter_low_signal(spark, d):
+    return _docs(spark, d).where(~T.low_signal(F.col("text"))).select("id")
+
+
+SENTENCES = "string_split(regexp_replace(text, '([.!?。！？।])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+
+
+@query(f"SELECT doc_id AS id, len({SENTENCES}) AS n, sha256(array_to_string({SENTENCES}, '|')) AS digest FROM documents")
+def sentence_split(spark, d):
+    s = chunking.sentences(F.col("text"))
+    return _docs(spark, d).select("id", F.size(s).cast("long").alias("n"), F.sha2(F.array_join(s, "|"), 256).alias("digest"))
+
+
+def _pack_sql(items: str, size: int, overlap: int) -> str:
+    lead = f"concat(CASE WHEN length(st.now) > {overlap} THEN right(st.now, {overlap}) ELSE st.now END, ' ', s)" if overlap else "s"
+    return f"""WITH RECURSIVE parts AS (SELECT doc_id, {items} AS ss FROM documents),
+fold(doc_id, i, now, done) AS (SELECT doc_id, 0::BIGINT, '', []::VARCHAR[] FROM parts UNION ALL
+ SELECT st.doc_id, st.i + 1, CASE WHEN st.now = '' THEN s WHEN length(st.now) + length(s) + 1 <= {size} THEN concat(st.now, ' ', s) ELSE {lead} END,
+        CASE WHEN st.now = '' OR length(st.now) + length(s) + 1 <= {size} THEN st.done ELSE list_append(st.done, st.now) END
+ FROM (SELECT f.*, p.ss[f.i + 1] AS s, len(p.ss) AS n FROM fold f JOIN parts p USING (doc_id)) st WHERE st.i < st.n)
+SELECT f.doc_id AS id, len(x) AS n, sha256(array_to_string(x, '|')) AS digest FROM (SELECT f.doc_id, CASE WHEN f.now = '' THEN f.done ELSE list_append(f.done, f.now) END AS x FROM fold f JOIN parts p USING (doc_id) WHERE f.i = len(p.ss)) f"""
+
+
+@query(_pack_sql(SENTENCES, 400, 50))
+def sentence_pack(spark, d):
+    p = chunking.packed(chunking.sentences(F.col("text")), 400, 50)
+    return _docs(spark, d).select("id", p.alias("p")).select("id", F.size("p").cast("long").alias("n"), F.sha2(F.array_join("p", "|"), 256).alias("digest"))
+
+
+@query(_pack_sql(f"CASE WHEN doc_id % 4 = 0 THEN {WORDS}[1:400] ELSE []::VARCHAR[] END", 120, 0))
+def hard_split_words(spark, d):
+    cut = F.when(F.col("id") % 4 == 0, F.slice(T.words(F.col("text")), 1, 400)).otherwise(F.array().cast("array<string>"))
+    p = chunking.packed(cut, 120, 0)
+    return _docs(spark, d).select("id", p.alias("p")).select("id", F.size("p").cast("long").alias("n"), F.sha2(F.array_join("p", "|"), 256).alias("digest"))
+
+
+@query("""WITH e AS (SELECT conv_id AS doc_id, turn AS pos, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t, role = 'user' AND length(text) >= 5 AS header FROM conversations),
+s AS (SELECT *, sum(header::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM e)
+SELECT doc_id, section, count(*) AS parts, string_agg(t, ' ' ORDER BY pos) AS text, bool_or(header) AS opened FROM s GROUP BY doc_id, section""")
+def running_sections(spark, d):
+    rows = _t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), T.squeeze(F.col("text")).alias("t"), ((F.col("role") == "user") & (F.length("text") >= 5)).alias("header"))
+    rows = rows.withColumn("section", F.sum(F.col("header").cast("int")).over(Window.partitionBy("doc_id").orderBy("pos")))
+    return rows.groupBy("doc_id", "section").agg(F.count("*").alias("parts"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]), " ").alias("text"), F.bool_or("header").alias("opened"))
+
+
+@query()
+def section_chunks(spark, d):
+    rows = _t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), "text", F.when(F.col("role") == "user", "Title").otherwise("NarrativeText").alias("category"))
+    return chunking.section_chunks(rows)
+
+
+@query()
+def chunk_documents(spark, d):
+    """The whole way from elements to numbered chunks."""
+    rows = _docs(spark, d).select(F.col("id").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("pos", "text")).withColumn("category", F.lit("NarrativeText"))
+    return chunking.chunked(rows)
+
+
+@query()
+def merge_small(spark, d):
+    rows = _docs(spark, d).select("id", F.transform(F.split("text", "\n"), lambda t: F.struct(F.lit("t").alias("title"), t.alias("text"))).alias("c"))
+    return rows.select("id", F.posexplode(chunking.merge_small(F.col("c"), 200, 600)).alias("pos", "chunk")).select("id", "pos", "chunk.text")
+
+
+# --- entities
+
+def _ner_sql(name: str, where: str = "true") -> str:
+    p = ner.pattern(name).replace("'", "''")
+    return f"SELECT doc_id AS id, len(x) AS n, array_to_string(x, '|') AS found FROM (SELECT doc_id, regexp_extract_all(text, '(?im){p}') AS x FROM documents WHERE {where}) WHERE len(x) > 0"
+
+
+def _ner(spark, d, name):
+    m = ner.matches(F.col("text"), ner.pattern(name), ner.NEEDED.get(name))
+    return _docs(spark, d).select("id", m.alias("m")).where(F.size("m") > 0).select("id", F.size("m").cast("long").alias("n"), F.array_join("m", "|").alias("found"))
+
+
+@query(_ner_sql("email"))
+def ner_email(spark, d):
+    return _ner(spark, d, "email")
+
+
+@query(_ner_sql("phone"))
+def ner_phone(spark, d):
+    return _ner(spark, d, "phone")
+
+
+@query(_ner_sql("org_with_suffix"))
+def ner_org(spark, d):
+    return _ner(spark, d, "org_with_suffix")
+
+
+@query(_ner_sql("percentage"))
+def ner_percentage(spark, d):
+    return _ner(spark, d, "percentage")
+
+
+@query("""WITH m AS (SELECT doc_id, regexp_extract_all(text, '(?im)\\d{3}[-.\\s]?\\d{3}[-.\\s]?\\d{4}') AS x, regexp_split_to_array(text, '(?im)\\d{3}[-.\\s]?\\d{3}[-.\\s]?\\d{4}') AS g FROM documents)
+SELECT doc_id AS id, i - 1 AS k, x[i] AS found, (coalesce(list_sum(list_transform(g[1:i], lambda t: length(t))), 0) + coalesce(list_sum(list_transform(x[1:i-1], lambda t: length(t))), 0))::BIGINT AS begin FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM m)""")
+def ner_spans(spark, d):
+    s = ner.spans(F.col("text"), r"\d{3}[-.\s]?\d{3}[-.\s]?\d{4}")
+    return _docs(spark, d).select("id", F.posexplode(s).alias("k", "s")).select("id", F.col("k").cast("long").alias("k"), F.col("s.text").alias("found"), F.col("s.begin").cast("long").alias("begin"))
+
+
+@query()
+def ner_extract(spark, d):
+    return ner.extract(_t(spark, d, "documents").select("doc_id", "text"))
+
+
+def _customers(spark, d):
+    return _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("ord"), F.lit("customer").alias("type"), F.col("c_name").alias("canonical_name"), F.col("c_mktsegment").alias("scope"), F.col("c_nationkey").alias("source_id"), F.round(F.abs("c_acctbal") / 10000, 4).alias("confidence"))
+
+
+def _orders(spark, d):
+    return _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit("ordered").alias("type"), F.col("o_custkey").alias("source_entity_id"), (F.col("o_orderkey") % 97).alias("target_entity_id"))
+
+
+@query("""SELECT lower(c_mktsegment) AS name, min(c_custkey) AS id, arg_min(c_name, c_custkey) AS first_name, max(round(abs(c_acctbal) / 10000, 4)) AS confidence, min(nullif(c_nationkey, 0)) IS NOT NULL AS paged, count(*) AS n FROM customer GROUP BY 1""")
+def entity_groups(spark, d):
+    e = _t(spark, d, "customer")
+    return e.groupBy(F.lower("c_mktsegment").alias("name")).agg(F.min("c_custkey").alias("id"), F.min_by("c_name", "c_custkey").alias("first_name"), F.max(F.round(F.abs("c_acctbal") / 10000, 4)).alias("confidence"), F.min(F.nullif(F.col("c_nationkey"), F.lit(0))).isNotNull().alias("paged"), F.count("*").alias("n"))
+
+
+@query("""WITH e AS (SELECT p_partkey AS ord, p_brand AS name, p_type, p_size FROM part),
+a AS (SELECT name, min(ord) AS id, arg_min(nullif(p_size, 1), ord) FILTER (p_size <> 1) AS page, arg_max(p_type, ord) AS attr FROM e GROUP BY name)
+SELECT id, name AS canonical_name, coalesce(page, 0) AS page, attr FROM a""")
+def entity_merge(spark, d):
+    e = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("ord"), F.lit("part").alias("type"), F.col("p_brand").alias("canonical_name"), F.array(F.col("p_brand")).alias("aliases"), F.create_map(F.lit("type"), F.col("p_type")).alias("attributes"), F.when(F.col("p_size") == 1, 0).otherwise(F.col("p_size")).alias("page"), F.lit("").alias("scope"), F.lit(0.9).alias("confidence"))
+    return store.merge(e).select("id", "canonical_name", "page", F.col("attributes")["type"].alias("attr"))
+
+
+@query("SELECT p_partkey AS id, p_name AS canonical_name FROM part WHERE p_name ILIKE '%a%' AND p_brand ILIKE '%Brand#1%' ORDER BY p_retailprice DESC, p_partkey LIMIT 20")
+def entity_search(spark, d):
+    e = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lit("part").alias("type"), F.col("p_name").alias("canonical_name"), F.col("p_brand").alias("scope"), F.col("p_retailprice").alias("confidence"))
+    return store.search(e, "A", "part", "brand#1", limit=20).select("id", "canonical_name")
+
+
+@query("""SELECT id, c_name AS canonical_name, fresh FROM (SELECT c_custkey AS id, c_name, false AS fresh FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)
+UNION ALL SELECT s_suppkey AS id, s_name, true FROM supplier)""")
+def entity_upsert(spark, d):
+    old = _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("canonical_name"), F.lit(False).alias("fresh"))
+    new = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("canonical_name"), F.lit(True).alias("fresh"), F.col("s_suppkey").alias("ord"))
+    twice = new.withColumn("ord", F.col("ord") - 1).withColumn("canonical_name", F.lit("older")).unionByName(new)
+    return store.upsert(old, twice)
+
+
+@query("""WITH gone AS (SELECT c_custkey AS id FROM customer WHERE c_nationkey = 3)
+SELECT 'entity' AS kind, c_custkey AS id FROM customer WHERE c_nationkey <> 3
+UNION ALL SELECT 'relation', o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT id FROM gone) AND o_orderkey % 97 NOT IN (SELECT id FROM gone)""")
+def entity_delete_cascade(spark, d):
+    e, r = store.delete_by_source(_customers(spark, d), _orders(spark, d), 3)
+    return e.select(F.lit("entity").alias("kind"), "id").unionByName(r.select(F.lit("relation").alias("kind"), "id"))
+
+
+for _direction, _cond in (("outgoing", "o_custkey = 7"), ("incoming", "o_orderkey % 97 = 7"), ("both", "o_custkey = 7 OR o_orderkey % 97 = 7")):
+
+    def _relations(spark, d, _direction=_direction):
+        return store.relations_of(_orders(spark, d), 7, _direction).select("id", "source_entity_id", "target_entity_id")
+
+    QUERIES[f"relations_{_direction}"] = _relations
+    ORACLES[f"relations_{_direction}"] = f"SELECT o_orderkey AS id, o_custkey AS source_entity_id, o_orderkey % 97 AS target_entity_id FROM orders WHERE {_cond}"
+
+
+@query("""WITH s AS (SELECT DISTINCT c_mktsegment AS scope FROM customer)
+SELECT c_custkey AS source_entity_id, sha256(concat('scope:', c_mktsegment))[1:16] AS target_entity_id, concat(c_name, ' in ', c_mktsegment) AS evidence FROM customer JOIN s ON s.scope = c_mktsegment WHERE c_mktsegment <> ''""")
+def relations_belongs_to(spark, d):
+    edges, _ = store.scope_relations(_customers(spark, d).withColumn("id", F.col("id").cast("string")))
+    return edges.select(F.col("source_entity_id").cast("long").alias("source_entity_id"), "target_entity_id", "evidence")
+
+
+@query("""SELECT 'entity' AS kind, NULL AS type, NULL AS scope, count(*) AS n FROM customer UNION ALL SELECT 'entity', 'customer', NULL, count(*) FROM customer
+UNION ALL SELECT 'entity', NULL, c_mktsegment, count(*) FROM customer WHERE c_mktsegment <> '' GROUP BY c_mktsegment
+UNION ALL SELECT 'relation', NULL, NULL, count(*) FROM orders UNION ALL SELECT 'relation', 'ordered', NULL, count(*) FROM orders""")
+def store_stats(spark, d):
+    return store.stats(_customers(spark, d), _orders(spark, d))
+
+
+@query("SELECT type, canonical_name, source FROM (SELECT 'nation' AS type, n_name AS canonical_name, 'table' AS source FROM nation UNION ALL SELECT 'region', r_name, 'text' FROM region)")
+def union_entities(spark, d):
+    a = _t(spark, d, "nation").select(F.lit("nation").alias("type"), F.col("n_name").alias("canonical_name"), F.lit("table").alias("source"))
+    return a.unionByName(_t(spark, d, "region").select(F.lit("region").alias("type"), F.col("r_name").alias("canonical_name"), F.lit("text").alias("source")))
+
+
+@query("SELECT c_nationkey AS id, array_to_string(list_sort(list_distinct(list(c_mktsegment))), ',') AS aliases FROM customer GROUP BY c_nationkey")
+def distinct_aliases(spark, d):
+    return _t(spark, d, "customer").groupBy(F.col("c_nationkey").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("c_mktsegment")), ",").alias("aliases"))
+
+
+# --- windows, tables, trees
+
+@query("""SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN concat('S', event_id) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS scope FROM events""")
+def scope_ffill(spark, d):
+    by = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return _t(spark, d, "events").select("event_id", F.last(F.when(F.col("event_type") == "signup", F.concat(F.lit("S"), F.col("event_id").cast("string"))), True).over(by).alias("scope"))
+
+
+@query("""WITH p AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, value > 50 AS flag FROM events),
+i AS (SELECT *, pos - row_number() OVER (PARTITION BY user_id, flag ORDER BY pos) AS isle FROM p)
+SELECT user_id, min(pos) AS first, max(pos) + 1 AS after FROM i WHERE flag GROUP BY user_id, isle HAVING count(*) >= 2""")
+def table_regions(spark, d):
+    e = _t(spark, d, "events").withColumn("pos", (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("long")).withColumn("flag", F.col("value") > 50)
+    return tables.regions(e, ["user_id"], "flag", "pos", 2)
+
+
+CELLS = "(0,'Course Code',10,0),(0,'Course Title',100,0),(0,'Credits',300,2),(0,'U18ECT3101',10,20),(0,'Digital Signal Processing',100,21),(0,'4',305,20),(0,'U18ECT3102',10,40),(0,'Control Systems',100,47),(0,'3',300,56),(0,'plain paragraph',10,90)"
+
+
+def _cells(spark):
+    return spark.sql(f"SELECT 1L AS doc_id, page, text, cast(x AS double) AS x0, cast(y AS double) AS y0, cast(x + 50 AS double) AS x1, cast(y + 10 AS double) AS y1 FROM VALUES {CELLS} AS t(page, text, x, y)")
+
+
+@query("SELECT * FROM (VALUES ('Course Code',0),('Course Title',0),('Credits',0),('U18ECT3101',1),('4',1),('Digital Signal Processing',1),('U18ECT3102',2),('Control Systems',2),('3',3),('plain paragraph',4)) t(text, row_index)")
+def row_groups(spark, d):
+    return tables.grouped_rows(_cells(spark)).select("text", "row_index")
+
+
+@query("SELECT * FROM (VALUES ('Course Code',0),('Course Title',1),('Credits',2),('U18ECT3101',0),('Digital Signal Processing',1),('4',2),('U18ECT3102',0),('Control Systems',1),('3',2),('plain paragraph',0)) t(text, col)")
+def column_assign(spark, d):
+    cells = _cells(spark)
+    bounds = cells.groupBy("doc_id", "page").agg(tables.boundaries(F.collect_list("x0"), 20.0).alias("bounds"))
+    return cells.join(bounds, ["doc_id", "page"]).select("text", tables.column_of(F.col("x0"), F.col("bounds"), 10.0).alias("col"))
+
+
+@query("SELECT page_id AS doc_id, count(*) AS n, sum(length(t)) AS chars FROM (SELECT page_id, unnest(regexp_extract_all(html, '<title>(.*?)</title>', 1)) AS t FROM pages) GROUP BY page_id".replace("sum(length(t))", "count(*)"))
+def html_titles(spark, d):
+    e = readers.html_elements(_t(spark, d, "pages").select(F.col("page_id").alias("doc_id"), "html")).where("pos = 0 AND category = 'Title'")
+    return e.groupBy("doc_id").agg(F.count("*").alias("n"), F.count("*").alias("chars"))
+
+
+@query()
+def html_elements(spark, d):
+    return readers.without_categories(readers.html_elements(_t(spark, d, "pages").select(F.col("page_id").alias("doc_id"), "html")))
+
+
+TREE = """SELECT concat('r', r_regionkey) AS id, NULL AS parent FROM region UNION ALL SELECT concat('n', n_nationkey), concat('r', n_regionkey) FROM nation UNION ALL SELECT concat('c', c_custkey), concat('n', c_nationkey) FROM customer"""
+
+
+def _tree(spark, d):
+    for name in ("region", "nation", "customer"):
+        _t(spark, d, name).createOrReplaceTempView(f"tree_{name}__")
+    sql = TREE
+    for name in ("region", "nation", "customer"):
+        sql = sql.replace(f"FROM {name}", f"FROM tree_{name}__")
+    return spark.sql(sql.replace("NULL AS parent", "cast(NULL AS string) AS parent"))
+
+
+@query(f"WITH RECURSIVE t AS ({TREE}), walk AS (SELECT id, 0 AS depth, id AS path FROM t WHERE parent IS NULL UNION ALL SELECT t.id, depth + 1, concat(path, '/', t.id) FROM t JOIN walk ON t.parent = walk.id) SELECT id, depth, path FROM walk")
+def tree_depth(spark, d):
+    return tree.depths(_tree(spark, d))
+
+
+LEVELS = "SELECT conv_id AS doc_id, turn AS pos, role = 'user' AS header, turn % 3 + 1 AS level FROM conversations"
+
+
+@query(f"""WITH n AS ({LEVELS}) SELECT doc_id, pos, (SELECT max(p.pos) FROM n p WHERE p.doc_id = n.doc_id AND p.pos < n.pos AND p.header AND (NOT n.header OR p.level < n.level)) AS parent FROM n""")
+def tree_parent(spark, d):
+    n = _t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), (F.col("role") == "user").alias("header"), (F.col("turn") % 3 + 1).alias("level"))
+    return tree.parents(n).select("doc_id", "pos", "parent")
+
+
+@query("""SELECT conv_id AS doc_id, count(*) AS nodes, count(*) FILTER (role = 'user') AS sections, count(*) FILTER (role <> 'user') AS paragraphs,
+(sum(length(text)) + greatest(count(*) FILTER (text <> '') - 1, 0))::BIGINT AS chars FROM conversations GROUP BY conv_id""")
+def tree_stats(spark, d):
+    return tree.stats(_t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.when(F.col("role") == "user", "section").otherwise("paragraph").alias("type"), "text"))
+
+
+@query("SELECT conv_id AS doc_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations WHERE text <> '' GROUP BY conv_id")
+def tree_text(spark, d):
+    rows = _t(spark, d, "conversations").where("text <> ''")
+    return rows.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("text"))
+
+
+# --- retrieval
+
+def _ranked(spark, d):
+    return _t(spark, d, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").alias("rank"), "text")
+
+
+@query("SELECT query_id, rank FROM (SELECT source AS query_id, doc_id AS rank, sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id) AS used FROM documents) WHERE used <= 8000")
+def context_budget(spark, d):
+    return retrieval.within_budget(_ranked(spark, d), 8000).select("query_id", "rank")
+
+
+@query("""WITH u AS (SELECT source AS query_id, doc_id AS rank, text, sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id) AS used FROM documents),
+o AS (SELECT *, sum((used > 8000)::INT) OVER (PARTITION BY query_id ORDER BY rank) AS over FROM u)
+SELECT query_id, rank, CASE WHEN over = 1 THEN concat(substring(text, 1, (8000 - (used - length(text)))::BIGINT), '...') ELSE text END AS text FROM o WHERE over = 0 OR over = 1 AND 8000 - (used - length(text)) > 100""")
+def context_truncate(spark, d):
+    return retrieval.within_budget(_ranked(spark, d), 8000, truncate=True).select("query_id", "rank", "text")
+
+
+STOPS = ", ".join(f"'{w}'" for w in RetrievalConfig().stop_words)
+TERMS = f"list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: length(w) > 3 AND w NOT IN ({STOPS}))[1:3]"
+
+
+@query(f"SELECT conv_id, turn, array_to_string({TERMS}, ' ') AS terms, " + " OR ".join(f"contains(lower(text), '{w}')" for w in RetrievalConfig().listing_words) + " AS listing FROM conversations WHERE role = 'user'")
+def query_terms(spark, d):
+    q = _t(spark, d, "conversations").where("role = 'user'")
+    return q.select("conv_id", "turn", F.array_join(retrieval.query_terms(F.col("text")), " ").alias("terms"), retrieval.is_listing(F.col("text")).alias("listing"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN concat('No context was found.', chr(10), chr(10), 'Question: ', text) ELSE concat('Context:', chr(10), role, chr(10), chr(10), 'Question: ', text) END AS prompt FROM conversations")
+def rag_prompt(spark, d):
+    q = _t(spark, d, "conversations")
+    return q.select("conv_id", "turn", retrieval.prompt(F.when(F.col("turn") % 2 == 1, F.col("role")), F.col("text")).alias("prompt"))
+
+
+@query("SELECT source AS source_id, count(*) AS n FROM documents GROUP BY source")
+def stream_ingest(spark, d):
+    """Streams the documents into a table partitioned by source, then counts what stands there."""
+    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loomdoc-")).rstrip("/") + f"/stream-{abs(hash((d, id(spark))))}-{spark.sql('select uuid()').first()[0]}"
+    schema = _t(spark, d, "documents").schema
+    made = ingest.ingest(spark, d, schema, f"{base}/table", f"{base}/log", lambda s: s.select("doc_id", "text", F.col("source").alias("source_id")), glob="documents.parquet")
+    return made.groupBy("source_id").agg(F.count("*").alias("n"))
