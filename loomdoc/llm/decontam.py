@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernels import ALNUM, Words, arrow_rows, lean, slices, windows
+from .kernels import ALNUM, Words, lean, slices, windows
 
 
 @dataclass(frozen=True)
@@ -107,7 +107,8 @@ def _scan(raw, off, block: dict) -> tuple[Words, np.ndarray, dict[int, set]]:
 def scan(docs: DataFrame, benchmark: DataFrame, cfg: Config = Config(), then=None) -> DataFrame:
     """docs with n_words, spans (array of [begin, end) in words, ascending, apart) and items (sorted strings); or, with
     then, what it makes of each batch of these, with the columns of docs."""
-    own = {"n_words": T.LongType(), "spans": T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]), False), "items": T.ArrayType(T.StringType(), False)}
+    mark = "" if then is None else "found__"  # then keeps columns of docs that are called alike
+    own = {f"{mark}n_words": T.LongType(), f"{mark}spans": T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]), False), f"{mark}items": T.ArrayType(T.StringType(), False)}
     keep = [f for f in docs.schema if f.name not in own]
     out = docs.select(*[F.col(f"`{f.name}`") for f in keep])
     spans_type = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
@@ -125,12 +126,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, cfg: Config = Config(), then=Non
                     for i in range(rows.num_rows):
                         own_hit = hit[w.first[i] : w.first[i + 1]]
                         found = items.get(i, set())
-                        if again and before[i]["spans"]:
+                        if again and before[i][mark + "spans"]:
                             own_hit = own_hit.copy()
-                            for s in before[i]["spans"]:
+                            for s in before[i][mark + "spans"]:
                                 own_hit[s["begin"] : s["end"]] = True
                         if again:
-                            found = found | set(before[i]["items"])
+                            found = found | set(before[i][mark + "items"])
                         if own_hit.any():
                             step = np.diff(np.concatenate([[0], own_hit.astype(np.int8), [0]]))
                             all_spans.append([{"begin": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1))])
@@ -157,7 +158,7 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, cfg: Config = Config()) -> Da
     names = docs.columns
 
     def cut(batch):
-        spans, n_words = batch.column("spans").to_pylist(), batch.column("n_words").to_pylist()
+        spans, n_words = batch.column("found__spans").to_pylist(), batch.column("found__n_words").to_pylist()
         text, keep = batch.column("text"), np.ones(batch.num_rows, bool)
         if any(spans):
             new = text.to_pylist()

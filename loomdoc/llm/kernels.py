@@ -142,18 +142,6 @@ def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out + np.uint64(k))
 
 
-def within(first: np.ndarray, total: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the windows() lie within one row, and the number of each row."""
-    count = np.diff(first)
-    each = np.maximum(count - k + 1, 0)
-    n = max(0, total - k + 1)
-    ok = np.zeros(n + 1, dtype=np.int32)
-    some = each > 0
-    np.add.at(ok, first[:-1][some], 1)
-    np.add.at(ok, first[:-1][some] + each[some], -1)
-    return np.cumsum(ok[:n]) > 0, each
-
-
 @functools.cache
 def _trim():
     try:
