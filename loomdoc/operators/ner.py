@@ -69,19 +69,33 @@ def spans(c: Column, regex: str) -> Column:
 SPAN = "array<struct<type:string,text:string,begin:int,end:int,pattern:string,confidence:double>>"
 
 
+LETTER_RUN = re.compile(r"[A-Za-z\s]{2,}", re.I)
+SUFFIX = re.compile(NEEDED["org_with_suffix"])
+
+
+def _found(name: str, regex: re.Pattern, text: str):
+    """regex.finditer(text); that of organisations is only tried in runs of letters that hold a suffix, as any other run fails from each of its letters anew."""
+    if name != "org_with_suffix":
+        yield from regex.finditer(text)
+    elif SUFFIX.search(text):
+        for run in LETTER_RUN.finditer(text):
+            if SUFFIX.search(text, run.start(), run.end()):
+                yield from regex.finditer(text, run.start(), run.end() + 1)
+
+
 def _accepted(text: str, compiled: list[tuple], least: int) -> list[dict]:
-    taken: list[tuple[int, int]] = []
+    taken = bytearray(len(text))  # characters of accepted spans
     out, seen = [], set()
     for name, kind, confidence, regex in compiled:
-        for m in regex.finditer(text):
+        for m in _found(name, regex, text):
             found, (b, e) = m.group(0), m.span()
             if name in SQUEEZED or name in TITLED:
                 found = " ".join(found.split())
             if name in TITLED:
                 found = found.title()
-            if len(found) < least or any(s <= b < t or s < e <= t for s, t in taken):
+            if len(found) < least or taken[b] or taken[e - 1]:
                 continue
-            taken.append((b, e))
+            taken[b:e] = b"\1" * (e - b)
             if (key := (kind, found.lower())) not in seen:
                 seen.add(key)
                 out.append({"type": kind, "text": found, "begin": b, "end": e, "pattern": name, "confidence": confidence})
