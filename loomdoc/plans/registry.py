@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 
 from ..config import DEFAULT, RetrievalConfig
 from ..functions import text as T
-from ..operators import chunking, ner, retrieval, store, tables, tree, vector
+from ..operators import chunking, embedding, ner, retrieval, store, tables, tree, vector
+from ..operators import table_entities as rows_of_tables
 from ..sources import readers
 from ..streaming import ingest
 
@@ -438,3 +439,17 @@ def stream_ingest(spark, d):
     schema = _t(spark, d, "documents").schema
     made = ingest.ingest(spark, d, schema, f"{base}/table", f"{base}/log", lambda s: s.select("doc_id", "text", F.col("source").alias("source_id")), glob="documents.parquet")
     return made.groupBy("source_id").agg(F.count("*").alias("n"))
+
+
+# --- tables to entities, embeddings
+
+@query("SELECT * FROM (VALUES ('Digital Signal Processing','U18ECT3101','4'),('Control Systems','U18ECT3102','3')) t(canonical_name, code, credits)")
+def table_entities(spark, d):
+    found = rows_of_tables.row_entities(rows_of_tables.table_rows(_cells(spark).where("text <> 'plain paragraph'").withColumn("y0", F.floor(F.col("y0") / 20) * 20).withColumn("y1", F.col("y0") + 10)))
+    return found.select("canonical_name", F.col("attributes")["code"].alias("code"), F.col("attributes")["credits"].alias("credits"))
+
+
+@query("SELECT doc_id AS id, 1.0::DOUBLE AS norm, 384::BIGINT AS dimension FROM documents")
+def embed_documents(spark, d):
+    e = embedding.embedded(_docs(spark, d).select("id", "text"))
+    return e.select("id", F.round(F.sqrt(vector.dot(F.col("embedding"), F.col("embedding"))), 4).alias("norm"), F.size("embedding").cast("long").alias("dimension"))

@@ -96,3 +96,19 @@ def test_filters_before_the_limit(spark):
 
 def test_title_case(spark):
     assert spark.createDataFrame([("dr.john  o'neil x-ray",)], "t string").select(T.title_case(F.col("t"))).first()[0] == "Dr.John O'Neil X-Ray"
+
+
+def test_docx(spark):
+    import io
+    import zipfile
+
+    from loomdoc.sources.docx import docx_elements
+
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    body = f'<w:document xmlns:w="{w}"><w:body><w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>Part</w:t></w:r></w:p><w:p><w:r><w:t>Some </w:t></w:r><w:r><w:t>text.</w:t></w:r></w:p></w:body></w:document>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", body)
+    rows = docx_elements(spark.createDataFrame([("a", bytearray(out.getvalue())), ("b", bytearray(b"no zip")), ("c", None)], "doc_id string, content binary")).collect()
+    assert [(r.text, r.category, r.level) for r in rows if r.doc_id == "a"] == [("Part", "Title", 2), ("Some text.", "NarrativeText", 1)]
+    assert all(r.error for r in rows if r.doc_id != "a")
