@@ -76,7 +76,7 @@ def byte_level_starts(cps: np.ndarray, off: np.ndarray) -> np.ndarray:
 class Cache:
     """Sorted hashes with a run of values each; bounded, and emptied when full."""
 
-    def __init__(self, dtype, limit: int = 600_000):
+    def __init__(self, dtype, limit: int = 1_000_000):
         self.dtype, self.limit = dtype, limit
         self.clear()
 
