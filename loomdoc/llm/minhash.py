@@ -9,7 +9,9 @@ probability 2 * (1 - 0.8 ** 3) ** 12 = 3.7e-4, one of 0.9 with 4.7e-7.
 1. Each text gives its set's size, a 128-bit digest of the set and the half keys. Rows with equal sets form
    a class; its least doc_id stands for it, so that copies are never expanded.
 2. Representatives are dealt to tables. In every table each member is paired with the table's first member
-   and with the member before it; candidates are confirmed on full sets and joined to components.
+   and with the member before it; candidates are confirmed on full sets and joined to components. A half key of more
+   than `hot` representatives has its tables salted, so that no task takes a whole one; the salts' first members are
+   paired in the same way.
 3. What can still link two different components are pairs of one table whose members carry different labels. The
    documents of such tables are compared within their half keys of A, which covers all of these pairs, in blocks of
    bounded size that emit links only, so that no candidate is left out and no pairs are made. A table whose members
@@ -50,6 +52,7 @@ class Config:
     half_rows: int = 3
     seed: int = 20
     block: int = 1024
+    hot: int = 50_000
 
 
 def shingle_sets(raw, off, k: int):
@@ -130,6 +133,21 @@ def confirmed(pairs: DataFrame, docs: DataFrame, cfg: Config) -> DataFrame:
     return held
 
 
+def _dealt(tables: DataFrame, *group: str) -> DataFrame:
+    """tables (key, rep, n, wide and the columns of group) with the first member of its group, those next to it and their sizes."""
+    by = Window.partitionBy(*group).orderBy("rep")
+    return tables.select("key", "rep", "n", "wide", F.first("rep").over(by).alias("head"), F.first("n").over(by).alias("head_n"), F.lag("rep").over(by).alias("back"), F.lag("n").over(by).alias("back_n"), F.lead("rep").over(by).alias("next"))
+
+
+def _first_pairs(dealt: DataFrame, percent: int) -> DataFrame:
+    """(u, v): each member with the head of its group and with the member before it, where their sizes allow the similarity."""
+    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    out = dealt.where((F.col("back") == F.col("head")) & fits("n", "back_n")).select(F.col("rep").alias("u"), F.col("head").alias("v"))
+    for at in ("head", "back"):
+        out = out.unionByName(dealt.where((F.col("back") > F.col("head")) & fits("n", f"{at}_n")).select(F.col("rep").alias("u"), F.col(at).alias("v")))
+    return out
+
+
 def near_duplicates(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id, kept, class_id.
 
@@ -139,21 +157,21 @@ def near_duplicates(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
     sig = written(signatures(docs, cfg), "signatures")
     reps = written(sig.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b")), "classes")
 
-    tables = reps.select("rep", "n", F.explode("a").alias("x"), "b").select("rep", "n", "x", F.explode("b").alias("y")).select(F.xxhash64("x", "y").alias("key"), "rep", "n")
-    per_key = Window.partitionBy("key").orderBy("rep")
-    dealt = tables.select("key", "rep", "n", F.first("rep").over(per_key).alias("head"), F.first("n").over(per_key).alias("head_n"), F.lag("rep").over(per_key).alias("back"), F.lag("n").over(per_key).alias("back_n"), F.lead("rep").over(per_key).alias("next"))
-    met = written(dealt.where("back is not null or next is not null"), "tables")
-    fits = lambda x, y: 100 * F.least(x, y) >= cfg.percent * F.greatest(x, y)
-    first = met.where((F.col("back") == F.col("head")) & fits("n", "back_n")).select(F.col("rep").alias("u"), F.col("head").alias("v"))
-    for at in ("head", "back"):
-        first = first.unionByName(met.where((F.col("back") > F.col("head")) & fits("n", f"{at}_n")).select(F.col("rep").alias("u"), F.col(at).alias("v")))
+    halves = reps.select("rep", "n", F.explode("a").alias("x"), "b")
+    hot = written(halves.groupBy("x").agg(F.count("*").alias("size")).where(F.col("size") > cfg.hot).select("x", F.ceil(F.col("size") / cfg.hot).cast("int").alias("salts")), "hot")
+    halves = halves.join(F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot, "x", "left")
+    salt = F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("rep"), "salts")).cast("int")
+    tables = halves.select("rep", "n", "x", "salts", F.explode("b").alias("y")).select(F.xxhash64("x", "y").alias("key"), "rep", "n", salt.alias("salt"), F.col("salts").isNotNull().alias("wide"))
+    met = written(_dealt(tables, "key", "salt").where("wide or back is not null or next is not null"), "tables")
+    # a key has one head for each salt, so this second dealing is of few rows
+    heads = _dealt(met.where("wide and back is null").select("key", "rep", "n", "wide"), "key")
+    first = _first_pairs(met, cfg.percent).unionByName(_first_pairs(heads, cfg.percent))
     pairs = written(first.where("u <> v").distinct(), "pairs")
     links = confirmed(pairs, docs, cfg)
     label = written(components(links), "labels")
 
     # documents of tables that hold more than one label: what may still link two components
-    big = met.where("not (back is null and next is null)").select("key", "rep")
-    named = big.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
+    named = met.select("key", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
     mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2").select("key")
     open_ = written(named.join(mixed, "key", "left_semi").select("rep", "label").distinct(), "open")
     late = confirmed(_late_links(open_, reps, docs, cfg), docs, cfg)
@@ -163,7 +181,7 @@ def near_duplicates(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
     classes = reps.select("n", "h1", "h2", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("n", "h1", "h2", F.col("rep").alias("class_id"), F.coalesce("label", "rep").alias("component_id"))
     out = sig.select("doc_id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component_id", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"))
     out = written(out, "near")
-    dropped(sig, reps, met, pairs, links, label, open_, late)
+    dropped(sig, reps, hot, met, pairs, links, label, open_, late)
     return out
 
 

@@ -48,9 +48,9 @@ def words(text, pattern=rb"[^\x20\x09-\x0D]+"):
     return re.findall(pattern, (text or "").encode().translate(LOW))
 
 
-@pytest.mark.parametrize("k", [2, 5])
-def test_near_duplicates(docs, none, k):
-    got = minhash.near_duplicates(docs, minhash.Config(words=k)).collect()
+@pytest.mark.parametrize(("k", "hot"), [(2, 50_000), (5, 50_000), (2, 1)])
+def test_near_duplicates(docs, none, k, hot):
+    got = minhash.near_duplicates(docs, minhash.Config(words=k, hot=hot)).collect()
     sets = {}
     for i, t, *_ in corpus():
         w = words(t)
@@ -71,7 +71,8 @@ def test_near_duplicates(docs, none, k):
     assert minhash.near_duplicates(none).count() == 0
 
 
-def test_late_links_join_blocks(spark):
+@pytest.mark.parametrize("hot", [50_000, 4])
+def test_late_links_join_blocks(spark, hot):
     r = random.Random(5)
     base = [f"w{i}" for i in range(200)]
     rows = []
@@ -88,7 +89,7 @@ def test_late_links_join_blocks(spark):
             for j in sets:
                 if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
                     comp[i] = comp[j] = min(comp[i], comp[j])
-    got = minhash.near_duplicates(df, minhash.Config(words=1, block=7)).collect()
+    got = minhash.near_duplicates(df, minhash.Config(words=1, block=7, hot=hot)).collect()
     assert {x.doc_id: x.component_id for x in got} == comp
 
 
