@@ -52,6 +52,7 @@ class Config:
     half_rows: int = 3
     seed: int = 20
     block: int = 1024
+    block_shingles: int = 1_000_000
     hot: int = 50_000
 
 
@@ -214,17 +215,17 @@ def _overlaps(sets: list[np.ndarray], size: np.ndarray, label: np.ndarray, split
 def _late_links(open_: DataFrame, reps: DataFrame, docs: DataFrame, cfg: Config) -> DataFrame:
     """(u, v): links between documents of `open_` (rep, label) that carry different labels and share a half key of A.
 
-    Groups of one half key are cut into blocks of cfg.block; each two blocks meet in one group of bounded size, and there
+    Groups of one half key are cut into blocks of about cfg.block documents, fewer where their sets are large; each two blocks meet in one group of bounded size, and there
     all sets are compared at once (a product of 0/1 matrices). Only links leave it, never candidates.
     """
-    few = written(reps.join(open_, "rep").select("rep", "label", "a"), "few")
+    few = written(reps.join(open_, "rep").select("rep", "n", "label", "a"), "few")
     n = few.count()
     ids = few.select(F.col("rep").alias("doc_id"))
     sets = _sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi"), cfg)
     sets = written(sets.select(F.col("doc_id").alias("rep"), "s").dropDuplicates(["rep"]), "late_sets")
-    rows = few.select("rep", "label", F.explode("a").alias("x"))
-    groups = rows.groupBy("x").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    blocks = F.ceil(F.col("size") / cfg.block).cast("int")
+    rows = few.select("rep", "n", "label", F.explode("a").alias("x"))
+    groups = rows.groupBy("x").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    blocks = F.greatest(F.ceil(F.col("size") / cfg.block), F.ceil(F.col("shingles") / cfg.block_shingles)).cast("int")
     placed = rows.join(groups, "x").select("x", "rep", "label", F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("own"), blocks.alias("blocks"))
     dealt = placed.select("x", "rep", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("x", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "label").join(sets, "rep")

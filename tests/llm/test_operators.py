@@ -71,8 +71,8 @@ def test_near_duplicates(docs, none, k, hot):
     assert minhash.near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize("hot", [50_000, 4])
-def test_late_links_join_blocks(spark, hot):
+@pytest.mark.parametrize(("hot", "shingles"), [(50_000, 1_000_000), (4, 1500)])
+def test_late_links_join_blocks(spark, hot, shingles):
     r = random.Random(5)
     base = [f"w{i}" for i in range(200)]
     rows = []
@@ -89,7 +89,7 @@ def test_late_links_join_blocks(spark, hot):
             for j in sets:
                 if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
                     comp[i] = comp[j] = min(comp[i], comp[j])
-    got = minhash.near_duplicates(df, minhash.Config(words=1, block=7, hot=hot)).collect()
+    got = minhash.near_duplicates(df, minhash.Config(words=1, block=7, block_shingles=shingles, hot=hot)).collect()
     assert {x.doc_id: x.component_id for x in got} == comp
 
 
