@@ -10,6 +10,7 @@ CHUNK_SCOPES = (r"^[A-Za-z]+\s+(?:\d+|[IVX]+)$", r"^(?:PART|SECTION|CHAPTER|VOLU
 LAYOUT_SECTIONS = (r"^(?:CHAPTER|UNIT|SECTION|PART)\s+[IVXLCDM\d]+", r"^(?:SEMESTER|SEM)\s+[IVXLCDM\d]+", r"^\d+\.\s+[A-Z]", r"^[IVXLCDM]+\.\s+[A-Z]", r"^[A-Z][A-Z\s]{10,}$")
 LAYOUT_SCOPES = (r"(?:SEMESTER|SEM)\s+([IVXLCDM]+|\d+)", r"(?:YEAR|YR)\s+([IVXLCDM]+|\d+)", r"(?:PART|SECTION)\s+([A-Z]|\d+)", r"(?:CHAPTER|UNIT)\s+([IVXLCDM]+|\d+)")
 LAYOUT_EXCLUDED = (r"^Page\s+\d+", r"^\d+$", r"^https?://")
+LAYOUT_LEVELS = ((r"(?i)^(?:CHAPTER|UNIT)\s+[IVXLCDM\d]+", 1), (r"(?i)^(?:SEMESTER|SEM|PART)\s+[IVXLCDM\d]+", 1), (r"^\d+\.\s+[A-Z]", 2), (r"^\d+\.\d+\s+[A-Z]", 3))
 SECTION_CATEGORIES = ("Title", "SectionHeader", "Header")
 EXCLUDED_CATEGORIES = ("Header", "Footer", "PageNumber")
 SENTENCE_END = r"(?<=[.!?。！？।])\s+"

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..config import DEFAULT, RetrievalConfig
+from ..config import DEFAULT, LAYOUT_EXCLUDED, LAYOUT_LEVELS, LAYOUT_SCOPES, LAYOUT_SECTIONS, RetrievalConfig
 from ..functions import text as T
-from ..operators import chunking, embedding, ner, retrieval, store, tables, tree, vector
+from ..operators import chunking, embedding, layout, ner, retrieval, store, tables, tree, vector
 from ..operators import table_entities as rows_of_tables
 from ..sources import readers
+from ..sources.collections import Collections
 from ..streaming import ingest
 
 QUERIES: dict = {}
@@ -453,3 +454,54 @@ def table_entities(spark, d):
 def embed_documents(spark, d):
     e = embedding.embedded(_docs(spark, d).select("id", "text"))
     return e.select("id", F.round(F.sqrt(vector.dot(F.col("embedding"), F.col("embedding"))), 4).alias("norm"), F.size("embedding").cast("long").alias("dimension"))
+
+
+# --- layout, collections
+
+def _either(patterns, flags="(?i)"):
+    return "(" + " OR ".join(f"regexp_matches(text, '{flags}{p}')" for p in patterns) + ")"
+
+
+LAYOUT = """SELECT conv_id AS doc_id, turn AS pos, turn // 4 AS page, CASE turn % 6 WHEN 0 THEN concat('Semester ', turn + 1) WHEN 1 THEN concat(' ', turn + 1, '. Aims ') WHEN 2 THEN concat(turn, '.1 Topics')
+WHEN 3 THEN concat('Page ', turn) ELSE text END AS text, 10.0::DOUBLE + turn % 8 AS font_size, turn % 5 = 0 AS bold FROM conversations"""
+NODES_SQL = f"""WITH raw AS ({LAYOUT}), e AS (SELECT * REPLACE (regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text) FROM raw),
+h AS (SELECT *, {_either(LAYOUT_SECTIONS)} OR (font_size > 14 AND length(text) < 100 AND regexp_matches(text, '^\\p{{Lu}}') AND NOT ends_with(text, '.'))
+  OR (bold AND length(text) < 80 AND upper(text) = text AND lower(text) <> text) AS header,
+  coalesce({", ".join(f"nullif(trim(regexp_extract(text, '(?i){p}', 0)), '')" for p in LAYOUT_SCOPES)}) AS own FROM e WHERE text <> '' AND NOT {_either(LAYOUT_EXCLUDED)}),
+l AS (SELECT *, CASE WHEN NOT header THEN NULL {" ".join(f"WHEN regexp_matches(text, '{p}') THEN {n}" for p, n in LAYOUT_LEVELS)} WHEN font_size >= 16 THEN 1 WHEN font_size >= 14 THEN 2 ELSE 3 END AS lv FROM h)
+SELECT doc_id, pos, page, CASE WHEN header THEN 'section' ELSE 'paragraph' END AS type, text,
+  coalesce(lv, (SELECT arg_max(p.lv, p.pos) FROM l p WHERE p.doc_id = l.doc_id AND p.pos < l.pos AND p.header) + 1, 1)::INT AS level,
+  coalesce((SELECT arg_max(p.own, p.pos) FROM l p WHERE p.doc_id = l.doc_id AND p.pos <= l.pos AND p.own IS NOT NULL), '') AS scope,
+  (SELECT max(p.pos) FROM l p WHERE p.doc_id = l.doc_id AND p.pos < l.pos AND p.header AND (NOT l.header OR p.lv < l.lv)) AS parent FROM l"""
+
+
+def _layout(spark, d):
+    t = F.col("turn")
+    text = F.when(t % 6 == 0, F.concat(F.lit("Semester "), t + 1)).when(t % 6 == 1, F.concat(F.lit(" "), t + 1, F.lit(". Aims "))).when(t % 6 == 2, F.concat(t, F.lit(".1 Topics"))).when(t % 6 == 3, F.concat(F.lit("Page "), t)).otherwise(F.col("text"))
+    return _t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), t.alias("pos"), F.floor(t / 4).alias("page"), text.alias("text"), (F.lit(10.0) + t % 8).alias("font_size"), (t % 5 == 0).alias("bold"))
+
+
+@query(NODES_SQL)
+def layout_nodes(spark, d):
+    return layout.nodes(_layout(spark, d))
+
+
+@query(f"""SELECT doc_id, page, min(scope) FILTER (rn = 1) AS scope FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY scope = '' OR type <> 'section', pos) AS rn
+FROM (SELECT doc_id, pos, page, type, CASE WHEN type = 'section' THEN scope ELSE '' END AS scope FROM ({NODES_SQL}))) GROUP BY doc_id, page""")
+def table_scopes(spark, d):
+    found = layout.nodes(_layout(spark, d))
+    return layout.table_scopes(found.where("type = 'section'"), found.select("doc_id", "page").distinct())
+
+
+@query("""SELECT lang AS source_id, count(*) AS n, sum(doc_id)::BIGINT AS ids, count(*) FILTER (text = 'new') AS changed FROM
+(SELECT lang, doc_id, CASE WHEN doc_id % 10 = 0 THEN 'new' ELSE 'old' END AS text FROM documents JOIN embeddings ON vec_id = doc_id WHERE lang <> 'de') GROUP BY lang""")
+def collection_upsert(spark, d):
+    """Writes all points twice, the second time a tenth of them changed, and deletes a source."""
+    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loomdoc-")).rstrip("/") + f"/collections-{spark.sql('select uuid()').first()[0]}"
+    points = _docs(spark, d).join(_points(spark, d).select("id", "embedding"), "id").select("id", F.col("language").alias("source_id"), F.lit("old").alias("text"), "embedding")
+    store_ = Collections(spark, base)
+    store_.create("documents", points.schema, len(_vector(spark, d)))
+    store_.replace_sources("documents", points)
+    store_.upsert("documents", points.where("id % 10 = 0").withColumn("text", F.lit("new")))
+    store_.delete_source("documents", "de")
+    return store_.read("documents").groupBy("source_id").agg(F.count("*").alias("n"), F.sum("id").alias("ids"), F.count_if(F.col("text") == "new").alias("changed"))

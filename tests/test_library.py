@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from loomdoc.config import ChunkConfig
 from loomdoc.functions import text as T
-from loomdoc.operators import chunking, ner, store, tables, vector
+from loomdoc.operators import chunking, layout, ner, store, tables, vector
 from loomdoc.plans import registry
+from loomdoc.sources.collections import Collections
 
 DATA = "/root/testdata/sf0.001"
 
@@ -112,3 +113,29 @@ def test_docx(spark):
     rows = docx_elements(spark.createDataFrame([("a", bytearray(out.getvalue())), ("b", bytearray(b"no zip")), ("c", None)], "doc_id string, content binary")).collect()
     assert [(r.text, r.category, r.level) for r in rows if r.doc_id == "a"] == [("Part", "Title", 2), ("Some text.", "NarrativeText", 1)]
     assert all(r.error for r in rows if r.doc_id != "a")
+
+
+def test_collections(spark, tmp_path):
+    c = Collections(spark, f"file://{tmp_path}/c")
+    assert c.names() == [] and not c.exists("a")
+    rows = [("1", "x/y z", "t", [1.0, 0.0]), ("2", "x/y z", "t", [0.0, 1.0]), ("3", "b", None, [0.0, 1.0]), (None, "b", "t", [0.0, 1.0]), ("4", None, "t", [0.0, 1.0])]
+    points = spark.createDataFrame(rows, "id string, source_id string, text string, embedding array<double>")
+    assert c.create("a", points.schema, 2) and not c.create("a", points.schema, 2) and c.names() == ["a"]
+    assert c.read("a").count() == 0 and c.info("a").first().points_count == 0
+    for _ in range(2):
+        c.upsert("a", points)
+        assert sorted(r.id for r in c.read("a").collect()) == ["1", "2", "3"]
+    c.replace_sources("a", points.where("id = 2"))
+    assert sorted(r.id for r in c.read("a").collect()) == ["2", "3"]
+    assert c.delete_source("a", "x/y z") == 1 and c.delete_source("a", "none") == 0 and [r.id for r in c.read("a").collect()] == ["3"]
+    with pytest.raises(Exception, match="has 2 values, not 1"):
+        c.upsert("a", spark.createDataFrame([("9", "b", "t", [1.0])], points.schema))
+    assert c.create("a", points.schema, 2, recreate=True) and c.read("a").count() == 0
+    with pytest.raises(ValueError, match="no collection"):
+        c.read("b")
+
+
+def test_layout_of_empty_and_null_elements(spark):
+    rows = [(1, 0, 1, None, None, None), (1, 1, 1, " ", 20.0, True), (1, 2, 1, "Some words", None, None), (1, 3, 1, "PART I", 11.0, False), (1, 4, 2, "More words", None, None)]
+    got = layout.nodes(spark.createDataFrame(rows, "doc_id int, pos int, page int, text string, font_size double, bold boolean")).orderBy("pos").collect()
+    assert [(r.pos, r.type, r.level, r.scope, r.parent) for r in got] == [(2, "paragraph", 1, "", None), (3, "section", 1, "PART I", None), (4, "paragraph", 2, "PART I", 3)]
