@@ -110,6 +110,39 @@ def test_repeated_passages(docs, none):
     assert 4 in kept and not {5, 6, 7} & set(kept) and None in kept
 
 
+@pytest.mark.parametrize("block", [1, 1_000_000])
+def test_repeated_passages_of_lines_that_many_documents_share(spark, monkeypatch, block):
+    monkeypatch.setattr(substring, "BLOCK_WINDOWS", block)
+    r = random.Random(11)
+    lines = [sentence(r, 7) for _ in range(40)]
+    rows = [sentence(r, 60) + " " + line + " " + sentence(r, 60) for line in lines]  # the first holder of each line alone
+    for _ in range(6):
+        passage = " ".join(r.sample(lines, 9))
+        rows += [sentence(r, 30) + " " + passage + " " + sentence(r, r.randint(0, 30)) for _ in range(2)]
+        rows.append(passage + " " + sentence(r, 20) + " " + passage)
+    rows += [(sentence(r, 1) + " ") * 80] * 2
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    holders = collections.defaultdict(set)
+    for i, t in enumerate(rows):
+        w = words(t)
+        for j in range(len(w) - 49):
+            holders[tuple(w[j : j + 50])].add(i)
+    every, gone = collections.defaultdict(set), collections.defaultdict(set)
+    for i, t in enumerate(rows):
+        w = words(t)
+        for j in range(len(w) - 49):
+            of = holders[tuple(w[j : j + 50])]
+            if len(of) > 1:
+                every[i].update(range(j, j + 50))
+                if i > min(of):
+                    gone[i].update(range(j, j + 50))
+    got = {x.doc_id: x for x in substring.repeated(df).collect()}
+    covered = lambda spans: {v for s in spans or () for v in range(s["begin"], s["end"])}
+    assert len(every) == 20
+    for i in every:
+        assert every[i] <= covered(got[i].spans) and gone[i] <= covered(got[i].removed)
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_chains_against_brute_force_alignment(seed):
     r = random.Random(seed)
