@@ -164,6 +164,13 @@ def hard_split_words(spark, d):
     return _docs(spark, d).select("id", p.alias("p")).select("id", F.size("p").cast("long").alias("n"), F.sha2(F.array_join("p", "|"), 256).alias("digest"))
 
 
+@query()
+def hard_split_all_words(spark, d):
+    """hard_split_words over the whole text of every document."""
+    p = chunking.hard_split(F.col("text"), 120)
+    return _docs(spark, d).select("id", p.alias("p")).select("id", F.size("p").cast("long").alias("n"), F.sha2(F.array_join("p", "|"), 256).alias("digest"))
+
+
 @query("""WITH e AS (SELECT conv_id AS doc_id, turn AS pos, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t, role = 'user' AND length(text) >= 5 AS header FROM conversations),
 s AS (SELECT *, sum(header::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM e)
 SELECT doc_id, section, count(*) AS parts, string_agg(t, ' ' ORDER BY pos) AS text, bool_or(header) AS opened FROM s GROUP BY doc_id, section""")

@@ -1,3 +1,4 @@
+import hashlib
 import os
 import re
 from pathlib import Path
@@ -48,6 +49,19 @@ def test_merge_small(spark):
     assert [(c.title, c.text) for c in df.first()[0]] == [("t", "aaaa bbbb cccccccccccc"), ("w", "d" * 20 + " eee")]
 
 
+def test_hard_split_takes_every_word_of_every_document(spark):
+    want = {}
+    for i, text in duckdb.sql(f"select doc_id, text from '{DATA}/documents.parquet'").fetchall():
+        parts = []
+        for w in re.split(r"\s+", text):
+            if w and parts and len(parts[-1]) + len(w) + 1 <= 120:
+                parts[-1] += " " + w
+            elif w:
+                parts.append(w)
+        want[i] = (len(parts), hashlib.sha256("|".join(parts).encode()).hexdigest())
+    assert {r.id: (r.n, r.digest) for r in registry.QUERIES["hard_split_all_words"](spark, DATA).collect()} == want
+
+
 def test_packed_parts_are_bounded(spark):
     text = "One two three. " * 40
     parts = spark.createDataFrame([(text.strip(),)], "t string").select(chunking.split_long(F.col("t"), ChunkConfig(max_chars=100, overlap_chars=10))).first()[0]
