@@ -50,15 +50,18 @@ def top_k(points: DataFrame, query: list[float], k: int = 5, where: Column | Non
     return scored.orderBy(F.desc("score"), "id").limit(k)
 
 
-#: Queries are broadcast up to this many; more are sent in turn by the caller.
+#: Queries are broadcast in blocks of about this many.
 MOST_QUERIES = 10_000
 
 
 def top_k_per_query(points: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, rank, id, score. queries (query_id, query) is a bounded batch: every point is read once and scored against each."""
-    n = queries.count()
-    if n > MOST_QUERIES:
-        raise ValueError(f"{n} queries; a batch has at most {MOST_QUERIES}")
-    scored = points.crossJoin(F.broadcast(queries)).select("query_id", "id", F.round(dot(F.col("embedding"), F.col("query")), 6).alias("score"))
+    """query_id, rank, id, score. queries (query_id, query): every point is read once for each block of them and scored against each."""
+    blocks = max(1, -(-queries.count() // MOST_QUERIES))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    def found(some: DataFrame) -> DataFrame:
+        scored = points.crossJoin(F.broadcast(some)).select("query_id", "id", F.round(dot(F.col("embedding"), F.col("query")), 6).alias("score"))
+        return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    return reduce(DataFrame.unionByName, [found(queries.where(block == i) if blocks > 1 else queries) for i in range(blocks)])

@@ -70,6 +70,13 @@ def vector_topk_per_query(spark, d):
     return vector.top_k_per_query(p, p.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query")), 5).select("query_id", "rank", "id", "score")
 
 
+@query(f"""SELECT query_id, rank, id, score FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, {DOT} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {DOT} DESC, e.vec_id) AS rank
+FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0) q) WHERE rank <= 5""")
+def vector_topk_per_20th(spark, d):
+    p = _points(spark, d)
+    return vector.top_k_per_query(p, p.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query")), 5).select("query_id", "rank", "id", "score")
+
+
 @query("SELECT vec_id AS id, round(sqrt(list_sum(list_transform(embedding, lambda x: (3 * x::DOUBLE) ** 2))) / 3, 4) AS norm, 1.0::DOUBLE AS after FROM embeddings")
 def vector_normalize(spark, d):
     p = _points(spark, d).withColumn("big", F.transform("embedding", lambda x: 3 * x.cast("double")))

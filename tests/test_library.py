@@ -109,6 +109,19 @@ def test_filters_before_the_limit(spark):
         vector.key_value_filter("nothing", ["a"])
 
 
+def test_queries_beyond_one_block(spark, monkeypatch):
+    p = spark.createDataFrame([(i, [float(i % 7), float(i % 3)]) for i in range(30)], "id int, embedding array<float>")
+    q = p.select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    monkeypatch.setattr(vector, "MOST_QUERIES", 7)
+    got = {(r.query_id, r.rank): (r.id, r.score) for r in vector.top_k_per_query(p, q, 2).collect()}
+    want = {}
+    for a in range(30):
+        score = {b: float((a % 7) * (b % 7) + (a % 3) * (b % 3)) for b in range(30)}
+        for rank, b in enumerate(sorted(score, key=lambda b: (-score[b], b))[:2], 1):
+            want[a, rank] = (b, score[b])
+    assert got == want
+
+
 def test_title_case(spark):
     assert spark.createDataFrame([("dr.john  o'neil x-ray",)], "t string").select(T.title_case(F.col("t"))).first()[0] == "Dr.John O'Neil X-Ray"
 
