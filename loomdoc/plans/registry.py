@@ -370,6 +370,14 @@ def html_titles(spark, d):
     return e.groupBy("doc_id").agg(F.count("*").alias("n"), F.count("*").alias("chars"))
 
 
+@query(r"""SELECT doc_id, count(*) AS n, sum(length(t)) AS chars, sha256(string_agg(t, '|')) AS digest FROM (SELECT page_id AS doc_id, regexp_replace(
+replace(replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '^\s+|\s+$', '', 'g') AS t
+FROM (SELECT page_id, unnest(regexp_extract_all(html, '<title>(.*?)</title>', 1)) AS t FROM pages)) WHERE t <> '' GROUP BY doc_id""")
+def html_title_texts(spark, d):
+    e = readers.html_elements(_t(spark, d, "pages").select(F.col("page_id").alias("doc_id"), "html")).where("pos = 0 AND category = 'Title'")
+    return e.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.sha2(F.array_join(F.collect_list("text"), "|"), 256).alias("digest"))
+
+
 @query()
 def html_elements(spark, d):
     return readers.without_categories(readers.html_elements(_t(spark, d, "pages").select(F.col("page_id").alias("doc_id"), "html")))

@@ -162,6 +162,12 @@ def test_collections(spark, tmp_path):
         c.read("b")
 
 
+def test_title_characters_are_counted(spark, tmp_path):
+    spark.createDataFrame([(1, "<title> A &amp; B </title><p>x"), (2, "<title>Long<br> title</title>")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.doc_id: (r.n, r.chars, r.digest) for r in registry.QUERIES["html_title_texts"](spark, str(tmp_path)).collect()}
+    assert got == {i: (1, len(t), hashlib.sha256(t.encode()).hexdigest()) for i, t in ((1, "A & B"), (2, "Long title"))}
+
+
 def test_layout_of_empty_and_null_elements(spark):
     rows = [(1, 0, 1, None, None, None), (1, 1, 1, " ", 20.0, True), (1, 2, 1, "Some words", None, None), (1, 3, 1, "PART I", 11.0, False), (1, 4, 2, "More words", None, None)]
     got = layout.nodes(spark.createDataFrame(rows, "doc_id int, pos int, page int, text string, font_size double, bold boolean")).orderBy("pos").collect()
