@@ -27,7 +27,8 @@ def html_elements(pages: DataFrame) -> DataFrame:
     """Titles, headings, paragraphs and list items of (doc_id, html), in page order."""
     plain = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</\1>", ""), r"(?s)<!--.*?-->", "")
     opened = F.regexp_replace(plain, r"(?i)<(title|h[1-6]|p|li)(?:\s[^>]*)?>", "\u0001$1\u0002")
-    parts = F.slice(F.split(opened, "\u0001"), 2, 1_000_000)
+    cut = F.split(opened, "\u0001")
+    parts = F.slice(cut, F.lit(2), F.size(cut) - 1)
     rows = pages.select("doc_id", F.posexplode(parts).alias("pos", "part"))
     tag = F.lower(F.substring_index("part", "\u0002", 1))
     body = F.regexp_replace(F.substring_index("part", "\u0002", -1), r"(?is)</(?:title|h[1-6]|p|li)>.*", "")

@@ -11,6 +11,7 @@ from loomdoc.config import ChunkConfig
 from loomdoc.functions import text as T
 from loomdoc.operators import chunking, layout, ner, store, tables, vector
 from loomdoc.plans import registry
+from loomdoc.sources import readers
 from loomdoc.sources.collections import Collections
 
 DATA = "/root/testdata/sf0.001"
@@ -168,6 +169,11 @@ def test_title_characters_are_counted(spark, tmp_path):
     assert got == {i: (1, len(t), hashlib.sha256(t.encode()).hexdigest()) for i, t in ((1, "A & B"), (2, "Long title"))}
 
 
+def test_pages_of_more_than_a_million_elements(spark):
+    pages = spark.range(1).select(F.lit(1).alias("doc_id"), F.expr("repeat('<p>a', 1000003)").alias("html")).unionByName(spark.createDataFrame([(2, "none"), (3, None), (4, "")], "doc_id int, html string"))
+    assert [tuple(r) for r in readers.html_elements(pages).groupBy("doc_id").agg(F.count("*"), F.max("pos")).collect()] == [(1, 1000003, 1000002)]
+
+
 def test_layout_of_empty_and_null_elements(spark):
     rows = [(1, 0, 1, None, None, None), (1, 1, 1, " ", 20.0, True), (1, 2, 1, "Some words", None, None), (1, 3, 1, "PART I", 11.0, False), (1, 4, 2, "More words", None, None)]
     got = layout.nodes(spark.createDataFrame(rows, "doc_id int, pos int, page int, text string, font_size double, bold boolean")).orderBy("pos").collect()
