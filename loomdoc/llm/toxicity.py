@@ -1,22 +1,23 @@
 """Toxicity scores by non-negative positive-unlabelled (nnPU) learning.
 
-Positives are confirmed toxic rows of the labels; unlabelled text is that of labelled rows with their labels
-put aside, so both come from the distribution of the labelled rows, whose share of toxic ones is the class
-prior pi. The linear model is fitted by numpy on the risk
+Positives are confirmed toxic rows of the labels. Unlabelled text is a sample of the documents themselves, labelled or not, whose labels nobody
+looks at. The class prior pi is the share of toxic rows among the labelled ones that may be read. The linear model is fitted by numpy on the risk
 
     pi * E_P[l(z)] + max(0, E_U[l(-z)] - pi * E_P[l(-z)]),     l(z) = log(1 + exp(-z)),
 
 following the step of Kiryo et al. (2017): where the corrected negative part falls below zero, the gradient
-goes against it instead. Features are the presence of whole words and of words' beginnings (4 to 10 bytes), all
-as 64-bit hashes of the whole text; those kept are the `max_features` that tell positives from unlabelled
-text most surely (z statistic).
-
-Bounds, which are parameters: `max_positive` and `max_unlabelled` rows with labels are used for fitting (those
-with the least hash of doc_id). Every row is scored.
-
-Labels of rows with crc32(doc_id as text) mod 5 = 0 are never read. Null and empty texts have no features and
-get the score of the intercept. Without a confirmed positive every score is 0. Rows without doc_id are scored
-too. A doc_id that is labelled twice counts once; it is positive if any of its labels is 1.
+goes against it instead. Features are the presence of whole words and of words' beginnings (`PREFIXES` bytes), all
+as 64-bit hashes of the whole text. Their numbers of positive and of unlabelled documents are counted in Spark, and the model takes those that
+tell the two most surely (z statistic of `least_z` at least).
+
+Bounds, which are parameters: `max_positive` confirmed rows and `max_unlabelled` documents are used for fitting (those
+with the least hash of doc_id), and the model has `max_features` weights. Every row is scored.
+
+Rows with crc32(doc_id as text) mod 5 = 0 take no part in fitting, neither with their labels nor as unlabelled text.
+Null and empty texts have no features and get the score of the intercept; long texts are read whole, one at a time if need be. Without a confirmed positive
+every score is 0 (to 17 places). An empty table of documents gives no rows. Rows without doc_id are scored
+too. A doc_id that is labelled twice counts once; it is positive if any of its labels is 1. Repeated rows are scored each; they weigh in fitting as
+often as they stand in the documents. Extra columns of both inputs are ignored, whatever their names; rejecting() keeps those of the documents.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import dropped, written
 from .kernels import ALNUM, Words, arrow_rows, lean, mix, slices
-from .scratch import dropped, written
 
 PREFIXES = (4, 5, 6, 7, 8, 10)
 
@@ -87,38 +88,42 @@ def _present(raw, off, keep: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]
     return code // len(keep), code % len(keep)
 
 
+def _open(doc_id, cfg: Config):
+    """Whether a document may be used for fitting."""
+    return doc_id.isNotNull() & (F.crc32(doc_id.cast("string")) % cfg.folds != 0)
+
+
 def train_rows(labels: DataFrame, cfg: Config) -> DataFrame:
     """doc_id and toxic (0/1) of the rows whose labels may be read."""
-    return labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(F.crc32(F.col("doc_id").cast("string")) % cfg.folds != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    found = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    return found.where(_open(F.col("doc_id"), cfg) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
 
 def _sample(docs: DataFrame, labels: DataFrame, cfg: Config) -> tuple[DataFrame, float]:
+    """(p, u, text) of the documents for fitting, and the class prior."""
     known = written(train_rows(labels, cfg), "known")
     n, positive = known.agg(F.count("*"), F.count_if(F.col("toxic") == 1)).first()
-    ranked = known.withColumn("h", F.xxhash64("doc_id"))
-    p = ranked.where("toxic = 1").orderBy("h", "doc_id").limit(cfg.max_positive).select("doc_id", F.lit(True).alias("p"), F.lit(False).alias("q"))
-    u = ranked.orderBy("h", "doc_id").limit(cfg.max_unlabelled).select("doc_id", F.lit(False).alias("p"), F.lit(True).alias("q"))
-    ids = p.unionByName(u).groupBy("doc_id").agg(F.max("p").alias("p"), F.max("q").alias("u"))
-    out = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").select("p", "u", "text"), "sample")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    least = lambda rows, most: rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    p = least(known.where("toxic = 1"), cfg.max_positive).select("doc_id", F.lit(True).alias("p"), F.lit(False).alias("q"))
+    u = least(named.where(_open(F.col("doc_id"), cfg)), cfg.max_unlabelled).select("doc_id", F.lit(False).alias("p"), F.lit(True).alias("q"))
+    ids = p.unionByName(u).groupBy("doc_id").agg(F.max("p").alias("p"), F.max("q").alias("u"))  # max_positive + max_unlabelled rows at most
+    out = written(named.join(F.broadcast(ids), "doc_id").select("p", "u", "text"), "sample")
     dropped(known)
     return out, positive / n if n else 0.0
 
 
-def _count(sample: DataFrame, keep: np.ndarray | None) -> DataFrame:
+def _count(sample: DataFrame) -> DataFrame:
+    """h and its numbers of positive and of unlabelled documents."""
     schema = pa.schema([("h", pa.int64()), ("p", pa.int64()), ("u", pa.int64())])
 
     def run(batches):
         for batch in batches:
             for rows, raw, off in slices(batch):
-                p, u = (np.asarray(rows.column(k).to_numpy(zero_copy_only=False), bool) for k in (0, 1))
-                at, h = _present(raw, off, keep)
-                if keep is None:
-                    h = h[p[at]]
-                    values, n = np.unique(h, return_counts=True)
-                    yield arrow_rows(schema, [values.view(np.int64), n, np.zeros(len(n), np.int64)])
-                else:
-                    n = np.bincount(h[u[at]], minlength=len(keep))
-                    yield arrow_rows(schema, [keep.view(np.int64)[n > 0], np.zeros(int((n > 0).sum()), np.int64), n[n > 0]])
+                p, u = (np.asarray(rows.column(k).to_numpy(zero_copy_only=False), np.int64) for k in (0, 1))
+                at, h = _present(raw, off, None)
+                values, inverse = np.unique(h, return_inverse=True)
+                yield arrow_rows(schema, [values.view(np.int64), *(np.bincount(inverse, weights=x[at], minlength=len(values)).astype(np.int64) for x in (p, u))])
 
     return sample.mapInArrow(lean(run), "h long, p long, u long").groupBy("h").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
 
@@ -139,17 +144,22 @@ def _matrix(sample: DataFrame, keep: np.ndarray):
     return table["p"].to_numpy().astype(bool), table["u"].to_numpy().astype(bool), np.repeat(np.arange(len(lens)), lens), lists.flatten().to_numpy(zero_copy_only=False)
 
 
-def _fit(p, u, rows, cols, n_features: int, prior: float, cfg: Config) -> tuple[np.ndarray, float]:
-    n = len(p)
+def risk_parts(p, u, rows, cols, w: np.ndarray, b: float, prior: float) -> tuple[float, float, np.ndarray]:
+    """The positive part of the risk, the corrected negative part, and the slope of each document's z in the step's direction: of their sum, or, where the
+    negative part is below zero, of that part turned round."""
     wp, wu = p / max(1, p.sum()), u / max(1, u.sum())
+    z = np.bincount(rows, weights=w[cols], minlength=len(p)) + b
+    s = 1 / (1 + np.exp(-np.clip(z, -40, 40)))  # the slope of l(-z); that of l(z) is s - 1
+    plus, minus = float(prior * wp @ np.logaddexp(0, -z)), float((wu - prior * wp) @ np.logaddexp(0, z))
+    slope = (wu - prior * wp) * s
+    return plus, minus, prior * wp * (s - 1) + slope if minus >= 0 else -slope
+
+
+def _fit(p, u, rows, cols, n_features: int, prior: float, cfg: Config) -> tuple[np.ndarray, float]:
     w, b = np.zeros(n_features), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros(n_features), np.zeros(n_features), 0.0, 0.0
     for step in range(1, cfg.steps + 1):
-        z = np.bincount(rows, weights=w[cols], minlength=n) + b
-        s = 1 / (1 + np.exp(-np.clip(z, -40, 40)))  # l(-z) = -log(1 - s), its slope s; l(z)'s slope is s - 1
-        minus = float((wu - prior * wp) @ np.logaddexp(0, z))
-        neg = (wu - prior * wp) * s
-        g = prior * wp * (s - 1) + neg if minus >= 0 else -neg
+        g = risk_parts(p, u, rows, cols, w, b, prior)[2]
         gw, gb = np.bincount(cols, weights=g[rows], minlength=n_features) + cfg.decay * w, float(g.sum())
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
@@ -161,42 +171,39 @@ def _fit(p, u, rows, cols, n_features: int, prior: float, cfg: Config) -> tuple[
 
 def fit(docs: DataFrame, labels: DataFrame, cfg: Config = Config()) -> Model:
     sample, prior = _sample(docs, labels, cfg)
-    sizes = sample.agg(F.count_if("p"), F.count_if("u")).first()
+    n_p, n_u = sample.agg(F.count_if("p"), F.count_if("u")).first()
     none = Model(np.zeros(0, np.uint64), np.zeros(0), -40.0, prior)
-    if not sizes[0] or prior <= 0:
+    if not n_p or prior <= 0:
+        dropped(sample)
         return none
     prior = min(prior, 0.95)
-    # a text of n bytes has few features more than n; those of least_documents positives are bounded by max_positive
-    first = _count(sample, None).where(F.col("p") >= cfg.least_documents).orderBy(F.desc("p"), "h").limit(1 << 18).select("h", "p").toArrow()
-    h = first["h"].to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    h, hp = h[order], first["p"].to_numpy()[order].astype(float)
-    second = _count(sample, h).select("h", "u").toArrow()
-    hu = np.zeros(len(h))
-    hu[np.searchsorted(h, second["h"].to_numpy().view(np.uint64))] = second["u"].to_numpy()
-    a, b = hp / sizes[0], (hu + 0.5) / (sizes[1] + 1)
-    z = (a - b) / np.sqrt(a * (1 - a) / sizes[0] + b * (1 - b) / (sizes[1] + 1) + 1e-9)
-    best = np.argsort(-z, kind="stable")[: cfg.max_features]
-    keep = np.sort(h[best[z[best] >= cfg.least_z]])
+    a, b = F.col("p") / n_p, (F.col("u") + 0.5) / (n_u + 1)
+    z = (a - b) / F.sqrt(a * (1 - a) / n_p + b * (1 - b) / (n_u + 1) + 1e-9)
+    best = _count(sample).where(F.col("p") >= cfg.least_documents).select("h", F.round(z, 9).alias("z")).where(F.col("z") >= cfg.least_z)
+    keep = np.sort(best.orderBy(F.desc("z"), "h").limit(cfg.max_features).select("h").toArrow()["h"].to_numpy().view(np.uint64))
     if not len(keep):
+        dropped(sample)
         return none
     w, c = _fit(*_matrix(sample, keep), len(keep), prior, cfg)
     dropped(sample)
     return Model(keep, w, c, prior)
 
 
+def _scores(raw, off, keep, weights, intercept) -> np.ndarray:
+    at, j = _present(raw, off, keep)
+    z = np.bincount(at, weights=weights[j], minlength=len(off) - 1) + intercept
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
 def score(docs: DataFrame, model: Model, cfg: Config = Config()) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, score, predicted. The model is of bounded size and goes with the task."""
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
     shared = docs.sparkSession.sparkContext.broadcast((model.features, model.weights, model.intercept))
 
     def run(batches):
-        keep, weights, intercept = shared.value
         for batch in batches:
             for rows, raw, off in slices(batch):
-                at, j = _present(raw, off, keep)
-                z = np.bincount(at, weights=weights[j], minlength=rows.num_rows) + intercept
-                yield arrow_rows(schema, [rows.column(0), 1 / (1 + np.exp(-np.clip(z, -40, 40)))])
+                yield arrow_rows(schema, [rows.column(0), _scores(raw, off, *shared.value)])
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % cfg.folds == 0, F.lit(False))
@@ -204,16 +211,13 @@ def score(docs: DataFrame, model: Model, cfg: Config = Config()) -> DataFrame:
 
 
 def rejecting(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs whose score is below the threshold, with all their columns."""
+    """The rows of docs whose score is below the threshold, with all their columns. Null and empty texts stay, unless the intercept alone reaches it."""
     shared = docs.sparkSession.sparkContext.broadcast((model.features, model.weights, model.intercept))
 
     def run(batches):
-        keep, weights, intercept = shared.value
         for batch in batches:
             for rows, raw, off in slices(batch):
-                at, j = _present(raw, off, keep)
-                z = np.bincount(at, weights=weights[j], minlength=rows.num_rows) + intercept
-                yield rows.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))) < threshold))
+                yield rows.filter(pa.array(_scores(raw, off, *shared.value) < threshold))
 
     return docs.mapInArrow(lean(run), docs.schema)
 
