@@ -1,14 +1,17 @@
 """Benchmark decontamination with a broadcast hash set of normalised test n-grams.
 
 Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z. A window is `words` consecutive words of a
-benchmark item; an item of fewer words, but not none, is one window. The windows' hashes are broadcast; workers
-roll the same hashes over whole texts, look them up and confirm each hit on the words themselves.
+benchmark item; an item of fewer words, but not none, is one window. Spark makes the table of distinct windows with the items of each. It goes out
+as sorted arrays of hashes, with the windows' words and items beside them; workers roll the same hashes over whole texts, look them up and confirm
+each hit on the words themselves.
 
-The hash set is bounded: it goes out in blocks of at most `block` windows, and with more than one block the
-documents pass through one scan after the other (no shuffle), each adding its hits.
+What is broadcast is bounded by its bytes: a table of more than `block_bytes` is cut by hash into blocks of about that size (the items of one window
+stay together). The driver holds one block at a time; the documents pass through one scan after the other, are written between them, and each scan
+adds its hits. Nothing is shuffled but the benchmark.
 
-Null and empty texts have no words. Items without words have no windows. Items that share an item_id count as
-one; windows of items without item_id mark words but no item. Extra columns of both inputs are kept or ignored.
+Null and empty texts have no words; long texts are read whole. Items without words have no windows. Items that share an item_id count as
+one; windows of items without item_id mark words but no item. Rows without doc_id and repeated rows are scanned each. Empty documents give no rows,
+an empty benchmark no hits. Extra columns of both inputs are kept or ignored; columns of the documents that are called as those of report() don't clash.
 """
 
 from __future__ import annotations
@@ -22,61 +25,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernels import ALNUM, Words, lean, slices, windows
+from ..plans.scratch import dropped, written
+from .kernels import ALNUM, Words, arrow_rows, lean, slices, windows
 
 
 @dataclass(frozen=True)
 class Config:
     words: int = 10
-    block: int = 1_000_000
+    block_bytes: int = 32 << 20
     drop_percent: int = 50
 
 
-def _item_windows(rows, k: int):
-    """(length, hash, joined words, item_id) of each window."""
-    if not rows:
-        return
-    batch = pa.RecordBatch.from_arrays([pa.array([str(r[0]) if r[0] is not None else None for r in rows]), pa.array([r[1] for r in rows], pa.string())], names=["item", "text"])
-    for part, raw, off in slices(batch):
-        w = Words(raw, off, ALNUM, lower=True)
-        h = w.hashes()
-        items = part.column(0).to_pylist()
-        for i, item in enumerate(items):
-            a, n = int(w.first[i]), int(w.count[i])
-            if not n:
-                continue
-            size = min(k, n)
-            hs = windows(h[a : a + n], size)
-            for j in range(n - size + 1):
-                yield size, int(hs[j]), b" ".join(bytes(w.raw[w.start[x] : w.end[x]]) for x in range(a + j, a + j + size)), item
-
-
-def blocks(benchmark: DataFrame, cfg: Config) -> list[dict]:
-    """Blocks of {length: (sorted hashes, [{joined words: items}])}."""
-    out, now, size = [], defaultdict(lambda: defaultdict(lambda: defaultdict(set))), 0
-    rows: list = []
-
-    def close():
-        nonlocal now, size
-        if size:
-            out.append({n: (np.array(sorted(by), np.uint64), [{s: sorted(x) for s, x in by[h].items()} for h in sorted(by)]) for n, by in now.items()})
-        now, size = defaultdict(lambda: defaultdict(lambda: defaultdict(set))), 0
-
-    def take():
-        nonlocal size, rows
-        for n, h, s, item in _item_windows(rows, cfg.words):
-            now[n][h][s].update([item] if item is not None else [])
-            size += 1
-            if size >= cfg.block:
-                close()
-        rows = []
-
-    for row in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
-        rows.append((row[0], row[1]))
-        if len(rows) >= 2000:
-            take()
-    take()
-    close()
+def item_windows(benchmark: DataFrame, cfg: Config) -> DataFrame:
+    """n (number of words), h, words (joined by spaces) and items (sorted strings) of each distinct window."""
+    schema = pa.schema([("n", pa.int32()), ("h", pa.int64()), ("words", pa.binary()), ("item", pa.string())])
+
+    def run(batches):
+        for batch in batches:
+            for rows, raw, off in slices(batch):
+                w = Words(raw, off, ALNUM, lower=True)
+                h = w.hashes()
+                out = []
+                for i, item in enumerate(rows.column(0).to_pylist()):
+                    a, n = int(w.first[i]), int(w.count[i])
+                    size = min(cfg.words, n)
+                    if size:
+                        words = [w.raw[s:e].tobytes() for s, e in zip(w.start[a : a + n].tolist(), w.end[a : a + n].tolist())]
+                        out += [(size, v, b" ".join(words[j : j + size]), item) for j, v in enumerate(windows(h[a : a + n], size).view(np.int64).tolist())]
+                yield arrow_rows(schema, [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 4, schema.types)])
+
+    found = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").mapInArrow(lean(run), "n int, h long, words binary, item string")
+    return found.groupBy("n", "h", "words").agg(F.array_sort(F.collect_set("item")).alias("items"))
+
+
+def _block(part: DataFrame) -> dict[int, tuple]:
+    """{length: (sorted hashes, words and items of each)}."""
+    table = part.toArrow().combine_chunks()
+    n, h = table["n"].to_numpy(), table["h"].to_numpy().view(np.uint64)
+    out = {}
+    for size in np.unique(n).tolist():
+        mine = np.flatnonzero(n == size)
+        mine = mine[np.argsort(h[mine], kind="stable")]
+        take = lambda c: table[c].combine_chunks().take(pa.array(mine))  # noqa: E731, B023
+        out[size] = (h[mine], take("words"), take("items"))
     return out
 
 
@@ -87,7 +78,7 @@ def _scan(raw, off, block: dict) -> tuple[Words, np.ndarray, dict[int, set]]:
     edge = np.zeros(len(h) + 1, np.int64)
     items: dict[int, set] = defaultdict(set)
     rows = w.rows()
-    for n, (keys, lists) in block.items():
+    for n, (keys, words, lists) in block.items():
         win = windows(h, n)
         sieve = np.zeros(1 << 16, bool)
         sieve[keys >> np.uint64(48)] = True
@@ -95,12 +86,19 @@ def _scan(raw, off, block: dict) -> tuple[Words, np.ndarray, dict[int, set]]:
         some = some[rows[some] == rows[some + n - 1]]
         at = np.minimum(np.searchsorted(keys, win[some]), len(keys) - 1)
         hit = keys[at] == win[some]
+        held: dict[int, tuple] = {}  # words and items of the entries that this slice met
         for p, k in zip(some[hit].tolist(), at[hit].tolist()):
-            found = lists[k].get(b" ".join(w.raw[w.start[x] : w.end[x]].tobytes() for x in range(p, p + n)))
-            if found is not None:
-                edge[p] += 1
-                edge[p + n] -= 1
-                items[int(rows[p])].update(found)
+            mine = b" ".join(w.raw[w.start[x] : w.end[x]].tobytes() for x in range(p, p + n))
+            key = keys[k]
+            while k < len(keys) and keys[k] == key:  # different windows with one hash stand side by side
+                if k not in held:
+                    held[k] = (words[k].as_py(), lists[k].as_py())
+                if held[k][0] == mine:
+                    edge[p] += 1
+                    edge[p + n] -= 1
+                    items[int(rows[p])].update(held[k][1])
+                    break
+                k += 1
     return w, np.cumsum(edge[:-1]) > 0, items
 
 
@@ -112,10 +110,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, cfg: Config = Config(), then=Non
     keep = [f for f in docs.schema if f.name not in own]
     out = docs.select(*[F.col(f"`{f.name}`") for f in keep])
     spans_type = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-    every = blocks(benchmark, cfg) or [{}]
-    for n, block in enumerate(every):
-        last = then if n == len(every) - 1 else None
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    table = written(item_windows(benchmark, cfg), "windows")
+    weight = F.length("words") + 24 + F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + F.length(x) + 8)
+    blocks = max(1, -(-(table.agg(F.sum(weight)).first()[0] or 0) // cfg.block_bytes))
+    between = None
+    for n in range(blocks):
+        last = then if n == blocks - 1 else None
+        shared = docs.sparkSession.sparkContext.broadcast(_block(table.where(F.pmod("h", F.lit(blocks)) == n)))
 
         def run(batches, shared=shared, again=n > 0, last=last):
             for batch in batches:
@@ -143,6 +144,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, cfg: Config = Config(), then=Non
                     yield found if last is None else last(found)
 
         out = out.mapInArrow(lean(run), docs.schema if last is not None else T.StructType(keep + [T.StructField(k, t) for k, t in own.items()]))
+        if n < blocks - 1:
+            out = written(out, "scanned")
+            shared.unpersist()
+            if between is not None:
+                dropped(between)
+            between = out
+    dropped(table)
     return out
 
 
