@@ -8,9 +8,11 @@
 3. What no combination took is packed greedily, longest first: each tail begins where the last one ended and is cut at the
    window's end. Only the last sequence can be short.
 4. The n-th tail of a length gets the n-th place of that length. Its number is its rank within its input partition
-   plus the tails of that length in the partitions before, a running sum over a table of counts.
+   plus the tails of that length in the partitions before, a running sum over a table of counts; so are the full windows before each partition, by two steps.
 
-Null and empty texts have one id, the end id. Rows are never merged; rows without doc_id are packed too.
+Null and empty texts have one id, the end id; long texts are cut into as many windows as they take. Rows are never merged; rows without doc_id and repeated
+rows are packed too. Tails of one length are all alike, so that ties need no rule beyond the order of rows in their partition. An empty table gives no rows.
+Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.scratch import dropped, written
 from .kernels import arrow_rows, lean, slices
 from .pieces import byte_level
-from .scratch import written
 
-#: The table of counts is broadcast up to this many rows (24 bytes each), and joined by shuffle beyond.
-BROADCAST_COUNTS = 1_000_000
+#: The table of counts is broadcast up to this many rows (32 bytes each), and joined by shuffle beyond.
+BROADCAST_COUNTS = 200_000
+#: Input partitions whose windows are summed in one group; the groups' sums are then summed in their order.
+PARTS = 1024
 
 
 @dataclass(frozen=True)
@@ -161,16 +165,17 @@ def pack(docs: DataFrame, cfg: Config) -> DataFrame:
     for r in rows.where("tail_len > 0").groupBy("tail_len").count().collect():  # at most window - 1 rows
         histogram[r[0]] = r[1]
     found = plan(histogram, cfg)
-    counts = rows.groupBy("part", "tail_len").agg(F.count("*").alias("n"), F.sum(F.size("full")).alias("full_n"))
-    in_order = Window.partitionBy("tail_len").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("part", "tail_len", F.coalesce(F.sum("n").over(in_order), F.lit(0)).alias("before"))
-    # windows before each part: one row for each input partition, summed in the order of the parts on the driver
-    parts, total = [], 0
-    for r in counts.groupBy("part").agg(F.sum("full_n").alias("n")).orderBy("part").toLocalIterator():
-        parts.append((r[0], total))
-        total += r[1]
-    before = before.join(F.broadcast(spark.createDataFrame(parts, "part long, windows long")), "part")
+    counts = written(rows.groupBy("part", "tail_len").agg(F.count("*").alias("n"), F.sum(F.size("full")).alias("full_n")), "counts")
+    in_order = lambda *by: Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("part", "tail_len", F.coalesce(F.sum("n").over(in_order("tail_len")), F.lit(0)).alias("before"))
+    # windows before each part: within its group of PARTS parts, and in the groups before (one row for each group)
+    sums = counts.groupBy("part").agg(F.sum("full_n").alias("n")).withColumn("band", F.floor(F.col("part") / PARTS))
+    bands = sums.groupBy("band").agg(F.sum("n").alias("all")).select("band", F.coalesce(F.sum("all").over(Window.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    windows = sums.join(bands, "band").select("part", (F.col("base") + F.coalesce(F.sum("n").over(in_order("band")), F.lit(0))).alias("windows"))
+    total = counts.agg(F.coalesce(F.sum("full_n"), F.lit(0))).first()[0]
+    before = before.join(windows, "part")
     before = written(before, "before")
+    dropped(counts)
     joined = rows.join(F.broadcast(before) if before.count() <= BROADCAST_COUNTS else before, ["part", "tail_len"])
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
     shared = spark.sparkContext.broadcast((found, total))
