@@ -5,14 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import dropped, written
+from ..plans.scratch import dropped, written
 
+#: A node with more links than this, and more than a MOST_HOT-th of all link ends, is hot. There are MOST_HOT of them at most, whatever the graph.
+HOT_LINKS, MOST_HOT = 256, 200_000
 
-def _stars(pairs: DataFrame) -> DataFrame:
-    both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-    down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+
+def _large_stars(edges: DataFrame, links: int) -> DataFrame:
+    """Each greater neighbour of a node, linked with the least of the node and its neighbours.
+
+    A node's links meet its minimum by a join on the node, but for hot nodes: their minima (MOST_HOT rows at most) are broadcast, so that no task
+    takes all links of a large star.
+    """
+    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
+    bar = max(HOT_LINKS, -(-2 * links // MOST_HOT))
+    marked = both.where("v > u").join(F.broadcast(least.where(F.col("n") > bar).select("u", F.col("m").alias("hot"))), "u", "left")
+    cold = marked.where("hot is null").select("u", "v").join(least.where(F.col("n") <= bar).select("u", "m"), "u").select("v", "m")
+    every = cold.unionByName(marked.where("hot is not null").select("v", F.col("hot").alias("m")))
+    return every.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+
+
+def _small_stars(edges: DataFrame) -> DataFrame:
+    """Each node's lesser neighbours, linked with the least of them; and the node itself."""
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = down.groupBy("u").agg(F.min("v").alias("m"))
     small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
     return small.where("u <> v").distinct()
@@ -21,19 +37,19 @@ def _stars(pairs: DataFrame) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label) for every end of `edges` (u, v long): the least node it is linked with, itself included.
 
-    Each round's links are written to the shared folder. A hot node's links meet in a join, which AQE splits,
-    and in minima, which are combined before the shuffle.
+    Each round's links are written to the shared folder. The number of rounds grows with the square of the logarithm of the longest path at most;
+    `rounds` is a guard against links that change between reads, and an error.
     """
     edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-    sign = None
+    sign, links = None, edges.count()
     for _ in range(rounds):
-        new = written(_stars(edges), "stars")
-        now = new.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
+        new = written(_small_stars(_large_stars(edges, links)), "stars")
+        now = tuple(new.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
         dropped(edges)
-        edges = new
-        if tuple(now) == sign:
+        edges, links = new, now[0]
+        if now == sign:
             break
-        sign = tuple(now)
+        sign = now
     else:
         raise RuntimeError("components: no fixed point")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))

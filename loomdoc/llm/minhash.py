@@ -22,7 +22,8 @@ numbers: 100 * intersection >= percent * union.
 
 Nulls, empty texts and texts without words have no shingles and stay alone. A null doc_id is kept, alone.
 Rows with the same doc_id count as one document when their texts are equal too; otherwise they are joined,
-as they carry one id. Extra columns of the input are ignored.
+as they carry one id. Equal sets are a tie, which the least doc_id wins. Long texts are read whole. An empty table gives no rows. Extra columns of the input are
+ignored, whatever their names; deduplicated() keeps them.
 """
 
 from __future__ import annotations
@@ -36,9 +37,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..plans.scratch import dropped, written
 from .graph import components
 from .kernels import SPACED, Words, arrow_rows, lean, mix, slices, windows
-from .scratch import dropped, written
 
 #: A set of ids up to this size is broadcast (8 bytes each); a larger one is joined by shuffle.
 BROADCAST_IDS = 2_000_000

@@ -74,9 +74,9 @@ def byte_level_starts(cps: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 class Cache:
-    """Sorted hashes with a run of values each; bounded, and emptied when full."""
+    """Sorted hashes with a run of values each; bounded, and emptied when full. Keys are told by their 64-bit hashes alone."""
 
-    def __init__(self, dtype, limit: int = 1_000_000):
+    def __init__(self, dtype, limit: int = 400_000):
         self.dtype, self.limit = dtype, limit
         self.clear()
 

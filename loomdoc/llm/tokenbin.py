@@ -13,10 +13,10 @@ The function has levels as of Limasset et al. (2017): each level is a bit array;
 position is placed there, the others go on to the next level; a key's slot is the rank of its bit.
 
 Documents are dealt by ranges of doc_id and sorted in their shard; a worker streams ids to the file slice by slice.
-A task that runs again writes new files: the manifest names those of the attempt that counted.
+A task that runs again writes new files: the manifest names those of the attempt that counted, and the others are deleted.
 
-Null texts are empty: only the end id. Rows with the same doc_id stand side by side, in the order of their texts, and
-the key leads to all of them. Rows without doc_id stand first and have no key. An empty table gives no rows.
+Null texts are empty: only the end id. Long texts are encoded whole. Rows with the same doc_id stand side by side, in the order of their texts, and
+the key leads to all of them. Rows without doc_id stand first and have no key. An empty table gives no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import new_path
 from .kernels import arrow_rows, lean, mix, slices
 from .pieces import byte_level
-from .scratch import new_path
 
 
 @dataclass(frozen=True)
@@ -170,9 +170,22 @@ def write(docs: DataFrame, cfg: Config, path: str | None = None) -> list[tuple]:
     for _, name, rows, ids, low, high in made:
         out.append((name, before, rows, ids, low, high))
         before += ids
+    _tidy(path, {m[0] for m in out})
     return out
 
 
+def _tidy(path: str, named: set[str]) -> None:
+    """Deletes the files of attempts that don't count."""
+    from pyarrow import fs
+
+    system, at = _filesystem(path)
+    if system.get_file_info(at).type == fs.FileType.Directory:
+        known = {n.rsplit("/", 1)[1] for n in named}
+        for f in system.get_file_info(fs.FileSelector(at)):
+            if f.base_name.rsplit(".", 1)[0] not in known:
+                system.delete_file(f.path)
+
+
 def documents_of(spark, manifest: list[tuple]) -> DataFrame:
     """Each document from the files, found by its key: doc_id, start, n_tokens, ids_crc32, then shard."""
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("shard", pa.string())])

@@ -1,11 +1,15 @@
 """Token counts by a two-tier lookup on the map side: no pre-token is ever shuffled by its key.
 
 Tier 1 is a table of frequent pre-tokens and their numbers of tokens, broadcast as sorted hashes; it has at most
-`frequent` entries. It comes from one pass over all texts: each task keeps exact counts of its own pre-tokens and
-sends its `per_task` most frequent ones, which are summed. It changes the speed only: tier 2, a bounded cache in
-each worker, encodes whatever tier 1 does not have with the library itself.
+`frequent` entries. It comes from one pass over all texts: each task counts its own pre-tokens (those that a slice of text holds twice at least, and
+the `held` most frequent ones so far), and sends its `per_task` most frequent ones, which are summed. These counts decide only what the table holds, and
+so the speed: tier 2, a bounded cache in each worker, encodes whatever tier 1 does not have with the library itself.
 
-A null text counts as empty: 0 bytes, 0 tokens. Rows without doc_id and repeated rows are counted as any other.
+Pre-tokens are known by 64-bit hashes of their code points. Two different ones with one hash, which for n pre-tokens happens with a probability of n ^ 2 / 2 ^ 65
+(1e-8 for a million), would get one number of tokens; nothing checks this.
+
+A null text counts as empty: 0 bytes, 0 tokens. Long texts are counted whole. Rows without doc_id and repeated rows are counted as any other; ties between
+equally frequent pre-tokens change the speed only. An empty table gives no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
