@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import html
+import html.parser
 import random
 import re
 import zlib
@@ -12,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from loomdoc.llm import decontam, htmlmain, license, minhash, packing, quality, substring, tokenbin, tokencount, toxicity
+from loomdoc.llm import decontam, graph, htmlmain, license, minhash, packing, quality, substring, tokenbin, tokencount, toxicity
 
 BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, u long, key string, spans string, label int"
@@ -100,6 +101,21 @@ def test_near_duplicates_keep_one_row(docs):
     assert sorted(i for i in ids if i is not None) == [0, 1, 2, 3, 4, 8, 9, 10, 11, 12, 13] and ids.count(None) == 2
 
 
+@pytest.mark.parametrize("bar", [1, 3, 256])
+def test_components_of_stars_and_paths(spark, monkeypatch, bar):
+    monkeypatch.setattr(graph, "HOT_LINKS", bar)
+    r = random.Random(bar)
+    edges = [(0, i) for i in range(1, 40)] + [(i, i + 1) for i in range(100, 130)] + [(500 - i, 500) for i in range(1, 30)] + [(r.randint(200, 300), r.randint(200, 300)) for _ in range(60)] + [(39, 100), (7, 7)]
+    comp = {v: v for e in edges if e[0] != e[1] for v in e}
+    for _ in comp:
+        for a, b in edges:
+            if a != b:
+                comp[a] = comp[b] = min(comp[a], comp[b])
+    got = graph.components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert {x.node: x.label for x in got} == comp and len(got) == len(comp)
+    assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_repeated_passages(docs, none):
     got = {r.doc_id: r for r in substring.repeated(docs).collect()}
     assert {5, 6, 7, 9} <= set(got) and not {0, 1, 2, 3, 10, 12, 13} & set(got)
@@ -143,6 +159,29 @@ def test_repeated_passages_of_lines_that_many_documents_share(spark, monkeypatch
         assert every[i] <= covered(got[i].spans) and gone[i] <= covered(got[i].removed)
 
 
+def test_changed_passages_are_found(spark):
+    r = random.Random(2)
+    rows = []
+    for _ in range(6):
+        passage = sentence(r, 120).split()
+        other = list(passage)
+        for p in (25, 55, 90):
+            other[p] = "changed"
+        del other[70]
+        rows += [sentence(r, 40) + " " + " ".join(passage) + " " + sentence(r, 20), sentence(r, 10) + " " + " ".join(other) + " " + sentence(r, 60)]
+    rows += [sentence(r, 200) for _ in range(10)]
+    got = {x.doc_id: x for x in substring.repeated(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)).collect()}
+    assert set(got) == set(range(12)) and all(110 <= x.n_repeated_words <= 130 for x in got.values())
+
+
+def test_one_doc_id_on_two_texts(spark):
+    r = random.Random(6)
+    long = sentence(r, 300)
+    rows = [(1, long), (1, sentence(r, 60)), (2, sentence(r, 30) + " " + long), (3, sentence(r, 90))]
+    got = {x.doc_id for x in substring.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got <= {1, 2}
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_chains_against_brute_force_alignment(seed):
     r = random.Random(seed)
@@ -156,6 +195,53 @@ def test_chains_against_brute_force_alignment(seed):
     assert u <= 43 and v >= 157 and s <= 3 and t >= len(b) - 3 and n >= 110
 
 
+def test_risk_and_its_gradient_against_plain_loops():
+    r = np.random.default_rng(4)
+    n, f, prior = 30, 6, 0.3
+    x = r.random((n, f)) < 0.4
+    rows, cols = np.nonzero(x)
+    for shift in (0.0, 3.0):  # with the second one the negative part is below zero
+        p, u = np.arange(n) < 12, np.arange(n) >= 8
+        w, b = r.normal(size=f) + shift * (x[:12].mean(0) - x[8:].mean(0)) * 4, 0.2
+
+        def risk(w, b):
+            plus = minus = 0.0
+            for i in range(n):
+                z = b + sum(w[j] for j in range(f) if x[i, j])
+                plus += prior * (p[i] / p.sum()) * np.log1p(np.exp(-z))
+                minus += (u[i] / u.sum() - prior * p[i] / p.sum()) * np.log1p(np.exp(z))
+            return plus, minus
+
+        plus, minus, slope = toxicity.risk_parts(p, u, rows, cols, w, b, prior)
+        assert np.allclose((plus, minus), risk(w, b))
+        aim = (lambda w, b: sum(risk(w, b))) if minus >= 0 else (lambda w, b: -risk(w, b)[1])
+        e = 1e-6
+        for j in range(f):
+            step = np.zeros(f)
+            step[j] = e
+            assert abs((aim(w + step, b) - aim(w - step, b)) / (2 * e) - slope[x[:, j]].sum()) < 1e-6
+        assert abs((aim(w, b + e) - aim(w, b - e)) / (2 * e) - slope.sum()) < 1e-6
+
+
+def test_toxicity_of_odd_tables(spark, docs, none):
+    labels = spark.createDataFrame([(i, 1, int(i % 2 == 0), "x") for i in range(12)], "doc_id long, quality int, toxic int, text string")
+    got = toxicity.toxicity(docs, labels).collect()
+    assert collections.Counter(x.doc_id for x in got) == collections.Counter(r[0] for r in corpus()) and all(0 <= x.score <= 1 for x in got)
+    assert len({x.score for x in got if x.doc_id == 4}) == 1
+    assert toxicity.toxicity(none, labels).count() == 0
+    model = toxicity.fit(docs, labels)
+    kept = toxicity.rejecting(docs, model)
+    assert kept.columns == docs.columns and kept.count() == sum(x.score < 0.5 for x in got)
+
+
+def test_unlabelled_text_is_of_all_documents(spark):
+    docs = spark.createDataFrame([(i, f"word{i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    sample, prior = toxicity._sample(docs, labels, toxicity.Config(max_unlabelled=1000))
+    used = {r.text for r in sample.where("u").collect()}
+    assert used == {f"word{i}" for i in range(60) if zlib.crc32(str(i).encode()) % 5} and prior == 0.5
+
+
 def test_toxicity(spark, none):
     r = random.Random(1)
     rows, labels = [(None, None), (100000, ""), (100001, None)], [(None, 1, 1), (100000, 1, None)]
@@ -236,6 +322,13 @@ def test_packing(docs, none):
     assert packing.pack(none, packing.Config(BYTES)).count() == 0
 
 
+def test_packing_joined_by_shuffle(docs, monkeypatch):
+    want = sorted(map(tuple, packing.pack(docs, packing.Config(BYTES)).collect()), key=repr)
+    monkeypatch.setattr(packing, "BROADCAST_COUNTS", 0)
+    monkeypatch.setattr(packing, "PARTS", 1)
+    assert sorted(map(tuple, packing.pack(docs, packing.Config(BYTES)).collect()), key=repr) == want
+
+
 def test_rounded_counts_fit_the_histogram():
     h = np.random.default_rng(0).integers(0, 50, 64)
     h[0] = 0
@@ -263,6 +356,98 @@ def test_main_text(spark):
     assert htmlmain.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+LONG = "Long enough a text about things that matter, in words. " * 3
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        ('<div style="overflow:hidden" class="post"><p>{}</p></div>', "{}"),
+        ('<div class="post" data-class="comments"><p>{}</p></div>', "{}"),
+        ('<div class="post tag-science social-science"><p>{}</p></div>', "{}"),
+        ('<div class="post"><p class="advert">Buy now</p><p class="notice">Note<p>{}<span class="ad">Buy</span></p><h2 id="related">More</h2></div>', "{}"),
+        ("<div class='post'><p>Let <math><mi>E</mi><mo>=</mo><mi>m</mi><annotation>E=m</annotation></math> be. {}</p></div>", "Let E=m be. {}"),
+        ("<div class='post'><div>An intro.</div><div><p>{}</p></div></div>", "An intro. {}"),
+        ("<div><div>An intro, which is a good part of it all, in words.</div><div><p>{}</p></div></div>", "An intro, which is a good part of it all, in words. {}"),
+        ("<article><pre><code>x <i class='hl-comment'># one</i></code></pre><p>{}<img class=ad> end</article>", "x # one {} end"),
+        ("<main><article><p>{}</article></main><section class='post-comments'><p>I think so too, and I say it at length, at very great length.</section>", "{}"),
+    ],
+)
+def test_article_of_a_page(body, want):
+    page = htmlmain.Page(f"<html><body><nav><a href=/>Home</a></nav>{body.format(LONG)}<footer>f</footer></body></html>")
+    want = want.format(LONG.strip())
+    assert page.text(None, htmlmain.Config()) == want
+    empty = htmlmain.Page(f"<html><body><div class=main></div>{body.format(LONG)}</body></html>")
+    assert empty.text("html>body>div.main", htmlmain.Config()) == want
+
+
+def test_hosts_boilerplate_is_told_by_its_repetition(spark):
+    r = random.Random(8)
+    page = "<body><div class=post><p>{0}</p><div class=x>Read our magazine, which is out now in all shops.</div><p>{1}</p><p class=k>Another thing</p></div>"
+    rows = [(i, f"http://h/{i}", page.format(sentence(r, 30), sentence(r, 9))) for i in range(6)]
+    copies = [(100 + i, f"http://c/{i}", page.format("The same words on all pages of this host.", "And these.")) for i in range(6)]
+    got = {x.page_id: x.text for x in htmlmain.main_text(spark.createDataFrame(rows + copies, "page_id long, url string, html string")).collect()}
+    for i, _, h in rows:
+        first, second = re.findall("<p>(.*?)</p>", h)
+        assert got[i] == f"{first} {second}"
+    assert got[100].startswith("The same words on all pages") and "And these." in got[100]
+
+
+class _Article(html.parser.HTMLParser):
+    """The words within article, as the library's parser sees them."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.raw, self.parts = 0, 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.raw += tag in ("script", "style")
+        if tag in ("p", "h1", "br", "div", "li"):
+            self.parts.append(" ")
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        self.raw -= tag in ("script", "style")
+        if tag in ("p", "h1", "div", "li"):
+            self.parts.append(" ")
+
+    def handle_data(self, data):
+        if self.inside and not self.raw:
+            self.parts.append(data)
+
+
+def test_main_text_of_all_pages_against_the_librarys_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    want = {}
+    for r in pages.collect():
+        parser = _Article()
+        parser.feed(r.html)
+        parser.close()
+        want[r.page_id] = " ".join("".join(parser.parts).split())
+    got = {r.page_id: r.text for r in htmlmain.main_text(pages).collect()}
+    assert got == want
+
+
+def test_winners_against_plain_counts(spark):
+    r = random.Random(12)
+    rows = [(i, f"http://h{i % 3}/{i}", f"<body><div class={r.choice('abc')}><p>{sentence(r, r.randint(3, 30))}</div><div class={r.choice('xyz')}>{sentence(r, 9)}</div>") for i in range(60)]
+    votes = collections.defaultdict(collections.Counter)
+    for _, url, h in rows:
+        page = htmlmain.Page(h)
+        top = page.best(htmlmain.Config())
+        votes[url[7:9]][page.path[top[0]]] += 1
+    got = {x.host: x.path for x in htmlmain.consensus(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert set(got) == set(votes) and all(votes[h][got[h]] == max(votes[h].values()) for h in got)
+
+
+def test_long_pages(spark):
+    text = "Words of a very long page. " * 60_000
+    rows = [(1, "http://h/1", f"<body><article><p>{text}</article>"), (1, "http://h/1", f"<body><article><p>{text}</article>"), (None, "http://h/2", "<body><article>Short one.</article>")]
+    got = htmlmain.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((x.page_id or 0, x.n_chars, x.text[:10]) for x in got) == [(0, 10, "Short one."), (1, len(text) - 1, "Words of a"), (1, len(text) - 1, "Words of a")]
+
+
 BENCH = [(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"), (10, "Short item"), (2, "short ITEM"), (3, None), (4, " .. "), (None, "alpha beta gamma delta epsilon zeta eta theta iota kappa")]
 
 
@@ -280,17 +465,23 @@ def _hits(text):
     return len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("block", [1, 1_000_000])
-def test_decontamination(spark, block):
-    texts = [None, "", "x Short, item! y short item", "a " + BENCH[0][1].upper() + " b", "alpha-beta gamma delta epsilon zeta eta theta iota kappa", "clean words only", "short", "item short"] + ["x Short, item! y short item"]
+@pytest.mark.parametrize("size", [200, 32 << 20])
+def test_decontamination(spark, size):
+    texts = [None, "", "x Short, item! y short item", "a " + BENCH[0][1].upper() + " b", "alpha-beta gamma delta epsilon zeta eta theta iota kappa", "clean words only", "short", "item short", "w " * 300_000 + BENCH[0][1]] + ["x Short, item! y short item"]
     docs = spark.createDataFrame([(i, t, "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, spans string, n_words int")
     bench = spark.createDataFrame([(*b, 1) for b in BENCH], "item_id long, text string, n_words int")
-    cfg = decontam.Config(block=block)
+    cfg = decontam.Config(block_bytes=size)
     got = {r.doc_id: tuple(r)[1:] for r in decontam.report(docs, bench, cfg).collect()}
-    assert got == {i: _hits(t) for i, t in enumerate(texts)}
-    left = {r.doc_id: r.text for r in decontam.cleaned(docs.select("doc_id", "text"), bench, decontam.Config(block=block, drop_percent=80)).collect()}
+    assert got[8] == (300_011, 11, 1, hashlib.sha256(b"1").hexdigest(), True)
+    assert {i: got[i] for i in got if i != 8} == {i: _hits(t) for i, t in enumerate(texts) if i != 8}
+    left = {r.doc_id: r.text for r in decontam.cleaned(docs.select("doc_id", "text"), bench, decontam.Config(block_bytes=size, drop_percent=80)).collect()}
     assert left[5] == texts[5] and left[0] is None and 3 not in left and 4 not in left and left[2] == "x  ! y  "
+    whole = decontam.cleaned(docs, bench, cfg)
+    assert whole.columns == docs.columns and {r.spans for r in whole.collect()} == {"s"}
     assert decontam.report(docs, bench.limit(0)).where("contaminated").count() == 0
+    assert decontam.report(docs.limit(0), bench, cfg).count() == 0
+    twice = spark.createDataFrame([(None, "short item"), (3, "short item"), (3, "short item"), (3, "other")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_hit) for r in decontam.report(twice, bench, cfg).collect()) == [(0, 2), (3, 0), (3, 2), (3, 2)]
 
 
 def test_quality(docs, none):
@@ -310,13 +501,69 @@ def test_quality(docs, none):
     assert sum(map(len, got.values())) == len(corpus()) and quality.quality(none).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    code, _ = quality._codes(["the cat sat on the mat and the dog sat on the log " * 5, "another text, with other words 12 ###"])
-    codes, counts = np.unique(code, return_counts=True)
-    model = quality.kneser_ney(codes, counts)
-    for context in (int(codes[3] >> 6), int(codes[-1] >> 6), 63 << 12):
-        every = (np.uint32(context) << np.uint32(6)) | np.arange(64, dtype=np.uint32)
-        assert abs(np.exp(quality.log_probabilities(model, every)).sum() - 1) < 1e-4
+def _kneser_ney(texts, order):
+    """Probability of each n-gram by plain loops."""
+    counts = {order: collections.Counter()}
+    for t in texts:
+        t = "\1" * (order - 1) + re.sub(r"\s", " ", re.sub("[1-9]", "0", t.lower()))
+        counts[order].update(t[i : i + order] for i in range(len(t) - order + 1))
+    for k in range(order - 1, 0, -1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+    lower = None
+    for k in range(1, order + 1):
+        have = collections.Counter(counts[k].values())
+        d = [0.5, 0.75, 0.9]
+        if have[1] and have[2] and have[3]:
+            y = have[1] / (have[1] + 2 * have[2])
+            d = [min(max(i - (i + 1) * y * have[i + 1] / have[i], 0.05), i - 0.05) for i in (1, 2, 3)]
+        if k > 1:
+            d[0] = 1.0
+        now = {}
+        for g, n in counts[k].items():
+            same = [(x, c) for x, c in counts[k].items() if x[:-1] == g[:-1]]
+            total = sum(c for _, c in same)
+            taken = sum(d[min(c, 3) - 1] for _, c in same)
+            now[g] = (n - d[min(n, 3) - 1] + taken * (1 / (len(counts[1]) + 1) if lower is None else lower[g[1:]])) / total
+        lower = now
+    return lower
+
+
+def test_kneser_ney_against_plain_loops(spark):
+    texts = {"en": ["the cat sat on the mat and the dog sat on the log " * 3, "another text,\twith other words 12 ###"], "ru": ["привет, мир. привет, мир и все другие"], "": [None, "x"]}
+    docs = spark.createDataFrame([(lang or None, t) for lang, ts in texts.items() for t in ts], "lang string, text string").repartition(3)
+    counts = quality.count_ngrams(docs.selectExpr("coalesce(lang, '') AS lang", "text"))
+    got = {(r.lang, r.g): r.p for r in quality.probabilities(counts).collect()}
+    want = {(lang, g): p for lang, ts in texts.items() for g, p in _kneser_ney([t or "" for t in ts], quality.ORDER).items()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_unigram_probabilities_sum_to_one(spark):
+    counts = spark.createDataFrame([("x", c, n) for c, n in zip("abcdefg", (1, 1, 2, 3, 4, 9, 1))], "lang string, g string, n long")
+    got = [r.p for r in quality.probabilities(counts, 1).collect()]
+    left = (5 / (5 + 2)) and 1 - sum(got)  # what is left is the share of all other code points
+    assert 0 < left < min(got) + 0.1 and abs(sum(got) + left - 1) < 1e-12
+
+
+def test_scripts_are_told_apart_and_blocks_add_up(spark, monkeypatch):
+    a, b = "Мама мыла раму", "Рига хуле цацу"
+    assert set(quality._strings(quality.distinct(*quality.grams([a])[:2])[3])).isdisjoint(quality._strings(quality.distinct(*quality.grams([b])[:2])[3]))
+    r = random.Random(1)
+    rows = [(i, sentence(r, 40), "en") for i in range(30)] + [(30, a * 9, "ru"), (31, None, None), (31, None, None), (None, a, "ru")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    read = lambda cfg: sorted((tuple(x[:-3]) + tuple(round(v, 9) if v is not None else None for v in x[-3:]) for x in quality.quality(df, cfg).collect()), key=repr)
+    want = read(quality.Config())
+    assert read(quality.Config(block=500)) == want
+    monkeypatch.setattr(quality, "BITS", 2)
+    assert read(quality.Config()) == want
+
+
+def test_gibberish_is_rejected(spark):
+    r = random.Random(9)
+    known = [sentence(r, 1) for _ in range(60)]
+    rows = [(i, " ".join(r.choice(known) for _ in range(80)), "en") for i in range(200)]
+    rows.append((900, " ".join("".join(r.choice("qxzjvkwy") for _ in range(7)) for _ in range(80)), "en"))
+    kept = {x.doc_id: x.kept for x in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not kept[900] and sum(kept.values()) >= 198
 
 
 def test_licences(spark):
@@ -327,3 +574,27 @@ def test_licences(spark):
     assert got[3, "a/y.txt"].licence == "Apache-2.0" and not got[3, "a/y.txt"].licence_file
     assert got[4, "z"].licence is None and got[5, None].licence is None and got[6, "a/b/c/d/x"].licence == "MIT" and got[None, "a/b/q"].licence == "MIT" and got[7, "k/COPYING"].licence is None
     assert license.licences(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
+
+
+MIT = next(t for n, t in license.TEMPLATES if n == "MIT" and len(t) > 500)
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (MIT, "MIT"),
+        ("\n".join(re.findall(r".{1,70}(?: |$)", MIT)), "MIT"),
+        ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nCopyright (C) 2007 Some Foundation", "GPL-3.0"),
+        ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n", "GPL-2.0"),
+        ("GNU GENERAL PUBLIC LICENSE", "GPL"),
+        (license.BSD_TERMS, "BSD-2-Clause"),
+        ("Copyright (c) 2020 X. All rights reserved.\n\n" + license.BSD_TERMS + "\n\n" + license.BSD_END, "BSD-2-Clause"),
+        ("Copyright (c) 2020 X. All rights reserved.\n\n" + license.BSD_TERMS + "\n" + license.BSD_NAMES + "\n\n" + license.BSD_END, "BSD-3-Clause"),
+        ("x = 1\n# This work is licensed under the GNU General Public\n# License version 3\ny = 2", "GPL-3.0"),
+        ("words " * 200_000 + "\nReleased under the MIT License.\n" + "words " * 200_000, "MIT"),
+        ("The law of licence plates is odd.", None),
+    ],
+)
+def test_licence_of_a_text(spark, text, want):
+    df = spark.createDataFrame([(1, "a", text)], "doc_id long, path string, text string")
+    assert license.licences(df).first().own_licence == want
