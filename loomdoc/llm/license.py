@@ -4,7 +4,7 @@ DataFrame functions only. Templates are short notices, the usual headers of sour
 name a licence at all (NAMES) are cut into segments: lines, sentences of lines, each two and each four neighbouring lines, blocks between blank lines, and the text as a whole;
 the latter two if they aren't more than twice as long as the longest template. Segments that name a licence are compared with every template: term frequency times inverse
 document frequency over the templates, a term that no template has weighs as the rarest. A document's own licence is that of its most similar template, if the
-cosine is at least `least`; equal ones go to the lesser template, then to the first segment.
+cosine is at least `least`; equal ones go to the segment of most terms (a heading with its version before the heading alone), then to the lesser template, then to the first segment.
 
 A licence file is a document whose name says so, or whose text is little more than the notice (at most `spread`
 times the words of the segment). It licenses its directory; the surest file decides, then the least doc_id. A document
@@ -136,7 +136,7 @@ def own_licences(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
     norm = valued.groupBy("row", "segment").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), F.sum("tf").alias("terms"))
     dot = valued.join(weights, "term").groupBy("row", "segment", "template", "licence").agg(F.sum(F.col("v") * F.col("weight")).alias("dot"))
     scored = dot.join(norm, ["row", "segment"]).withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("similarity") >= cfg.least)
-    best = scored.groupBy("row").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "template", "segment", "licence", "terms")).alias("b"))
+    best = scored.groupBy("row").agg(F.min(F.struct((-F.col("similarity")).alias("s"), (-F.col("terms")).alias("n"), "template", "segment", "licence", "terms")).alias("b"))
     return best.select("row", F.col("b.template").alias("template"), F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("similarity"), F.col("b.terms").alias("terms"))
 
 
@@ -183,7 +183,7 @@ counts AS (SELECT doc_id, segment, term, count(*) AS tf FROM (SELECT doc_id, seg
 valued AS (SELECT c.*, tf * coalesce(idfs.idf, rare.idf) AS v FROM counts c CROSS JOIN rare LEFT JOIN idfs USING (term)),
 norms AS (SELECT doc_id, segment, sqrt(sum(v * v)) AS norm, sum(tf) AS terms FROM valued GROUP BY ALL),
 scored AS (SELECT doc_id, segment, template, licence, round(sum(v * weight) / any_value(norm), 6) AS similarity, any_value(terms) AS terms FROM valued JOIN weights USING (term) JOIN norms USING (doc_id, segment) GROUP BY doc_id, segment, template, licence),
-own AS (SELECT * FROM scored WHERE similarity >= {cfg.least} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, template, segment) = 1),
+own AS (SELECT * FROM scored WHERE similarity >= {cfg.least} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, terms DESC, template, segment) = 1),
 full_ AS (SELECT d.doc_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, licence AS own_licence, similarity,
           coalesce(licence IS NOT NULL AND (regexp_matches(regexp_extract(path, '([^/]*)$', 1), '{FILE_NAMES}') OR len(regexp_extract_all(lower(text), '{pattern}')) <= {cfg.spread} * terms), false) AS licence_file
           FROM d LEFT JOIN own USING (doc_id)),
