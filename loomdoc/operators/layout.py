@@ -44,7 +44,7 @@ def nodes(elements: DataFrame) -> DataFrame:
     so_far = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     section_level = F.last(F.when(F.col("header"), F.col("level")), True).over(so_far)
     scope = F.last(F.nullif(strip(first_match(F.col("text"), LAYOUT_SCOPES)), F.lit("")), True).over(so_far)
-    out = tree.parents(rows).withColumn("scope", F.coalesce(scope, F.lit(""))).withColumn("level", F.coalesce("level", section_level + 1, F.lit(1)))
+    out = tree.parents(rows, 3).withColumn("scope", F.coalesce(scope, F.lit(""))).withColumn("level", F.coalesce("level", section_level + 1, F.lit(1)))
     return out.select("doc_id", "pos", "page", F.when(F.col("header"), "section").otherwise("paragraph").alias("type"), "text", "level", "scope", "parent")
 
 

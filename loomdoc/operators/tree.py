@@ -6,24 +6,66 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.scratch import dropped, written
 
-def parents(nodes: DataFrame, levels: int = 3) -> DataFrame:
-    """nodes (doc_id, pos, level, header) with parent: of a header the nearest one before it with a lesser level, of a paragraph the nearest one; null at the root."""
+
+def parents(nodes: DataFrame, levels: int | None = None) -> DataFrame:
+    """nodes (doc_id, pos, level, header) with parent: of a header the nearest one before it with a lesser level, of a paragraph the nearest one; null at the root.
+
+    levels is the greatest level; where it isn't given the table is asked for it.
+    """
+    if levels is None:
+        levels = nodes.where("header").agg(F.max("level")).first()[0] or 1
     before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    lesser = [F.last(F.when(F.col("header") & (F.col("level") < k), F.col("pos")), True).over(before) for k in range(1, levels + 2)]
+    lesser = [F.last(F.when(F.col("header") & (F.col("level") < k), F.col("pos")), True).over(before) for k in range(1, levels + 1)]
     of_header = F.coalesce(*(F.when(F.col("level") == k, lesser[k - 1]) for k in range(1, levels + 1)))
     return nodes.withColumn("parent", F.when(F.col("header"), of_header).otherwise(F.last(F.when(F.col("header"), F.col("pos")), True).over(before)))
 
 
-def depths(nodes: DataFrame, root: str = "parent is null", most: int = 64) -> DataFrame:
-    """id, depth and path of nodes (id, parent), by a recursive query."""
-    nodes.createOrReplaceTempView("tree_nodes__")
-    return nodes.sparkSession.sql(f"""
-        WITH RECURSIVE walk(id, depth, path) AS (
-          SELECT id, 0, cast(id AS string) FROM tree_nodes__ WHERE {root}
-          UNION ALL
-          SELECT n.id, w.depth + 1, concat(w.path, '/', n.id) FROM tree_nodes__ n JOIN walk w ON n.parent = w.id WHERE w.depth < {most})
-        SELECT id, depth, path FROM walk""")
+def depths(nodes: DataFrame, root: str = "parent is null") -> DataFrame:
+    """id, depth and path of the nodes (id, parent) that a root leads to, whatever their depth.
+
+    Each round doubles the stretch of every unfinished path: what a node knows up to an ancestor is joined with what that
+    one knows. Rounds grow with the logarithm of the depth. Nodes under a missing parent or on a cycle give no row.
+    """
+    node = F.col("id").cast("string")
+    is_root = F.coalesce(F.expr(root), F.lit(False))
+    state = written(nodes.select("id", F.when(~is_root, F.col("parent")).alias("up"), F.when(is_root, 0).otherwise(1).alias("depth"), node.alias("path"), is_root.alias("done")), "depths")
+    left = state.where("not done").count()
+    while left:
+        above = state.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("path").alias("begin"), F.col("done").alias("ends"))
+        longer = state.where("not done").join(above, "up").select("id", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.concat("begin", F.lit("/"), "path").alias("path"), F.col("ends").alias("done"))
+        last, state = state, written(state.where("done").unionByName(longer), "depths")
+        dropped(last)
+        now = state.where("not done").count()
+        if now == left:  # only cycles are left: else the next rank of nodes would have reached its root
+            break
+        left = now
+    return state.where("done").select("id", "depth", "path")
+
+
+def deepest_first(nodes: DataFrame, levels: int | None = None) -> DataFrame:
+    """nodes (doc_id, pos, level) with parent as insertion by level gives it: the last node before it with just one level less; null: the root."""
+    if levels is None:
+        levels = nodes.agg(F.max("level")).first()[0] or 1
+    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    found = [F.when(F.col("level") == k, F.last(F.when(F.col("level") == k - 1, F.col("pos")), True).over(before)) for k in range(2, levels + 1)]
+    return nodes.withColumn("parent", F.coalesce(*found) if found else F.lit(None).cast("long"))
+
+
+def text(nodes: DataFrame) -> DataFrame:
+    """doc_id and text of nodes (doc_id, pos, text): the texts that aren't empty in order, by line ends."""
+    parts = F.array_sort(F.collect_list(F.struct("pos", "text")))
+    return nodes.where("text <> ''").groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("text"))
+
+
+def extent(elements: DataFrame) -> DataFrame:
+    """doc_id, pages (the greatest page) and elements (their number) of elements (doc_id, page)."""
+    return elements.groupBy("doc_id").agg(F.coalesce(F.max("page"), F.lit(0)).alias("pages"), F.count("*").alias("elements"))
+
+
+def of_type(nodes: DataFrame, kind: str) -> DataFrame:
+    return nodes.where(F.col("type") == kind)
 
 
 def stats(nodes: DataFrame) -> DataFrame:

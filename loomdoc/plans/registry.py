@@ -63,16 +63,9 @@ def vector_topk_filtered(spark, d):
     return vector.top_k(both, _vector(spark, d), 5, vector.payload_filter(language="en", min_chars=300, max_chars=4000), 0.1).select("id", "score", "source_id")
 
 
-@query(f"""SELECT query_id, rank, id, score FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, {DOT} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {DOT} DESC, e.vec_id) AS rank
-FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0) q) WHERE rank <= 5""")
-def vector_topk_per_query(spark, d):
-    p = _points(spark, d)
-    return vector.top_k_per_query(p, p.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query")), 5).select("query_id", "rank", "id", "score")
-
-
 @query(f"""SELECT query_id, rank, id, score FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, {DOT} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {DOT} DESC, e.vec_id) AS rank
 FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0) q) WHERE rank <= 5""")
-def vector_topk_per_20th(spark, d):
+def vector_topk_per_query(spark, d):
     p = _points(spark, d)
     return vector.top_k_per_query(p, p.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query")), 5).select("query_id", "rank", "id", "score")
 
@@ -164,16 +157,9 @@ def sentence_pack(spark, d):
     return _docs(spark, d).select("id", p.alias("p")).select("id", F.size("p").cast("long").alias("n"), F.sha2(F.array_join("p", "|"), 256).alias("digest"))
 
 
-@query(_pack_sql(f"CASE WHEN doc_id % 4 = 0 THEN {WORDS}[1:400] ELSE []::VARCHAR[] END", 120, 0))
-def hard_split_words(spark, d):
-    cut = F.when(F.col("id") % 4 == 0, F.slice(T.words(F.col("text")), 1, 400)).otherwise(F.array().cast("array<string>"))
-    p = chunking.packed(cut, 120, 0)
-    return _docs(spark, d).select("id", p.alias("p")).select("id", F.size("p").cast("long").alias("n"), F.sha2(F.array_join("p", "|"), 256).alias("digest"))
-
-
 @query()
-def hard_split_all_words(spark, d):
-    """hard_split_words over the whole text of every document."""
+def hard_split_words(spark, d):
+    """The whole text of every document; a recursive query takes too long on these, so that tests compare it with brute force."""
     p = chunking.hard_split(F.col("text"), 120)
     return _docs(spark, d).select("id", p.alias("p")).select("id", F.size("p").cast("long").alias("n"), F.sha2(F.array_join("p", "|"), 256).alias("digest"))
 
@@ -364,16 +350,10 @@ def column_assign(spark, d):
     return cells.join(bounds, ["doc_id", "page"]).select("text", tables.column_of(F.col("x0"), F.col("bounds"), 10.0).alias("col"))
 
 
-@query("SELECT page_id AS doc_id, count(*) AS n, sum(length(t)) AS chars FROM (SELECT page_id, unnest(regexp_extract_all(html, '<title>(.*?)</title>', 1)) AS t FROM pages) GROUP BY page_id".replace("sum(length(t))", "count(*)"))
-def html_titles(spark, d):
-    e = readers.html_elements(_t(spark, d, "pages").select(F.col("page_id").alias("doc_id"), "html")).where("pos = 0 AND category = 'Title'")
-    return e.groupBy("doc_id").agg(F.count("*").alias("n"), F.count("*").alias("chars"))
-
-
 @query(r"""SELECT doc_id, count(*) AS n, sum(length(t)) AS chars, sha256(string_agg(t, '|')) AS digest FROM (SELECT page_id AS doc_id, regexp_replace(
 replace(replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '^\s+|\s+$', '', 'g') AS t
 FROM (SELECT page_id, unnest(regexp_extract_all(html, '<title>(.*?)</title>', 1)) AS t FROM pages)) WHERE t <> '' GROUP BY doc_id""")
-def html_title_texts(spark, d):
+def html_titles(spark, d):
     e = readers.html_elements(_t(spark, d, "pages").select(F.col("page_id").alias("doc_id"), "html")).where("pos = 0 AND category = 'Title'")
     return e.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.sha2(F.array_join(F.collect_list("text"), "|"), 256).alias("digest"))
 

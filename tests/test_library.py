@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomdoc.config import ChunkConfig
 from loomdoc.functions import text as T
-from loomdoc.operators import chunking, layout, ner, store, tables, vector
+from loomdoc.operators import chunking, layout, ner, store, tables, tree, vector
 from loomdoc.plans import registry
 from loomdoc.sources import readers
 from loomdoc.sources.collections import Collections
@@ -60,7 +60,7 @@ def test_hard_split_takes_every_word_of_every_document(spark):
             elif w:
                 parts.append(w)
         want[i] = (len(parts), hashlib.sha256("|".join(parts).encode()).hexdigest())
-    assert {r.id: (r.n, r.digest) for r in registry.QUERIES["hard_split_all_words"](spark, DATA).collect()} == want
+    assert {r.id: (r.n, r.digest) for r in registry.QUERIES["hard_split_words"](spark, DATA).collect()} == want
 
 
 def test_packed_parts_are_bounded(spark):
@@ -178,3 +178,30 @@ def test_layout_of_empty_and_null_elements(spark):
     rows = [(1, 0, 1, None, None, None), (1, 1, 1, " ", 20.0, True), (1, 2, 1, "Some words", None, None), (1, 3, 1, "PART I", 11.0, False), (1, 4, 2, "More words", None, None)]
     got = layout.nodes(spark.createDataFrame(rows, "doc_id int, pos int, page int, text string, font_size double, bold boolean")).orderBy("pos").collect()
     assert [(r.pos, r.type, r.level, r.scope, r.parent) for r in got] == [(2, "paragraph", 1, "", None), (3, "section", 1, "PART I", None), (4, "paragraph", 2, "PART I", 3)]
+
+
+@pytest.mark.parametrize("n", [1, 70, 1000])
+def test_depth_of_a_chain(spark, n):
+    nodes = spark.createDataFrame([(i, i - 1 if i else None) for i in range(n)] + [(5000, 5001), (5001, 5000), (6000, 7000)], "id long, parent long")
+    got = {r.id: (r.depth, r.path) for r in tree.depths(nodes).collect()}
+    assert got == {i: (i, "/".join(map(str, range(i + 1)))) for i in range(n)}
+
+
+def test_parents_at_any_level(spark):
+    levels = [1, 2, 3, 4, 5, 6, 4, None, 1, 3, 2, 9, None]
+    nodes = spark.createDataFrame([(1, i, x, x is not None) for i, x in enumerate(levels)], "doc_id long, pos long, level int, header boolean")
+    want, stack = {}, []
+    for i, x in enumerate(levels):
+        while x is not None and stack and stack[-1][0] >= x:
+            stack.pop()
+        want[i] = stack[-1][1] if stack else None
+        if x is not None:
+            stack.append((x, i))
+    assert {r.pos: r.parent for r in tree.parents(nodes).collect()} == want
+
+
+def test_search_of_odd_vectors(spark):
+    p = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, [1.0, 0.0])], "id long, embedding array<double>")
+    q = p.select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    assert sorted((r.query_id, r.rank, r.id) for r in vector.top_k_per_query(p, q, 5).collect()) == [(1, 1, 1), (1, 2, 6), (6, 1, 1), (6, 2, 6)]
+    assert vector.top_k_per_query(p, q.where("false"), 5).count() == 0 and vector.top_k_per_query(p.where("false"), q, 5).count() == 0
