@@ -15,6 +15,9 @@ SECTION_CATEGORIES = ("Title", "SectionHeader", "Header")
 EXCLUDED_CATEGORIES = ("Header", "Footer", "PageNumber")
 SENTENCE_END = r"(?<=[.!?。！？।])\s+"
 LISTING_WORDS = ("semester", "course", "papers", "subjects", "list", "all", "what are")
+ENTITY_BLOCK, SECTION_BLOCK = "=== Extracted Entities ===", "\n=== Retrieved Document Sections ==="
+HIDDEN_ATTRIBUTES = ("pattern", "original_text")
+LISTED_TYPE = "course"
 STOP_WORDS = ("what", "which", "where", "when", "that", "this", "from")
 
 

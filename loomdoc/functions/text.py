@@ -60,3 +60,13 @@ def low_signal(c: Column, min_words: int = 20, share: float = 0.3) -> Column:
     w = words(c)
     alpha = F.size(F.filter(w, lambda x: x.rlike(r"^\p{L}+$")))
     return (F.size(w) < min_words) | (alpha / F.greatest(F.size(w), F.lit(1)) < share)
+
+
+def basename(c: Column) -> Column:
+    """The last part of a path."""
+    return F.element_at(F.split(F.regexp_replace(c, "/+$", ""), "/"), -1)
+
+
+def preview(c: Column, n: int = 50) -> Column:
+    """The first n characters, with ... where more follow."""
+    return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c)

@@ -121,3 +121,9 @@ def chunked(elements: DataFrame, cfg: ChunkConfig = DEFAULT) -> DataFrame:
     if cfg.low_signal:
         rows = rows.where(~low_signal(F.col("text"), cfg.min_words, cfg.alpha_share))
     return formatted(rows, cfg)
+
+
+def size_stats(chunks: DataFrame) -> DataFrame:
+    """chunks, and the least, greatest and mean (whole) number of characters of a chunk."""
+    n = F.length("text")
+    return chunks.agg(F.count("*").alias("chunks"), F.min(n).cast("long").alias("least"), F.max(n).cast("long").alias("greatest"), F.floor(F.sum(n) / F.count("*")).alias("mean"))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..config import RetrievalConfig
+from ..config import ENTITY_BLOCK, HIDDEN_ATTRIBUTES, LISTED_TYPE, SECTION_BLOCK, RetrievalConfig
+from ..functions import text as T
 
 
 def within_budget(ranked: DataFrame, budget: int, separator: int = 0, key: str = "query_id", truncate: bool = False) -> DataFrame:
@@ -43,3 +44,79 @@ def query_scope(query: Column) -> Column:
 def prompt(context: Column, question: Column) -> Column:
     asked = F.concat(F.lit("Question: "), question)
     return F.when(F.coalesce(context, F.lit("")) == "", F.concat(F.lit("No context was found.\n\n"), asked)).otherwise(F.concat(F.lit("Context:\n"), context, F.lit("\n\n"), asked))
+
+
+def entity_line(kind: Column, name: Column, attributes: Column, scope: Column) -> Column:
+    """One line about an entity: its type, name, first three attributes that say anything, and scope."""
+    told = F.map_entries(F.map_filter(attributes, lambda k, v: ~k.isin(*HIDDEN_ATTRIBUTES) & (F.coalesce(v, F.lit("")) != "")))
+    pairs = F.array_join(F.slice(F.transform(told, lambda e: F.concat(e["key"], F.lit(": "), e["value"])), 1, 3), ", ")
+    shown = F.when(F.coalesce(pairs, F.lit("")) != "", F.concat(F.lit(" ("), pairs, F.lit(")"))).otherwise("")
+    scoped = F.when(F.coalesce(scope, F.lit("")) != "", F.concat(F.lit(" [Scope: "), scope, F.lit("]"))).otherwise("")
+    return F.concat(F.lit("\u2022 ["), F.upper(kind), F.lit("] "), name, shown, scoped)
+
+
+def _contains(where: Column, what: Column) -> Column:
+    return F.lower(where).contains(F.lower(what))
+
+
+def _firsts(entities: DataFrame, wanted: DataFrame, on: Column, key: str, limit: int) -> DataFrame:
+    """The first `limit` entities of each distinct value of key: surest first, then by id. wanted comes from the queries and is much the smaller side."""
+    best = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("confidence"), "id"))
+    return entities.join(wanted, on).withColumn("place", best).where(F.col("place") <= limit)
+
+
+def entity_hits(queries: DataFrame, entities: DataFrame, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+    """query_id, rank, and the entity's columns, of queries (query_id, query).
+
+    A query that asks for a list gets the listed type's entities of the scope it names. Any other gets those that hold one of its
+    first terms in name, alias or attribute, term by term, an entity counting once. Distinct terms and scopes are searched once, whatever the number of queries.
+    """
+    asked = queries.select("query_id", F.coalesce("query", F.lit("")).alias("query"))
+    asked = asked.select("query_id", is_listing(F.col("query"), cfg).alias("listing"), F.coalesce(query_scope(F.col("query")), F.lit("")).alias("asked_scope"), query_terms(F.col("query"), cfg).alias("terms"))
+    lists = asked.where("listing")
+    listed = _firsts(entities.where(F.col("type") == LISTED_TYPE), lists.select("asked_scope").distinct(), _contains(F.coalesce("scope", F.lit("")), F.col("asked_scope")), "asked_scope", cfg.max_entities)
+    listed = lists.select("query_id", "asked_scope").join(listed, "asked_scope").withColumn("term_place", F.lit(0)).drop("asked_scope")
+    terms = asked.where("not listing").select("query_id", F.posexplode("terms").alias("term_place", "term"))
+    hit = _contains(F.col("canonical_name"), F.col("term"))
+    if "aliases" in entities.columns:
+        hit = hit | F.exists("aliases", lambda a: _contains(a, F.col("term")))
+    if "attributes" in entities.columns:
+        hit = hit | F.exists(F.map_keys("attributes"), lambda a: _contains(a, F.col("term"))) | F.exists(F.map_values("attributes"), lambda a: _contains(a, F.col("term")))
+    found = terms.join(_firsts(entities, terms.select("term").distinct(), F.coalesce(hit, F.lit(False)), "term", cfg.max_entities // cfg.terms), "term").drop("term")
+    once = F.row_number().over(Window.partitionBy("query_id", "id").orderBy("term_place", "place"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("term_place", "place"))
+    hits = listed.unionByName(found).withColumn("n", once).where("n = 1").withColumn("rank", rank)
+    return hits.where(F.col("rank") <= cfg.max_entities).drop("n", "place", "term_place")
+
+
+def entity_context(queries: DataFrame, entities: DataFrame, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+    """query_id, block and found of the queries that find entities."""
+    line = entity_line(F.col("type"), F.col("canonical_name"), F.col("attributes"), F.col("scope"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"])
+    hits = entity_hits(queries, entities, cfg).select("query_id", "rank", line.alias("line"))
+    return hits.groupBy("query_id").agg(F.concat(F.lit(ENTITY_BLOCK + "\n"), F.array_join(lines, "\n")).alias("block"), F.count("*").alias("found"))
+
+
+def hybrid_context(queries: DataFrame, entities: DataFrame, ranked: DataFrame, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+    """query_id, context and sources (source, title, score) of every query.
+
+    The block of entities comes first and counts toward the budget; then the ranked chunks (query_id, rank, source_id, title, text,
+    score) up to the first that overflows it, none of them cut.
+    """
+    named = F.when(F.coalesce("source_id", F.lit("")) != "", T.basename(F.col("source_id"))).otherwise("Unknown")
+    titled = F.when(F.coalesce("title", F.lit("")) != "", F.substring("title", 1, 50)).otherwise("Untitled")
+    chunks = ranked.select("query_id", "rank", named.alias("source"), "title", "score", F.concat(F.lit("[Source: "), named, F.lit(" | Section: "), titled, F.lit("]\n"), F.coalesce("text", F.lit("")), F.lit("\n")).alias("text"))
+    blocks = entity_context(queries, entities, cfg)
+    used = F.sum(F.length("text")).over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    fits = F.coalesce(F.length("block"), F.lit(0)) + F.col("used") <= cfg.max_context_tokens * cfg.chars_per_token
+    rows = chunks.withColumn("used", used).join(blocks.select("query_id", "block"), "query_id", "left").withColumn("fits", fits)
+    # at most top_k rows a query, as the search gives them
+    kept = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.when(F.col("fits"), F.struct("rank", "text", "source", "title", "score")))).alias("c"))
+    source = lambda s, t, n: F.struct(s.alias("source"), t.alias("title"), n.alias("score"))
+    out = queries.select("query_id").join(blocks, "query_id", "left").join(kept, "query_id", "left")
+    none = F.array().cast("array<string>")
+    parts = F.concat(F.when(F.col("block").isNotNull(), F.array("block")).otherwise(none), F.when(F.col("c").isNotNull(), F.concat(F.array(F.lit(SECTION_BLOCK)), F.transform("c", lambda x: x["text"]))).otherwise(none))
+    first = F.array(source(F.lit("Entity Store"), F.concat(F.col("found").cast("string"), F.lit(" entities")), F.lit(1.0)))
+    nothing = F.array().cast("array<struct<source:string,title:string,score:double>>")
+    rest = F.transform("c", lambda x: source(x["source"], x["title"].cast("string"), x["score"].cast("double")))
+    return out.select("query_id", F.array_join(parts, cfg.separator).alias("context"), F.concat(F.when(F.col("block").isNotNull(), first).otherwise(nothing), F.coalesce(rest, nothing)).alias("sources"))

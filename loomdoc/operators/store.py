@@ -87,3 +87,53 @@ def scope_relations(entities: DataFrame, confidence: float = 0.8) -> tuple[DataF
 def defaulted(confidence: Column, page: Column, scope: Column) -> tuple[Column, Column, Column]:
     """What stands for nothing on reading: confidence 0 or null is 1, page null is 0, scope null is empty."""
     return F.coalesce(F.nullif(confidence, F.lit(0.0)), F.lit(1.0)), F.coalesce(page, F.lit(0)), F.coalesce(scope, F.lit(""))
+
+
+def get(entities: DataFrame, key) -> DataFrame:
+    """The entity with this id, if there is one."""
+    return entities.where(F.col("id") == F.lit(key))
+
+
+def cleared(table: DataFrame) -> DataFrame:
+    """No rows, the same columns."""
+    return table.where(F.lit(False))
+
+
+def encoded(table: DataFrame) -> DataFrame:
+    """Arrays and maps as JSON, times as ISO text: a table as it is stored."""
+    json = [F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("array", "map") else F.date_format(f.name, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(f.name) if f.dataType.typeName().startswith("timestamp") else F.col(f.name) for f in table.schema]
+    return table.select(*json)
+
+
+def decoded(rows: DataFrame) -> DataFrame:
+    """Stored rows as entities or relations: JSON parsed, times read, and what stands for nothing by default.
+
+    A JSON that can't be parsed is as an empty one, a time that can't be read is null. Other columns pass.
+    """
+    made = rows
+    if "aliases" in rows.columns:
+        made = made.withColumn("aliases", F.coalesce(F.from_json("aliases", "array<string>"), F.array().cast("array<string>")))
+    if "attributes" in rows.columns:
+        made = made.withColumn("attributes", F.coalesce(F.from_json("attributes", "map<string,string>"), F.create_map().cast("map<string,string>")))
+    if "created_at" in rows.columns:
+        made = made.withColumn("created_at", F.try_to_timestamp(F.col("created_at").cast("string")))
+    for name, nothing in (("source_id", ""), ("scope", ""), ("evidence", ""), ("page", 0)):
+        if name in rows.columns:
+            made = made.withColumn(name, F.coalesce(F.col(name), F.lit(nothing)))
+    if "confidence" in rows.columns:
+        made = made.withColumn("confidence", F.coalesce(F.nullif(F.col("confidence"), F.lit(0.0)), F.lit(1.0)))
+    return made
+
+
+def from_facts(facts: DataFrame) -> DataFrame:
+    """Facts (entity_type, name, attributes, source_id) as entities without an id."""
+    return facts.select(F.col("entity_type").alias("type"), F.col("name").alias("canonical_name"), "attributes", "source_id")
+
+
+def to_facts(entities: DataFrame) -> DataFrame:
+    return entities.select(F.col("type").alias("entity_type"), F.col("canonical_name").alias("name"), "attributes", "source_id")
+
+
+def search_facts(entities: DataFrame, query: str | None = None, entity_type: str | None = None, value: str | None = None) -> DataFrame:
+    """Facts of the entities found by query, or by value where there is no query."""
+    return to_facts(search(entities, query or value, entity_type))

@@ -60,3 +60,14 @@ def headers(first_row: Column, n: Column, cfg: TableConfig = TableConfig()) -> C
 
 def header_key(h: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(h), r"\s+", "_"), r"^_+|_+$", "")
+
+
+def measures(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Width, height and centre of a box."""
+    return F.struct((x1 - x0).alias("width"), (y1 - y0).alias("height"), ((x0 + x1) / 2).alias("center_x"), ((y0 + y1) / 2).alias("center_y"))
+
+
+def outlines(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """The least box around the cells of each group, and their raw text: cells of a row by ` | `, rows by line ends. cells: keys, row_index, text, x0, y0, x1, y1."""
+    rows = cells.groupBy(*keys, "row_index").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "y0", "text"))), lambda c: c["text"]), " | ").alias("row"))
+    return rows.groupBy(*keys).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_index", "row"))), lambda r: r["row"]), "\n").alias("raw_text"))

@@ -397,8 +397,18 @@ def tree_stats(spark, d):
 
 @query("SELECT conv_id AS doc_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations WHERE text <> '' GROUP BY conv_id")
 def tree_text(spark, d):
-    rows = _t(spark, d, "conversations").where("text <> ''")
-    return rows.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    return tree.text(_t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), "text"))
+
+
+@query("SELECT conv_id AS doc_id, max(turn // 4) AS pages, count(*) AS elements FROM conversations GROUP BY conv_id")
+def tree_extent(spark, d):
+    return tree.extent(_layout(spark, d))
+
+
+@query(f"""WITH n AS ({LEVELS}) SELECT doc_id, pos, (SELECT max(p.pos) FROM n p WHERE p.doc_id = n.doc_id AND p.pos < n.pos AND p.level = n.level - 1) AS parent FROM n""")
+def tree_insert(spark, d):
+    n = _t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), (F.col("turn") % 3 + 1).alias("level"))
+    return tree.deepest_first(n).select("doc_id", "pos", "parent")
 
 
 # --- retrieval
@@ -507,3 +517,92 @@ def collection_upsert(spark, d):
     store_.upsert("documents", points.where("id % 10 = 0").withColumn("text", F.lit("new")))
     store_.delete_source("documents", "de")
     return store_.read("documents").groupBy("source_id").agg(F.count("*").alias("n"), F.sum("id").alias("ids"), F.count_if(F.col("text") == "new").alias("changed"))
+
+
+# --- stored rows, facts, entities and chunks for a question
+
+@query("SELECT c_custkey AS id, c_name AS canonical_name FROM customer WHERE c_custkey = 7")
+def entity_get(spark, d):
+    return store.get(_customers(spark, d), 7).select("id", "canonical_name")
+
+
+@query("""SELECT id, type, source_entity_id, target_entity_id FROM (SELECT o_orderkey AS id, 'ordered' AS type, o_custkey AS source_entity_id, o_orderkey % 97 AS target_entity_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
+UNION ALL SELECT l_orderkey, 'holds', l_orderkey, arg_max(l_partkey, l_linenumber) FROM lineitem GROUP BY l_orderkey)""")
+def relation_upsert(spark, d):
+    """Of an order's lines the last one counts."""
+    new = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.lit("holds").alias("type"), F.col("l_orderkey").alias("source_entity_id"), F.col("l_partkey").alias("target_entity_id"), F.col("l_linenumber").alias("ord"))
+    return store.upsert(_orders(spark, d), new)
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 2 END AS aliases, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_brand END AS brand, p_size % 5 AS page, CASE WHEN p_partkey % 2 = 0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS confidence, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE 2024 END AS year FROM part""")
+def store_decode(spark, d):
+    """Parts as stored rows, read back: lists, maps and times as text, nulls and zeros for nothing."""
+    k = F.col("p_partkey")
+    rows = _t(spark, d, "part").select(k.alias("id"), F.when(k % 3 != 0, F.array("p_name", "p_type")).alias("aliases"), F.when(k % 4 != 0, F.create_map(F.lit("brand"), F.col("p_brand"))).alias("attributes"), F.nullif(F.col("p_size") % 5, F.lit(0)).alias("page"), F.when(k % 2 == 0, 0.0).otherwise(0.5).alias("confidence"), F.when(k % 5 != 0, F.lit("2024-05-06T07:08:09.123456").cast("timestamp")).alias("created_at"))
+    out = store.decoded(store.encoded(rows))
+    return out.select("id", F.size("aliases").alias("aliases"), F.col("attributes")["brand"].alias("brand"), "page", "confidence", F.year("created_at").alias("year"))
+
+
+@query("SELECT 'part' AS entity_type, p_name AS name, p_brand AS brand, CAST(p_size AS VARCHAR) AS source_id FROM part WHERE p_name ILIKE '%ring%' ORDER BY p_retailprice DESC, p_partkey LIMIT 100")
+def fact_search(spark, d):
+    e = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lit("part").alias("type"), F.col("p_name").alias("canonical_name"), F.create_map(F.lit("brand"), F.col("p_brand")).alias("attributes"), F.col("p_size").cast("string").alias("source_id"), F.col("p_retailprice").alias("confidence"))
+    return store.search_facts(e, entity_type="part", value="Ring").select("entity_type", "name", F.col("attributes")["brand"].alias("brand"), "source_id")
+
+
+@query("SELECT count(*) AS chunks, min(length(text)) AS least, max(length(text)) AS greatest, sum(length(text))::BIGINT // count(*) AS mean FROM documents")
+def chunk_sizes(spark, d):
+    return chunking.size_stats(_docs(spark, d))
+
+
+@query("SELECT page_id AS id, regexp_extract(rtrim(url, '/'), '([^/]*)$', 1) AS name, CASE WHEN length(html) > 50 THEN concat(substring(html, 1, 50), '...') ELSE html END AS preview FROM pages")
+def page_previews(spark, d):
+    return _t(spark, d, "pages").select(F.col("page_id").alias("id"), T.basename(F.col("url")).alias("name"), T.preview(F.col("html")).alias("preview"))
+
+
+@query("SELECT 0 AS page, 10.0::DOUBLE AS x0, 0.0::DOUBLE AS y0, 355.0::DOUBLE AS x1, 100.0::DOUBLE AS y1, concat_ws(chr(10), 'Course Code | Course Title | Credits', 'U18ECT3101 | Digital Signal Processing | 4', 'U18ECT3102 | Control Systems', '3', 'plain paragraph') AS raw_text")
+def table_outlines(spark, d):
+    return tables.outlines(tables.grouped_rows(_cells(spark)), ["doc_id", "page"]).drop("doc_id")
+
+
+QUESTIONS = "SELECT vec_id AS query_id, embedding, CASE WHEN vec_id % 40 = 0 THEN concat('List semester ', vec_id % 50 + 1) ELSE concat('What is ', p_name) END AS query FROM embeddings LEFT JOIN part ON p_partkey = vec_id WHERE vec_id % 20 = 0"
+PARTS = "SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'course' ELSE 'part' END AS type, p_name AS canonical_name, concat('Semester ', p_size) AS scope, p_retailprice AS confidence, p_brand, p_type FROM part"
+HITS_SQL = f"""q AS ({QUESTIONS}), e AS ({PARTS}),
+asked AS (SELECT query_id, query, vec_id_list, {TERMS.replace("lower(text)", "lower(query)")} AS terms FROM (SELECT *, query LIKE 'List%' OR {" OR ".join(f"contains(lower(query), '{w}')" for w in RetrievalConfig().listing_words)} AS vec_id_list FROM q)),
+listed AS (SELECT query_id, 0 AS term_place, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, id) AS place, e.* FROM asked JOIN e ON type = 'course' AND contains(lower(scope), coalesce(nullif(regexp_extract(lower(query), 'semester\\s*([ivxlcdm]+|\\d+)', 0), ''), '')) WHERE vec_id_list),
+words AS (SELECT query_id, unnest(range(len(terms))) AS term_place, unnest(terms) AS term FROM asked WHERE NOT vec_id_list),
+found AS (SELECT query_id, term_place, row_number() OVER (PARTITION BY query_id, term_place ORDER BY confidence DESC, id) AS place, e.* FROM words JOIN e ON contains(lower(canonical_name), term) OR contains('brand', term) OR contains('kind', term) OR contains('pattern', term) OR contains('x', term) OR contains(lower(p_brand), term) OR contains(lower(p_type), term)),
+once AS (SELECT * FROM (SELECT * FROM listed WHERE place <= 20 UNION ALL SELECT * FROM found WHERE place <= 6) QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY term_place, place) = 1),
+hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY term_place, place) AS rank FROM once QUALIFY rank <= 20),
+blocks AS (SELECT query_id, concat('=== Extracted Entities ===', chr(10), string_agg(concat('\u2022 [', upper(type), '] ', canonical_name, ' (brand: ', p_brand, ', kind: ', p_type, ') [Scope: ', scope, ']'), chr(10) ORDER BY rank)) AS block, count(*) AS found FROM hits GROUP BY query_id)"""
+
+
+def _questions(spark, d):
+    both = _points(spark, d).where("id % 20 = 0").join(_t(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name"), "id", "left")
+    return both.select(F.col("id").alias("query_id"), "embedding", F.when(F.col("id") % 40 == 0, F.concat(F.lit("List semester "), (F.col("id") % 50 + 1).cast("string"))).otherwise(F.concat(F.lit("What is "), "p_name")).alias("query"))
+
+
+def _parts(spark, d):
+    attributes = F.create_map(F.lit("pattern"), F.lit("x"), F.lit("brand"), F.col("p_brand"), F.lit("kind"), F.col("p_type"))
+    return _t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 2 == 0, "course").otherwise("part").alias("type"), F.col("p_name").alias("canonical_name"), F.concat(F.lit("Semester "), F.col("p_size").cast("string")).alias("scope"), F.col("p_retailprice").alias("confidence"), attributes.alias("attributes"))
+
+
+@query(f"WITH {HITS_SQL} SELECT query_id, block, found FROM blocks")
+def entity_context(spark, d):
+    return retrieval.entity_context(_questions(spark, d).select("query_id", "query"), _parts(spark, d))
+
+
+@query(f"""WITH {HITS_SQL},
+scored AS (SELECT query_id, e.vec_id AS id, {DOT} AS score FROM q, embeddings e),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id, score FROM scored QUALIFY rank <= 3),
+chunks AS (SELECT query_id, rank, r.score, source, lang, concat('[Source: ', source, ' | Section: ', lang, ']', chr(10), text, chr(10)) AS chunk FROM ranked r JOIN documents ON doc_id = id),
+used AS (SELECT *, coalesce(length(block), 0) + sum(length(chunk)) OVER (PARTITION BY query_id ORDER BY rank) <= 8000 AS fits FROM chunks LEFT JOIN blocks USING (query_id)),
+kept AS (SELECT query_id, string_agg(concat(chr(10), '---', chr(10), chunk), '' ORDER BY rank) FILTER (fits) AS t, count(*) FILTER (fits) AS n, string_agg(concat('|', source, ':', lang, ':', round(score, 4)), '' ORDER BY rank) FILTER (fits) AS s FROM used GROUP BY query_id)
+SELECT q.query_id, concat(coalesce(concat(block, chr(10), '---', chr(10)), ''), CASE WHEN n IS NOT NULL THEN concat(chr(10), '=== Retrieved Document Sections ===') ELSE '' END, coalesce(t, '')) AS context,
+(CASE WHEN block IS NULL THEN 0 ELSE 1 END + coalesce(n, 0))::BIGINT AS sources FROM q LEFT JOIN blocks USING (query_id) LEFT JOIN kept USING (query_id)""")
+def hybrid_context(spark, d):
+    """Entities and the nearest documents for a twentieth of the vectors as questions, under one budget."""
+    q = _questions(spark, d)
+    near = vector.top_k_per_query(_points(spark, d), q.select("query_id", F.col("embedding").alias("query")), 3)
+    docs = _docs(spark, d).select("id", F.concat(F.lit("/data/"), "source_id").alias("source_id"), F.col("language").alias("title"), "text")
+    out = retrieval.hybrid_context(q.select("query_id", "query"), _parts(spark, d), near.join(docs, "id"))
+    return out.select("query_id", "context", F.size("sources").cast("long").alias("sources"))
