@@ -53,3 +53,18 @@ def table_scopes(sections: DataFrame, tables: DataFrame) -> DataFrame:
     carried = F.last(F.nullif(F.col("scope"), F.lit("")), True).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     first = sections.withColumn("scope", carried).where("scope is not null").groupBy("doc_id", "page").agg(F.min_by("scope", "pos").alias("scope"))
     return tables.join(first, ["doc_id", "page"], "left").withColumn("scope", F.coalesce("scope", F.lit("")))
+
+
+def flat_nodes(elements: DataFrame) -> DataFrame:
+    """The tree of elements (doc_id, pos, text, category, and page if known) that have categories but no layout, as nodes gives it.
+
+    A category that names a title or header makes a section of level 1; the rest are paragraphs under the last section (level 2), or under the root (1).
+    """
+    page = F.coalesce(F.nullif("page", F.lit(0)), F.lit(1)) if "page" in elements.columns else F.lit(1)
+    rows = elements.select("doc_id", "pos", page.alias("page"), strip(F.col("text")).alias("text"), F.coalesce(F.col("category").rlike("Title|Header"), F.lit(False)).alias("header")).where("text <> ''")
+    so_far = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    section = F.last(F.when(F.col("header"), F.col("pos")), True).over(so_far)
+    scope = F.last(F.nullif(strip(first_match(F.col("text"), LAYOUT_SCOPES)), F.lit("")), True).over(so_far)
+    rows = rows.withColumn("section", section).withColumn("scope", F.coalesce(scope, F.lit("")))
+    level = F.when(F.col("header") | F.col("section").isNull(), 1).otherwise(2)
+    return rows.select("doc_id", "pos", "page", F.when(F.col("header"), "section").otherwise("paragraph").alias("type"), "text", level.alias("level"), "scope", F.when(~F.col("header"), F.col("section")).alias("parent"))

@@ -606,3 +606,11 @@ def hybrid_context(spark, d):
     docs = _docs(spark, d).select("id", F.concat(F.lit("/data/"), "source_id").alias("source_id"), F.col("language").alias("title"), "text")
     out = retrieval.hybrid_context(q.select("query_id", "query"), _parts(spark, d), near.join(docs, "id"))
     return out.select("query_id", "context", F.size("sources").cast("long").alias("sources"))
+
+
+@query("""WITH n AS (SELECT conv_id AS doc_id, turn AS pos, role = 'user' AS header, trim(text) AS text FROM conversations WHERE trim(text) <> ''),
+s AS (SELECT *, max(CASE WHEN header THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM n)
+SELECT doc_id, pos, CASE WHEN header THEN 'section' ELSE 'paragraph' END AS type, CASE WHEN header OR section IS NULL THEN 1 ELSE 2 END AS level, CASE WHEN NOT header THEN section END AS parent FROM s""")
+def flat_nodes(spark, d):
+    e = _t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), "text", F.when(F.col("role") == "user", "Title").otherwise("NarrativeText").alias("category"))
+    return layout.flat_nodes(e).select("doc_id", "pos", "type", "level", "parent")

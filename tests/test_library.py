@@ -205,3 +205,20 @@ def test_search_of_odd_vectors(spark):
     q = p.select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
     assert sorted((r.query_id, r.rank, r.id) for r in vector.top_k_per_query(p, q, 5).collect()) == [(1, 1, 1), (1, 2, 6), (6, 1, 1), (6, 2, 6)]
     assert vector.top_k_per_query(p, q.where("false"), 5).count() == 0 and vector.top_k_per_query(p.where("false"), q, 5).count() == 0
+
+
+def test_files_by_their_suffix(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "a.txt").write_bytes(b"one\n\ntwo \xff")
+    (tmp_path / "in" / "b.HTML").write_text("skipped: the suffix is matched as it stands")
+    (tmp_path / "in" / "c.html").write_text("<title>T</title><p>x &amp; y</p>")
+    (tmp_path / "d.docx").write_bytes(b"no archive")
+    (tmp_path / "e.pdf").write_bytes(b"%PDF")
+    (tmp_path / "f.png").write_bytes(b"x")
+    rows = readers.file_elements(spark, f"file://{tmp_path}").collect()
+    got = sorted((r.doc_id.rsplit("/", 1)[1], r.pos, r.text, r.category, bool(r.error)) for r in rows)
+    assert got == [("a.txt", 0, "one", "NarrativeText", False), ("a.txt", 1, "two \ufffd", "NarrativeText", False), ("c.html", 0, "T", "Title", False), ("c.html", 1, "x & y", "NarrativeText", False), ("d.docx", 0, None, None, True), ("e.pdf", 0, None, None, True)]
+    assert readers.outcome(readers.report(readers.file_elements(spark, f"file://{tmp_path}"))).first().asDict() == {"total": 4, "succeeded": 2, "failed": 2}
+    assert readers.document(spark, f"file://{tmp_path}/a.txt").count() == 2
+    with pytest.raises(ValueError):
+        readers.document(spark, f"file://{tmp_path}/f.png")
