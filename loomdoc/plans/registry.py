@@ -597,7 +597,7 @@ ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY sc
 chunks AS (SELECT query_id, rank, r.score, source, lang, concat('[Source: ', source, ' | Section: ', lang, ']', chr(10), text, chr(10)) AS chunk FROM ranked r JOIN documents ON doc_id = id),
 used AS (SELECT *, coalesce(length(block), 0) + sum(length(chunk)) OVER (PARTITION BY query_id ORDER BY rank) <= 8000 AS fits FROM chunks LEFT JOIN blocks USING (query_id)),
 kept AS (SELECT query_id, string_agg(concat(chr(10), '---', chr(10), chunk), '' ORDER BY rank) FILTER (fits) AS t, count(*) FILTER (fits) AS n, string_agg(concat('|', source, ':', lang, ':', round(score, 4)), '' ORDER BY rank) FILTER (fits) AS s FROM used GROUP BY query_id)
-SELECT q.query_id, concat(coalesce(concat(block, chr(10), '---', chr(10)), ''), CASE WHEN n IS NOT NULL THEN concat(chr(10), '=== Retrieved Document Sections ===') ELSE '' END, coalesce(t, '')) AS context,
+SELECT q.query_id, concat(coalesce(block, ''), CASE WHEN block IS NOT NULL AND n IS NOT NULL THEN concat(chr(10), '---', chr(10)) ELSE '' END, CASE WHEN n IS NOT NULL THEN concat(chr(10), '=== Retrieved Document Sections ===') ELSE '' END, coalesce(t, '')) AS context,
 (CASE WHEN block IS NULL THEN 0 ELSE 1 END + coalesce(n, 0))::BIGINT AS sources FROM q LEFT JOIN blocks USING (query_id) LEFT JOIN kept USING (query_id)""")
 def hybrid_context(spark, d):
     """Entities and the nearest documents for a twentieth of the vectors as questions, under one budget."""

@@ -165,7 +165,7 @@ def test_collections(spark, tmp_path):
 
 def test_title_characters_are_counted(spark, tmp_path):
     spark.createDataFrame([(1, "<title> A &amp; B </title><p>x"), (2, "<title>Long<br> title</title>")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    got = {r.doc_id: (r.n, r.chars, r.digest) for r in registry.QUERIES["html_title_texts"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.n, r.chars, r.digest) for r in registry.QUERIES["html_titles"](spark, str(tmp_path)).collect()}
     assert got == {i: (1, len(t), hashlib.sha256(t.encode()).hexdigest()) for i, t in ((1, "A & B"), (2, "Long title"))}
 
 
