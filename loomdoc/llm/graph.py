@@ -11,26 +11,30 @@ from ..plans.scratch import dropped, written
 HOT_LINKS, MOST_HOT = 256, 200_000
 
 
-def _large_stars(edges: DataFrame, links: int) -> DataFrame:
-    """Each greater neighbour of a node, linked with the least of the node and its neighbours.
+def _least_by_node(rows: DataFrame, low: DataFrame, links: int) -> DataFrame:
+    """(v, m): rows (u, v) with the value m of low (u, m, n: rows of u) instead of u.
 
-    A node's links meet its minimum by a join on the node, but for hot nodes: their minima (MOST_HOT rows at most) are broadcast, so that no task
-    takes all links of a large star.
+    Rows meet low by a join on the node, but for hot nodes: their values (MOST_HOT rows at most) are broadcast, so that no task takes all rows of a
+    large star.
     """
+    bar = max(HOT_LINKS, -(-2 * links // MOST_HOT))
+    marked = rows.join(F.broadcast(low.where(F.col("n") > bar).select("u", F.col("m").alias("hot"))), "u", "left")
+    cold = marked.where("hot is null").select("u", "v").join(low.where(F.col("n") <= bar).select("u", "m"), "u").select("v", "m")
+    return cold.unionByName(marked.where("hot is not null").select("v", F.col("hot").alias("m")))
+
+
+def _large_stars(edges: DataFrame, links: int) -> DataFrame:
+    """Each greater neighbour of a node, linked with the least of the node and its neighbours."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
-    bar = max(HOT_LINKS, -(-2 * links // MOST_HOT))
-    marked = both.where("v > u").join(F.broadcast(least.where(F.col("n") > bar).select("u", F.col("m").alias("hot"))), "u", "left")
-    cold = marked.where("hot is null").select("u", "v").join(least.where(F.col("n") <= bar).select("u", "m"), "u").select("v", "m")
-    every = cold.unionByName(marked.where("hot is not null").select("v", F.col("hot").alias("m")))
-    return every.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return _least_by_node(both.where("v > u"), least, links).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_stars(edges: DataFrame) -> DataFrame:
-    """Each node's lesser neighbours, linked with the least of them; and the node itself."""
+def _small_stars(edges: DataFrame, links: int) -> DataFrame:
+    """Each node's lesser neighbours, linked with the least of them; and the node itself. links: a bound of the rows of edges."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
-    small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+    low = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    small = _least_by_node(down, low, links).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
     return small.where("u <> v").distinct()
 
 
@@ -43,7 +47,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     sign, links = None, edges.count()
     for _ in range(rounds):
-        new = written(_small_stars(_large_stars(edges, links)), "stars")
+        new = written(_small_stars(_large_stars(edges, links), links), "stars")
         now = tuple(new.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
         dropped(edges)
         edges, links = new, now[0]

@@ -43,6 +43,8 @@ from .kernels import SPACED, Words, arrow_rows, lean, mix, slices, windows
 
 #: A set of ids up to this size is broadcast (8 bytes each); a larger one is joined by shuffle.
 BROADCAST_IDS = 2_000_000
+#: A document in more candidate pairs than this is hot: its set is copied for each PARTNERS of them.
+PARTNERS = 256
 
 
 @dataclass(frozen=True)
@@ -122,16 +124,32 @@ def _sets(docs: DataFrame, cfg: Config) -> DataFrame:
     return docs.mapInArrow(lean(run), schema)
 
 
+def _with_sets(rows: DataFrame, pairs: DataFrame, sets: DataFrame, by: str, other: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """rows (u, v of pairs, and more) with the set of their document `by` as `name`; and the table of hot documents, to be dropped when these are used up.
+
+    A document of more than PARTNERS pairs, such as the first of a large group, is salted: its pairs are dealt by `other`, and its set is copied once for
+    each salt, so that the copies number a PARTNERS-th of the pairs and no task takes all pairs of one document.
+    """
+    many = written(pairs.groupBy(by).agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("salts")).where("salts > 1"), "many")
+    few = F.broadcast(many) if many.count() <= BROADCAST_IDS else many
+    salt = F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(other), "salts")).cast("int")
+    dealt = rows.join(few, by, "left").withColumn("salt", salt).drop("salts")
+    copies = F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)
+    copied = sets.select(F.col("doc_id").alias(by), F.col("s").alias(name)).join(few, by, "left").select(by, name, F.explode(copies).alias("salt"))
+    return dealt.join(copied, [by, "salt"]).drop("salt"), many
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, cfg: Config) -> DataFrame:
-    """The pairs (u, v) whose full sets meet the similarity. docs: doc_id, text, one row for each id at least."""
+    """The pairs (u, v), all different, whose full sets meet the similarity. docs: doc_id, text, one row for each id at least."""
     ids = written(pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct(), "ids")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     sets = written(_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi"), cfg), "sets")
-    left, right = sets.select(F.col("doc_id").alias("u"), F.col("s").alias("su")), sets.select(F.col("doc_id").alias("v"), F.col("s").alias("sv"))
     both = F.size(F.array_intersect("su", "sv"))
-    held = pairs.join(left, "u").join(right, "v").where(100 * both >= cfg.percent * (F.size("su") + F.size("sv") - both)).select("u", "v").distinct()
+    half, hot_u = _with_sets(pairs, pairs, sets, "u", "v", "su")
+    met, hot_v = _with_sets(half, pairs, sets, "v", "u", "sv")
+    held = met.where(100 * both >= cfg.percent * (F.size("su") + F.size("sv") - both)).select("u", "v").distinct()
     held = written(held, "links")
-    dropped(ids, sets)
+    dropped(ids, sets, hot_u, hot_v)
     return held
 
 

@@ -49,8 +49,9 @@ def words(text, pattern=rb"[^\x20\x09-\x0D]+"):
     return re.findall(pattern, (text or "").encode().translate(LOW))
 
 
-@pytest.mark.parametrize(("k", "hot"), [(2, 50_000), (5, 50_000), (2, 1)])
-def test_near_duplicates(docs, none, k, hot):
+@pytest.mark.parametrize(("k", "hot", "partners"), [(2, 50_000, 256), (5, 50_000, 1), (2, 1, 2)])
+def test_near_duplicates(docs, none, monkeypatch, k, hot, partners):
+    monkeypatch.setattr(minhash, "PARTNERS", partners)
     got = minhash.near_duplicates(docs, minhash.Config(words=k, hot=hot)).collect()
     sets = {}
     for i, t, *_ in corpus():
