@@ -38,22 +38,30 @@ def _small_stars(edges: DataFrame, links: int) -> DataFrame:
     return small.where("u <> v").distinct()
 
 
+def _state(edges: DataFrame) -> tuple[int, bool]:
+    """The number of links (u > v, all different), and whether they are stars: each u has one v, and no v is a u."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    links, stars = nodes.agg(F.coalesce(F.sum("up"), F.lit(0)), F.coalesce(F.min(F.expr("up + down <= 1")), F.lit(True))).first()
+    return links, stars
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label) for every end of `edges` (u, v long): the least node it is linked with, itself included.
 
-    Each round's links are written to the shared folder. The number of rounds grows with the square of the logarithm of the longest path at most;
-    `rounds` is a guard against links that change between reads, and an error.
+    Each round's links are written to the shared folder, until they are stars. The number of rounds grows with the square of the logarithm of the longest
+    path at most; `rounds` is a guard against links that change between reads, and an error.
     """
     edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-    sign, links = None, edges.count()
+    links, stars = _state(edges)
     for _ in range(rounds):
-        new = written(_small_stars(_large_stars(edges, links), links), "stars")
-        now = tuple(new.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
-        dropped(edges)
-        edges, links = new, now[0]
-        if now == sign:
+        if stars:
             break
-        sign = now
+        large = written(_large_stars(edges, links), "large")
+        new = written(_small_stars(large, links), "stars")
+        dropped(edges, large)
+        edges = new
+        links, stars = _state(edges)
     else:
         raise RuntimeError("components: no fixed point")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
