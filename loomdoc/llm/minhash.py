@@ -195,13 +195,21 @@ def near_duplicates(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
     mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2").select("key")
     open_ = written(named.join(mixed, "key", "left_semi").select("rep", "label").distinct(), "open")
     late = confirmed(_late_links(open_, reps, docs, cfg), docs, cfg)
-    if late.limit(1).count():
-        label = written(components(links.unionByName(late)), "labels")
-
+    n_late = late.count()
+    if n_late > BROADCAST_IDS // 2:
+        label, n_late = written(components(links.unionByName(late)), "labels"), 0
     classes = reps.select("n", "h1", "h2", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("n", "h1", "h2", F.col("rep").alias("class_id"), F.coalesce("label", "rep").alias("component_id"))
+    merged = None
+    if n_late:  # they link whole components: at most two names a link, so that the table of new names can be broadcast
+        both = late
+        for end in ("u", "v"):
+            both = both.join(label.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label")), end, "left").withColumn(f"{end}_label", F.coalesce(f"{end}_label", end))
+        merged = written(components(both.select(F.col("u_label").alias("u"), F.col("v_label").alias("v"))), "merged")
+        names = F.broadcast(merged.select(F.col("node").alias("component_id"), F.col("label").alias("merged")))
+        classes = classes.join(names, "component_id", "left").withColumn("component_id", F.coalesce("merged", "component_id")).drop("merged")
     out = sig.select("doc_id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component_id", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"))
     out = written(out, "near")
-    dropped(sig, reps, hot, met, pairs, links, label, open_, late)
+    dropped(sig, reps, hot, met, pairs, links, label, open_, late, *([merged] if merged else []))
     return out
 
 
