@@ -291,6 +291,30 @@ def _late_links(open_: DataFrame, reps: DataFrame, docs: DataFrame, cfg: Config)
     return links
 
 
+def oracle(words: int = 2, percent: int = 80) -> str:
+    """near_duplicates() of documents (each doc_id once) in DuckDB: all pairs of different sets."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    shingle = " || ' ' || ".join(f"w[i + {j}]" for j in range(words))
+    return f"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(text, '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= {words} THEN list_sort(list_distinct([{shingle} for i in range(1, len(w) - {words - 2})]))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM split
+), classes AS (
+  SELECT s, len(s) AS n, min(doc_id) AS rep FROM sets WHERE len(s) > 0 GROUP BY s
+), links AS (
+  SELECT a.rep AS u, b.rep AS v, a.n + b.n AS total, len(list_intersect(a.s, b.s)) AS shared
+  FROM classes a JOIN classes b ON a.rep <> b.rep AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
+), met AS MATERIALIZED (SELECT u, v FROM links WHERE 100 * shared >= {percent} * (total - shared)
+), reach AS (SELECT rep AS node, rep AS label FROM classes UNION SELECT met.v, reach.label FROM reach JOIN met ON met.u = reach.node
+), named AS (SELECT node, min(label) AS component FROM reach GROUP BY node)
+SELECT doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id,
+  coalesce(component, doc_id) = doc_id AS kept, coalesce(rep, doc_id) AS class_id
+FROM sets LEFT JOIN classes ON sets.s = classes.s LEFT JOIN named ON named.node = classes.rep
+"""
+
+
 def deduplicated(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
     """docs with one document of each group: that of the least doc_id. Rows that repeat a doc_id go too; rows without doc_id stay."""
     near = near_duplicates(docs, cfg)

@@ -56,4 +56,4 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_substring, op2_minhash, op3_toxicity, op4_token_shards, op5_token_counts, op6_packing, op7_main_text, op8_decontamination, op9_quality, op10_licences)}
-ORACLES = {"op8_decontamination": decontam.oracle(), "op10_licences": license.oracle()}
+ORACLES = {"op2_minhash": minhash.oracle(), "op8_decontamination": decontam.oracle(), "op10_licences": license.oracle()}
