@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmlmain, license, minhash, packing, prefixtrie, quality, substring, tokenbin, tokencount, toxicity
+from . import decontam, htmlmain, license, minhash, ngramjoin, packing, prefixtrie, quality, substring, tokenbin, tokencount, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,5 +60,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.report(_table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring, op2_minhash, op3_toxicity, op4_token_shards, op5_token_counts, op6_packing, op7_main_text, op8_decontamination, op9_quality, op10_licences, op11_prefix_trie)}
-ORACLES = {"op2_minhash": minhash.oracle(), "op8_decontamination": decontam.oracle(), "op10_licences": license.oracle(), "op11_prefix_trie": prefixtrie.oracle()}
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents joined by the similarity of their sets of five words."""
+    return ngramjoin.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring, op2_minhash, op3_toxicity, op4_token_shards, op5_token_counts, op6_packing, op7_main_text, op8_decontamination, op9_quality, op10_licences, op11_prefix_trie, op12_jaccard_join)}
+ORACLES = {"op2_minhash": minhash.oracle(), "op8_decontamination": decontam.oracle(), "op10_licences": license.oracle(), "op11_prefix_trie": prefixtrie.oracle(), "op12_jaccard_join": ngramjoin.oracle()}
