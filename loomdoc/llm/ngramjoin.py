@@ -5,13 +5,14 @@
 2. All shingles get one global order: by hash, but for common ones, which come last, the most common at the very end. Two sets of the similarity
    share one of their first n - ceil(percent * n / 100) + 1 shingles in any order; with this one, such a prefix holds a common passage only if most of the
    text is made of such. Which shingles count as common changes the work alone, never the result.
-3. The least holder of each prefix shingle and the holder before are paired with a holder, for the first `lead` places of its prefix. These pairs
-   are confirmed and joined to components.
+3. A holder of a prefix shingle is paired with the least holder and with the one before, for the first and the last `lead` shared shingles of its prefix. These
+   pairs are confirmed and joined to components.
 4. What can still link two components are pairs that share a prefix shingle and carry different labels. They are found within blocks of bounded size, by
    sizes and places (a shingle at place i leaves n - i - 1 others at most), and confirmed too. A group of near copies that is one component by now costs nothing more.
-5. To confirm pairs, the order by hash is cut into `fragments`. Sets are cut at the same places; the fragments of two blocks of documents meet in one
-   cell, where the overlaps of the cell's pairs are counted, and a pair's counts are summed over its fragments. A document is copied once for each
-   cell that it is needed in, not for each pair, and a long one is dealt over the fragments.
+5. To confirm pairs, the overlap of their prefixes is counted first: what lies beyond can't make up for too few. For the pairs that are left the order by hash is cut
+   into `fragments`. Sets are cut at the same places; the fragments of two blocks of documents meet in one cell, where the overlaps of the cell's
+   pairs are counted, and a pair's counts are summed over its fragments. A document is copied once for each cell that it is needed in, not for
+   each pair, and a long one is dealt over the fragments.
 
 The similarity is tested in whole numbers: 100 * intersection >= percent * union. Shingles are 64-bit hashes of whole texts, lower-cased from A-Z.
 
@@ -49,7 +50,7 @@ class Config:
     chunk: int = 4_000_000
     local: int = 4
     common: int = 500_000
-    #: Places of a prefix that give the first pairs.
+    #: Shared shingles at either end of a prefix that give the first pairs.
     lead: int = 8
     #: Documents and shingles of a block whose pairs are confirmed together; holders of a shingle in a block that are compared with each other.
     block: int = 1024
@@ -179,13 +180,13 @@ def _dealt(rows: DataFrame, *group: str) -> DataFrame:
 
 
 def _first_pairs(holders: DataFrame, cfg: Config) -> DataFrame:
-    heads = _dealt(holders.where("wide and back is null").select("key", "rep", "n", "pos"), "key")
-    out = None
-    for dealt in (holders, heads):
-        for at in ("head", "back"):
-            found = dealt.where((F.col("back").isNotNull()) & (F.col("pos") < cfg.lead) & _fits(F.col("n"), F.col(f"{at}_n"), cfg)).select(F.col("rep").alias("u"), F.col(at).alias("v"))
-            out = found if out is None else out.unionByName(found)
-    return out.where("u <> v").distinct()
+    """(u, v): a holder with the least one and with the one before, for the rarest and the most common of its shared prefix shingles: these meet near copies, those what few others hold."""
+    heads = _dealt(holders.where("wide and back is null").select("key", "rep", "n", "pos"), "key").select("rep", "n", "head", "head_n", "back", "back_n")
+    place = lambda by: F.row_number().over(Window.partitionBy("rep").orderBy(by, "key"))
+    lead = holders.withColumns({"rare": place(F.asc("pos")), "often": place(F.desc("pos"))}).where((F.col("rare") <= cfg.lead) | (F.col("often") <= cfg.lead))
+    rows = lead.select("rep", "n", "head", "head_n", "back", "back_n").unionByName(heads).where("back is not null")
+    pairs = [rows.where(_fits(F.col("n"), F.col(f"{at}_n"), cfg)).select(F.col("rep").alias("u"), F.col(at).alias("v")) for at in ("head", "back")]
+    return pairs[0].unionByName(pairs[1]).where("u <> v").distinct()
 
 
 def _late_pairs(holders: DataFrame, label: DataFrame, cfg: Config) -> DataFrame:
@@ -282,12 +283,42 @@ def _counted(cfg: Config):
     return lean(run)
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, cfg: Config) -> DataFrame:
-    """The pairs (u, v), all different, that are similar: their overlaps are counted in fragments and summed."""
+def _met(pairs: DataFrame, segments: DataFrame, fragments: int, cfg: Config) -> DataFrame:
+    """u, v, hu, hv, total (both sizes), both (summed overlap) of the pairs (u, v) by segments (rep, h, n, f, s)."""
+    of, shingles = segments.agg(F.count_distinct("rep"), F.coalesce(F.sum(F.size("s")), F.lit(0))).first()
+    blocks = max(1, -(-of // cfg.block), -(-shingles // cfg.block_shingles))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    placed = pairs.select(block("u").alias("bu"), block("v").alias("bv"), "u", "v")
+    needed = placed.select("bu", "bv", F.col("u").alias("rep")).unionByName(placed.select("bu", "bv", F.col("v").alias("rep"))).distinct()
+    zero = F.lit(0).cast("long")
+    sets = needed.join(segments, "rep").select(*CELL, F.lit(0).alias("kind"), F.col("rep").alias("a"), zero.alias("b"), "h", "n", "s")
+    asked = placed.select(F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))).alias("f"), "bu", "bv", F.lit(1).alias("kind"), F.col("u").alias("a"), F.col("v").alias("b"), zero.alias("h"), zero.alias("n"), F.array().cast("array<long>").alias("s"))
+    cells = sets.unionByName(asked).repartition(*CELL).sortWithinPartitions(*CELL, "kind", "a")
+    partial = cells.mapInArrow(_counted(cfg), "u long, v long, hu long, hv long, total long, both long")
+    return partial.groupBy("u", "v", "hu", "hv").agg(F.sum("both").alias("both"), F.first("total").alias("total"))
+
+
+def _promising(pairs: DataFrame, holders: DataFrame, cfg: Config) -> DataFrame:
+    """The pairs that share enough of their prefixes.
+
+    Of the two prefixes one ends first in the global order; what both sets share up to there lies in both prefixes, and what is left of that set is all that
+    can be shared beyond. Shared prefix shingles have two holders by definition, so that holders has all of them.
+    """
+    ids = written(pairs.select(F.col("u").alias("rep")).unionByName(pairs.select(F.col("v").alias("rep"))).distinct(), "ids")
+    held = holders.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "rep", "left_semi").groupBy("rep", "n").agg(F.sort_array(F.collect_set("key")).alias("s"))
+    held = written(held.select("rep", F.col("n").alias("h"), "n", F.lit(0).alias("f"), "s"), "held")
+    rest = lambda n: F.ceil(cfg.percent * F.col(n) / 100) - 1
+    enough = (100 + cfg.percent) * (F.col("both") + F.greatest(rest("hu"), rest("hv"))) >= cfg.percent * F.col("total")
+    out = written(_met(pairs, held, 1, cfg).where(enough).select("u", "v").distinct(), "promising")
+    dropped(ids, held)
+    return out
+
+
+def confirmed(pairs: DataFrame, holders: DataFrame, classes: DataFrame, docs: DataFrame, cfg: Config) -> DataFrame:
+    """The pairs (u, v), all different, that are similar: overlaps are counted in fragments and summed, those of the prefixes first."""
+    pairs = _promising(pairs, holders, cfg)
     ids = written(pairs.select(F.col("u").alias("rep")).unionByName(pairs.select(F.col("v").alias("rep"))).distinct(), "ids")
     wanted = classes.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "rep", "left_semi")
-    of, shingles = wanted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    blocks = max(1, -(-of // cfg.block), -(-shingles // cfg.block_shingles))
     cuts = np.array([(i << 64) // cfg.fragments for i in range(1, cfg.fragments)], dtype=np.uint64)
 
     def make(rep, n, h, s):
@@ -299,17 +330,8 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, cfg: Config
 
     schema = pa.schema([("rep", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("f", pa.int32()), ("s", pa.list_(pa.int64()))])
     segments = written(_sets_of(wanted, docs, cfg, make, schema, "rep long, h long, n long, f int, s array<long>"), "segments")
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
-    placed = pairs.select(block("u").alias("bu"), block("v").alias("bv"), "u", "v")
-    needed = placed.select("bu", "bv", F.col("u").alias("rep")).unionByName(placed.select("bu", "bv", F.col("v").alias("rep"))).distinct()
-    zero = F.lit(0).cast("long")
-    sets = needed.join(segments, "rep").select(*CELL, F.lit(0).alias("kind"), F.col("rep").alias("a"), zero.alias("b"), "h", "n", "s")
-    asked = placed.select(F.explode(F.sequence(F.lit(0), F.lit(cfg.fragments - 1))).alias("f"), "bu", "bv", F.lit(1).alias("kind"), F.col("u").alias("a"), F.col("v").alias("b"), zero.alias("h"), zero.alias("n"), F.array().cast("array<long>").alias("s"))
-    cells = sets.unionByName(asked).repartition(*CELL).sortWithinPartitions(*CELL, "kind", "a")
-    partial = cells.mapInArrow(_counted(cfg), "u long, v long, hu long, hv long, total long, both long")
-    sums = partial.groupBy("u", "v", "hu", "hv").agg(F.sum("both").alias("both"), F.first("total").alias("total"))
-    out = written(sums.where(100 * F.col("both") >= cfg.percent * (F.col("total") - F.col("both"))).select("u", "v").distinct(), "links")
-    dropped(ids, segments)
+    out = written(_met(pairs, segments, cfg.fragments, cfg).where(100 * F.col("both") >= cfg.percent * (F.col("total") - F.col("both"))).select("u", "v").distinct(), "links")
+    dropped(pairs, ids, segments)
     return out
 
 
@@ -335,11 +357,11 @@ def jaccard_components(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
     common = _common(first, cfg)
     holders = _holders(_prefixes(classes, docs, common, cfg), common, cfg)
     pairs = written(_first_pairs(holders, cfg), "pairs")
-    links = confirmed(pairs, classes, docs, cfg)
+    links = confirmed(pairs, holders, classes, docs, cfg)
     label = written(components(links), "labels")
     candidates = _late_pairs(holders, label, cfg)
     untried = written(candidates.join(pairs, ["u", "v"], "left_anti"), "untried")
-    late = confirmed(untried, classes, docs, cfg)
+    late = confirmed(untried, holders, classes, docs, cfg)
     if not late.isEmpty():
         old, label = label, _joined(label, late)
         dropped(old)
