@@ -7,8 +7,8 @@
    text is made of such. Which shingles count as common changes the work alone, never the result.
 3. A holder of a prefix shingle is paired with the least holder and with the one before, for the first and the last `lead` shared shingles of its prefix. These
    pairs are confirmed and joined to components.
-4. What can still link two components are pairs that share a prefix shingle and carry different labels. They are found within blocks of bounded size, by
-   sizes and places (a shingle at place i leaves n - i - 1 others at most), and confirmed too. A group of near copies that is one component by now costs nothing more.
+4. What can still link two components are pairs that share a prefix shingle and carry different labels. They are found within blocks of bounded size, by sizes
+   and by what is left of both prefixes from that shingle on, and confirmed too. A group of near copies that is one component by now costs nothing more.
 5. To confirm pairs, the overlap of their prefixes is counted first: what lies beyond can't make up for too few. For the pairs that are left the order by hash is cut
    into `fragments`. Sets are cut at the same places; the fragments of two blocks of documents meet in one cell, where the overlaps of the cell's
    pairs are counted, and a pair's counts are summed over its fragments. A document is copied once for each cell that it is needed in, not for
@@ -39,6 +39,8 @@ from .minhash import oracle as pairs_oracle
 
 #: A table of classes or ids up to this many rows is broadcast (40 bytes each at most); a larger one is joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Holders that a task looks at together, so that a pair comes out once for these.
+GATHERED = 20_000
 
 
 @dataclass(frozen=True)
@@ -161,7 +163,8 @@ def _fits(n: Column, other: Column, cfg: Config) -> Column:
 
 
 def _holders(prefixes: DataFrame, common, cfg: Config) -> DataFrame:
-    """Holders of prefix shingles that have more than one: key, rep, n, pos, wide and the group's first holder and the one before (head, back with n).
+    """Holders of prefix shingles that have more than one: key, rep, n, pos, wide, the group's first holder and the one before (head, back with n), and the
+    place of the shingle among those of rep, from the begin (rank) and from the end (left).
 
     A common shingle of more than cfg.hot holders has its holders dealt into salts; wide marks these.
     """
@@ -170,8 +173,11 @@ def _holders(prefixes: DataFrame, common, cfg: Config) -> DataFrame:
     salted = spark.createDataFrame(list(zip(common[0][hot].view(np.int64).tolist(), (-(-common[2][hot] // cfg.hot)).tolist())), "key long, salts long")
     rows = prefixes.select("rep", "n", F.posexplode("prefix").alias("pos", "key")).join(F.broadcast(salted), "key", "left")
     rows = rows.select("key", "rep", "n", "pos", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("rep"), F.col("salts"))).cast("int").alias("salt"), F.col("salts").isNotNull().alias("wide"))
-    dealt = _dealt(rows, "key", "salt").where("wide or back is not null or next is not null").drop("salt", "next")
-    return written(dealt, "holders")
+    dealt = written(_dealt(rows, "key", "salt").where("wide or back is not null or next is not null").drop("salt", "next"), "dealt")
+    place = lambda by: F.row_number().over(Window.partitionBy("rep").orderBy(by, "key"))
+    out = written(dealt.withColumns({"rank": place(F.asc("pos")), "left": place(F.desc("pos"))}), "holders")
+    dropped(dealt)
+    return out
 
 
 def _dealt(rows: DataFrame, *group: str) -> DataFrame:
@@ -182,25 +188,30 @@ def _dealt(rows: DataFrame, *group: str) -> DataFrame:
 def _first_pairs(holders: DataFrame, cfg: Config) -> DataFrame:
     """(u, v): a holder with the least one and with the one before, for the rarest and the most common of its shared prefix shingles: these meet near copies, those what few others hold."""
     heads = _dealt(holders.where("wide and back is null").select("key", "rep", "n", "pos"), "key").select("rep", "n", "head", "head_n", "back", "back_n")
-    place = lambda by: F.row_number().over(Window.partitionBy("rep").orderBy(by, "key"))
-    lead = holders.withColumns({"rare": place(F.asc("pos")), "often": place(F.desc("pos"))}).where((F.col("rare") <= cfg.lead) | (F.col("often") <= cfg.lead))
+    lead = holders.where((F.col("rank") <= cfg.lead) | (F.col("left") <= cfg.lead))
     rows = lead.select("rep", "n", "head", "head_n", "back", "back_n").unionByName(heads).where("back is not null")
     pairs = [rows.where(_fits(F.col("n"), F.col(f"{at}_n"), cfg)).select(F.col("rep").alias("u"), F.col(at).alias("v")) for at in ("head", "back")]
     return pairs[0].unionByName(pairs[1]).where("u <> v").distinct()
 
 
-def _late_pairs(holders: DataFrame, label: DataFrame, cfg: Config) -> DataFrame:
+def _mixed(holders: DataFrame, label: DataFrame) -> DataFrame:
+    """key, rep, n, pos, left, label, size of the holders of prefix shingles whose holders carry more than one label; size counts these."""
+    named = written(holders.select("key", "rep", "n", "pos", "left").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "named")
+    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi").drop("lo", "hi")
+    out = written(named.join(mixed, "key"), "mixed")
+    dropped(named)
+    return out
+
+
+def _late_pairs(mixed: DataFrame, cfg: Config) -> DataFrame:
     """(u, v), all different: holders of one prefix shingle that carry different labels, may be similar by sizes and places.
 
     The holders of a shingle are cut into blocks; each two blocks meet in one cell, so that no task takes all holders.
     """
-    named = holders.select("key", "rep", "n", "pos").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    named = written(named, "named")
-    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
     blocks = F.ceil(F.col("size") / cfg.holders).cast("int")
-    placed = named.join(mixed, "key").select("key", "rep", "n", "pos", "label", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("own"))
-    dealt = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "pos", "label")
-    schema, columns = pa.schema([("u", pa.int64()), ("v", pa.int64())]), ("key", "i", "j", "own", "rep", "n", "pos", "label")
+    placed = mixed.select("key", "rep", "n", "pos", "left", "label", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("own"))
+    dealt = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "pos", "left", "label")
+    schema, columns = pa.schema([("u", pa.int64()), ("v", pa.int64())]), ("key", "i", "j", "own", "rep", "n", "pos", "left", "label")
 
     def pairs(x: dict[str, np.ndarray]) -> pa.RecordBatch:
         """Of whole cells, in order: each row with the one d after it, for every d."""
@@ -214,7 +225,9 @@ def _late_pairs(holders: DataFrame, label: DataFrame, cfg: Config) -> DataFrame:
             a = a[a + d < end[a]]
             b = a + d
             small, great = np.minimum(x["n"][a], x["n"][b]), np.maximum(x["n"][a], x["n"][b])
-            left = np.minimum(x["n"][a] - x["pos"][a], x["n"][b] - x["pos"][b])  # what both can share from here on
+            # were this the first shingle that both hold: what they can share from here on, and of their prefixes (see _promising)
+            left = np.minimum(x["n"][a] - x["pos"][a], x["n"][b] - x["pos"][b])
+            left = np.minimum(left, np.minimum(x["left"][a], x["left"][b]) - (-cfg.percent * great // 100) - 1)
             ok = (x["label"][a] != x["label"][b]) & ((x["i"][a] == x["j"][a]) | (x["own"][a] != x["own"][b])) & (100 * small >= cfg.percent * great) & ((100 + cfg.percent) * left >= cfg.percent * (small + great))
             us.append(np.maximum(x["rep"][a[ok]], x["rep"][b[ok]]))
             vs.append(np.minimum(x["rep"][a[ok]], x["rep"][b[ok]]))
@@ -222,20 +235,21 @@ def _late_pairs(holders: DataFrame, label: DataFrame, cfg: Config) -> DataFrame:
         return arrow_rows(schema, [both[0], both[1]])
 
     def run(batches):
-        held = None
+        held, size = [], 0
         for batch in batches:
-            x = {c: batch.column(c).to_numpy() for c in columns}
-            x = {c: np.concatenate([held[c], x[c]]) for c in columns} if held else x
-            last = (x["key"] == x["key"][-1]) & (x["i"] == x["i"][-1]) & (x["j"] == x["j"][-1]) if len(x["key"]) else np.zeros(0, bool)
-            held = {c: x[c][last] for c in columns}
-            yield pairs({c: x[c][~last] for c in columns})
-        if held:
-            yield pairs(held)
+            held.append({c: batch.column(c).to_numpy() for c in columns})
+            size += batch.num_rows
+            if size >= GATHERED:
+                x = {c: np.concatenate([h[c] for h in held]) for c in columns}
+                last = (x["key"] == x["key"][-1]) & (x["i"] == x["i"][-1]) & (x["j"] == x["j"][-1])  # this cell may go on
+                held = [{c: x[c][last] for c in columns}]
+                size = int(last.sum())
+                yield pairs({c: x[c][~last] for c in columns})
+        if size:
+            yield pairs({c: np.concatenate([h[c] for h in held]) for c in columns})
 
     found = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lean(run), "u long, v long")
-    out = written(found.distinct(), "late")
-    dropped(named)
-    return out
+    return written(found.distinct(), "late")
 
 
 CELL = ("f", "bu", "bv")
@@ -352,24 +366,28 @@ def jaccard_components(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id (the least doc_id that can be reached by links), class_id (that with the same set)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     first = written(_first_pass(docs, cfg), "first")
-    rows = first.where("shingle is null").select("doc_id", "n", "h1", "h2")
-    classes = written(rows.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
+    texts = first.where("shingle is null").select("doc_id", "n", "h1", "h2")
+    classes = written(texts.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
     common = _common(first, cfg)
     holders = _holders(_prefixes(classes, docs, common, cfg), common, cfg)
-    pairs = written(_first_pairs(holders, cfg), "pairs")
-    links = confirmed(pairs, holders, classes, docs, cfg)
-    label = written(components(links), "labels")
-    candidates = _late_pairs(holders, label, cfg)
-    untried = written(candidates.join(pairs, ["u", "v"], "left_anti"), "untried")
-    late = confirmed(untried, holders, classes, docs, cfg)
-    if not late.isEmpty():
-        old, label = label, _joined(label, late)
-        dropped(old)
+    tried, label = None, None
+    for step in (_first_pairs, _late_pairs):
+        rows = holders if label is None else _mixed(holders, label)
+        pairs = written(step(rows, cfg), "pairs")
+        new = pairs if tried is None else written(pairs.join(tried, ["u", "v"], "left_anti"), "new")
+        links = confirmed(new, holders, classes, docs, cfg)
+        if label is None:
+            label = written(components(links), "labels")
+        elif not links.isEmpty():
+            old, label = label, _joined(label, links)
+            dropped(old)
+        old, tried = tried, pairs if tried is None else written(tried.unionByName(new), "tried")
+        dropped(links, *([] if old is None else [old, rows, pairs, new]))
     named = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("n", "h1", "h2", F.col("rep").alias("class_id"), F.coalesce("label", "rep").alias("component_id"))
     known = lambda c: F.when(F.col("doc_id").isNotNull(), F.coalesce(c, "doc_id")).alias(c)
-    out = rows.join(named, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), known("component_id"), known("class_id"))
+    out = texts.join(named, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), known("component_id"), known("class_id"))
     out = written(out, "joined")
-    dropped(first, classes, holders, pairs, links, label, candidates, untried, late)
+    dropped(first, classes, holders, label, tried)
     return out
 
 
