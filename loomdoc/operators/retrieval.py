@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..config import ENTITY_BLOCK, HIDDEN_ATTRIBUTES, LISTED_TYPE, SECTION_BLOCK, RetrievalConfig
 from ..functions import text as T
+from . import text_index
 
 
 def within_budget(ranked: DataFrame, budget: int, separator: int = 0, key: str = "query_id", truncate: bool = False) -> DataFrame:
@@ -55,34 +56,32 @@ def entity_line(kind: Column, name: Column, attributes: Column, scope: Column) -
     return F.concat(F.lit("\u2022 ["), F.upper(kind), F.lit("] "), name, shown, scoped)
 
 
-def _contains(where: Column, what: Column) -> Column:
-    return F.lower(where).contains(F.lower(what))
-
-
-def _firsts(entities: DataFrame, wanted: DataFrame, on: Column, key: str, limit: int) -> DataFrame:
-    """The first `limit` entities of each distinct value of key: surest first, then by id. wanted comes from the queries and is much the smaller side."""
+def _firsts(entities: DataFrame, found: DataFrame, key: str, limit: int) -> DataFrame:
+    """The first `limit` entities of each value of key in found (key, id): surest first, then by id."""
     best = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("confidence"), "id"))
-    return entities.join(wanted, on).withColumn("place", best).where(F.col("place") <= limit)
+    return entities.join(found, "id").withColumn("place", best).where(F.col("place") <= limit)
 
 
-def entity_hits(queries: DataFrame, entities: DataFrame, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+def entity_hits(queries: DataFrame, entities: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), index: DataFrame | None = None) -> DataFrame:
     """query_id, rank, and the entity's columns, of queries (query_id, query).
 
     A query that asks for a list gets the listed type's entities of the scope it names. Any other gets those that hold one of its
-    first terms in name, alias or attribute, term by term, an entity counting once. Distinct terms and scopes are searched once, whatever the number of queries.
+    first terms in name, alias or attribute, term by term, an entity counting once. Distinct terms and scopes are searched once, whatever the number of queries,
+    by trigrams (see text_index; index: the postings of the entities' texts, if there are any).
     """
     asked = queries.select("query_id", F.coalesce("query", F.lit("")).alias("query"))
     asked = asked.select("query_id", is_listing(F.col("query"), cfg).alias("listing"), F.coalesce(query_scope(F.col("query")), F.lit("")).alias("asked_scope"), query_terms(F.col("query"), cfg).alias("terms"))
     lists = asked.where("listing")
-    listed = _firsts(entities.where(F.col("type") == LISTED_TYPE), lists.select("asked_scope").distinct(), _contains(F.coalesce("scope", F.lit("")), F.col("asked_scope")), "asked_scope", cfg.max_entities)
+    listable = entities.where(F.col("type") == LISTED_TYPE)
+    scopes = listable.select(F.coalesce("scope", F.lit("")).alias("id")).distinct()  # a scope is its own id, and is met by name
+    met = text_index.containing(scopes.where("id <> ''").select("id", F.array(F.lower("id")).alias("texts")), lists.where("asked_scope <> ''").select(F.col("asked_scope").alias("term")))
+    of_scope = met.select(F.col("term").alias("asked_scope"), F.col("id").alias("scope__")).join(listable.select("id", F.coalesce("scope", F.lit("")).alias("scope__")), "scope__").select("asked_scope", "id")
+    any_scope = listable.select("id").withColumn("asked_scope", F.lit(""))  # where no scope is named
+    listed = _firsts(listable, of_scope.unionByName(any_scope), "asked_scope", cfg.max_entities)
     listed = lists.select("query_id", "asked_scope").join(listed, "asked_scope").withColumn("term_place", F.lit(0)).drop("asked_scope")
     terms = asked.where("not listing").select("query_id", F.posexplode("terms").alias("term_place", "term"))
-    hit = _contains(F.col("canonical_name"), F.col("term"))
-    if "aliases" in entities.columns:
-        hit = hit | F.exists("aliases", lambda a: _contains(a, F.col("term")))
-    if "attributes" in entities.columns:
-        hit = hit | F.exists(F.map_keys("attributes"), lambda a: _contains(a, F.col("term"))) | F.exists(F.map_values("attributes"), lambda a: _contains(a, F.col("term")))
-    found = terms.join(_firsts(entities, terms.select("term").distinct(), F.coalesce(hit, F.lit(False)), "term", cfg.max_entities // cfg.terms), "term").drop("term")
+    hits = text_index.containing(text_index.entity_texts(entities), terms.select("term"), index)
+    found = terms.join(_firsts(entities, hits, "term", cfg.max_entities // cfg.terms), "term").drop("term")
     once = F.row_number().over(Window.partitionBy("query_id", "id").orderBy("term_place", "place"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("term_place", "place"))
     hits = listed.unionByName(found).withColumn("n", once).where("n = 1").withColumn("rank", rank)

@@ -10,11 +10,12 @@ from pyspark.sql.window import Window
 
 from ..config import DEFAULT, LAYOUT_EXCLUDED, LAYOUT_LEVELS, LAYOUT_SCOPES, LAYOUT_SECTIONS, RetrievalConfig
 from ..functions import text as T
-from ..operators import chunking, embedding, layout, ner, retrieval, store, tables, tree, vector
+from ..operators import chunking, embedding, layout, ner, retrieval, store, tables, text_index, tree, vector
 from ..operators import table_entities as rows_of_tables
 from ..sources import readers
 from ..sources.collections import Collections
 from ..streaming import ingest
+from . import scratch
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -264,6 +265,24 @@ def entity_search(spark, d):
     return store.search(e, "A", "part", "brand#1", limit=20).select("id", "canonical_name")
 
 
+@query("SELECT p_partkey AS id, p_name AS canonical_name FROM part WHERE p_name ILIKE '%widget%' OR p_brand ILIKE '%widget%' OR p_type ILIKE '%widget%' ORDER BY p_retailprice DESC, p_partkey LIMIT 100")
+def entity_search_indexed(spark, d):
+    """Parts that hold a word in name or attribute, by an index of trigrams that is written first."""
+    e = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("canonical_name"), F.create_map(F.lit("x"), F.col("p_brand"), F.lit("y"), F.col("p_type")).alias("attributes"), F.col("p_retailprice").alias("confidence"))
+    path = scratch.new_path(spark, "grams")
+    text_index.save(text_index.postings(text_index.entity_texts(e)), path)
+    return text_index.search(spark, e, path, "WIDGET").select("id", "canonical_name")
+
+
+@query(r"""WITH w AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: length(w) > 3)) AS term FROM conversations WHERE role = 'user' AND turn = 0)
+SELECT term, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM w JOIN documents ON contains(lower(text), term) GROUP BY term""")
+def terms_in_documents(spark, d):
+    """Every word that a conversation opens with, and the documents that contain it."""
+    q = _t(spark, d, "conversations").where("role = 'user' and turn = 0").select(F.explode(F.filter(F.split(F.lower("text"), r"(?U)\s+"), lambda w: F.length(w) > 3)).alias("term"))
+    texts = _docs(spark, d).select("id", F.array(F.lower("text")).alias("texts"))
+    return text_index.containing(texts, q).groupBy("term").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
 @query("""SELECT id, c_name AS canonical_name, fresh FROM (SELECT c_custkey AS id, c_name, false AS fresh FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)
 UNION ALL SELECT s_suppkey AS id, s_name, true FROM supplier)""")
 def entity_upsert(spark, d):
