@@ -58,20 +58,37 @@ def stats(entities: DataFrame, relations: DataFrame) -> DataFrame:
 
 def merge(entities: DataFrame, by: list[str] | None = None, least: float = 0.5) -> DataFrame:
     """One entity for each source (by), type and lower-cased name: the first id and name, the first scope and page that say
-    anything, the greatest confidence, the last value of each attribute, and the aliases but for the name."""
-    keys = [*(by or []), "type", F.lower("canonical_name").alias("name_key")]
+    anything, the greatest confidence, the last value of each attribute (in the order in which they came first), and the aliases but for the name.
+
+    Attributes and aliases are rows of their own that are combined by key before a group comes together, so that a group is as large as what it says, not as its rows.
+    """
+    keys = [*(by or []), "type", "name_key"]
+    item = lambda kind, name, value, place: F.struct(F.lit(kind).alias("kind"), name.cast("string").alias("item"), value.cast("string").alias("value"), place.cast("int").alias("place"))
+    none, zero = F.lit(None), F.lit(0)
+    told = F.transform(F.map_entries("attributes"), lambda e, i: item(1, e["key"], e["value"], i))
+    named = F.transform("aliases", lambda a: item(2, a, none, zero))
+    nothing = F.array().cast("array<struct<kind:int,item:string,value:string,place:int>>")
+    items = F.concat(F.array(item(0, none, none, zero)), F.coalesce(told, nothing), F.coalesce(named, nothing))
+    rows = entities.withColumn("name_key", F.lower("canonical_name")).select(*keys, "ord", "id", "canonical_name", "scope", "page", "confidence", F.explode(items).alias("i")).select("*", "i.*")
     filled = lambda c, ok: F.min(F.when(ok, F.struct("ord", c)))[c]
-    out = entities.groupBy(*keys).agg(
+    once = rows.groupBy(*keys, "kind", "item").agg(
         F.min_by("id", "ord").alias("id"),
         F.min_by("canonical_name", "ord").alias("canonical_name"),
         filled("scope", F.col("scope") != "").alias("scope"),
         filled("page", F.col("page") != 0).alias("page"),
         F.max("confidence").alias("confidence"),
-        F.array_sort(F.collect_list(F.struct("ord", "attributes", "aliases")), lambda a, b: F.when(a["ord"] < b["ord"], -1).when(a["ord"] > b["ord"], 1).otherwise(0)).alias("all"),
+        F.max_by("value", "ord").alias("value"),
+        F.min(F.struct("ord", "place")).alias("at"),
+    )
+    of = lambda kind, c: F.when(F.col("kind") == kind, c)
+    whole = once.groupBy(*keys).agg(
+        *(F.max(of(0, F.col(c))).alias(c) for c in ("id", "canonical_name", "scope", "page", "confidence")),
+        F.array_sort(F.collect_list(of(1, F.struct("at", "item", "value")))).alias("told"),
+        F.array_sort(F.collect_list(of(2, F.col("item")))).alias("named"),
     )
-    attributes = F.aggregate("all", F.create_map().cast("map<string,string>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: ~F.coalesce(F.map_contains_key(x["attributes"], k), F.lit(False))), F.coalesce(x["attributes"], F.create_map().cast("map<string,string>"))))
-    aliases = F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform("all", lambda x: F.coalesce(x["aliases"], F.array().cast("array<string>")))), lambda a: a != F.col("canonical_name"))))
-    return out.withColumn("attributes", attributes).withColumn("aliases", aliases).where(F.col("confidence") >= least).select(*(by or []), "id", "type", "canonical_name", "aliases", "attributes", F.coalesce("page", F.lit(0)).alias("page"), F.coalesce("scope", F.lit("")).alias("scope"), "confidence")
+    attributes = F.map_from_entries(F.transform("told", lambda x: F.struct(x["item"], x["value"])))
+    aliases = F.filter("named", lambda a: a != F.col("canonical_name"))
+    return whole.withColumn("attributes", attributes).withColumn("aliases", aliases).where(F.col("confidence") >= least).select(*(by or []), "id", "type", "canonical_name", "aliases", "attributes", F.coalesce("page", F.lit(0)).alias("page"), F.coalesce("scope", F.lit("")).alias("scope"), "confidence")
 
 
 def scope_relations(entities: DataFrame, confidence: float = 0.8) -> tuple[DataFrame, DataFrame]:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -259,6 +257,17 @@ def entity_merge(spark, d):
     return store.merge(e).select("id", "canonical_name", "page", F.col("attributes")["type"].alias("attr"))
 
 
+@query("""WITH e AS (SELECT (l_linenumber + 10 * l_orderkey) * 100000 + l_partkey AS ord, l_linestatus AS mode, concat('part ', l_partkey % 50) AS alias, concat('k', l_suppkey % 7) AS k, l_returnflag AS v, l_quantity FROM lineitem),
+a AS (SELECT mode, string_agg(concat(k, '=', v), ',' ORDER BY first_ord) AS attributes FROM (SELECT mode, k, arg_max(v, ord) AS v, min(ord) AS first_ord FROM e GROUP BY mode, k) GROUP BY mode)
+SELECT min(ord) AS id, lower(e.mode) AS name, array_to_string(list_sort(list_distinct(list(alias))), ',') AS aliases, any_value(a.attributes) AS attributes, max(l_quantity / 100) AS confidence FROM e JOIN a USING (mode) GROUP BY e.mode""")
+def entity_merge_all(spark, d):
+    """The lines of all orders as mentions of their few states: groups of many rows, with aliases and attributes that come again and again."""
+    ord_ = (F.col("l_linenumber") + 10 * F.col("l_orderkey")) * 100000 + F.col("l_partkey")
+    e = _t(spark, d, "lineitem").select(ord_.alias("id"), ord_.alias("ord"), F.lit("mode").alias("type"), F.col("l_linestatus").alias("canonical_name"), F.array(F.concat(F.lit("part "), (F.col("l_partkey") % 50).cast("string"))).alias("aliases"), F.create_map(F.concat(F.lit("k"), (F.col("l_suppkey") % 7).cast("string")), F.col("l_returnflag")).alias("attributes"), F.lit(0).alias("page"), F.lit("").alias("scope"), (F.col("l_quantity") / 100).alias("confidence"))
+    told = F.array_join(F.transform(F.map_entries("attributes"), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",")
+    return store.merge(e, least=0.0).select("id", F.lower("canonical_name").alias("name"), F.array_join("aliases", ",").alias("aliases"), told.alias("attributes"), "confidence")
+
+
 @query("SELECT p_partkey AS id, p_name AS canonical_name FROM part WHERE p_name ILIKE '%a%' AND p_brand ILIKE '%Brand#1%' ORDER BY p_retailprice DESC, p_partkey LIMIT 20")
 def entity_search(spark, d):
     e = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lit("part").alias("type"), F.col("p_name").alias("canonical_name"), F.col("p_brand").alias("scope"), F.col("p_retailprice").alias("confidence"))
@@ -467,7 +476,7 @@ def rag_prompt(spark, d):
 @query("SELECT source AS source_id, count(*) AS n FROM documents GROUP BY source")
 def stream_ingest(spark, d):
     """Streams the documents into a table partitioned by source, then counts what stands there."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loomdoc-")).rstrip("/") + f"/stream-{abs(hash((d, id(spark))))}-{spark.sql('select uuid()').first()[0]}"
+    base = scratch.new_path(spark, "stream")
     schema = _t(spark, d, "documents").schema
     made = ingest.ingest(spark, d, schema, f"{base}/table", f"{base}/log", lambda s: s.select("doc_id", "text", F.col("source").alias("source_id")), glob="documents.parquet")
     return made.groupBy("source_id").agg(F.count("*").alias("n"))
@@ -528,7 +537,7 @@ def table_scopes(spark, d):
 (SELECT lang, doc_id, CASE WHEN doc_id % 10 = 0 THEN 'new' ELSE 'old' END AS text FROM documents JOIN embeddings ON vec_id = doc_id WHERE lang <> 'de') GROUP BY lang""")
 def collection_upsert(spark, d):
     """Writes all points twice, the second time a tenth of them changed, and deletes a source."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loomdoc-")).rstrip("/") + f"/collections-{spark.sql('select uuid()').first()[0]}"
+    base = scratch.new_path(spark, "collections")
     points = _docs(spark, d).join(_points(spark, d).select("id", "embedding"), "id").select("id", F.col("language").alias("source_id"), F.lit("old").alias("text"), "embedding")
     store_ = Collections(spark, base)
     store_.create("documents", points.schema, len(_vector(spark, d)))
