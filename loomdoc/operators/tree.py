@@ -44,6 +44,48 @@ def depths(nodes: DataFrame, root: str = "parent is null") -> DataFrame:
     return state.where("done").select("id", "depth", "path")
 
 
+def _sizes(nodes: DataFrame, n: int) -> DataFrame:
+    """id and size (of its subtree, itself included), written. In each round a node gives what is less than 2 ** k below it to its ancestor 2 ** k above."""
+    state, reach = written(nodes.select("id", F.col("parent").alias("up"), F.lit(1).cast("long").alias("size")), "sizes"), 1
+    while reach < n and not state.where("up is not null").isEmpty():
+        given = state.where("up is not null").groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("more"))
+        above = state.select(F.col("id").alias("up"), F.col("up").alias("next"))
+        last, state = state, written(state.join(given, "id", "left").join(above, "up", "left").select("id", F.col("next").alias("up"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), "sizes")
+        dropped(last)
+        reach *= 2
+    return state
+
+
+def preorder(nodes: DataFrame, order: str = "pos") -> DataFrame:
+    """id, root, place (from 0, within the tree of its root), depth and size of the nodes (id, parent, and `order` among siblings, then id): a walk that visits a node before
+    its children, in order.
+
+    A node's place is its parent's, one more, and the sizes of the siblings before it; sizes and places are summed along ancestors by doubling, so that rounds grow with the
+    logarithm of the depth. Siblings are dealt by ranges, so that a node with very many children is summed by many tasks. Nodes under a missing parent or on a cycle give no row.
+    """
+    nodes = written(nodes.select("id", "parent", F.col(order).alias("ord")), "nodes")
+    n = nodes.count()
+    sizes = _sizes(nodes, n)
+    kids = nodes.where("parent is not null").join(sizes.select("id", "size"), "id").repartitionByRange("parent", "ord", "id").sortWithinPartitions("parent", "ord", "id")
+    kids = written(kids.select("id", "parent", "size", F.monotonically_increasing_id().alias("idx")).withColumn("part", F.shiftright("idx", 33)), "kids")
+    before = lambda by: F.coalesce(F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    earlier = kids.groupBy("parent", "part").agg(F.sum("size").alias("size")).select("parent", "part", before(Window.partitionBy("parent").orderBy("part")).alias("carried"))
+    placed = kids.withColumn("local", before(Window.partitionBy("parent", "part").orderBy("idx"))).join(earlier, ["parent", "part"])
+    zero, none = F.lit(0).cast("long"), F.lit(None)
+    roots = nodes.where("parent is null").select("id", F.col("parent").alias("up"), F.col("id").alias("root"), zero.alias("place"), zero.alias("depth"))
+    rest = placed.select("id", F.col("parent").alias("up"), none.cast(nodes.schema["id"].dataType).alias("root"), (1 + F.col("local") + F.col("carried")).alias("place"), F.lit(1).cast("long").alias("depth"))
+    state, reach = written(roots.unionByName(rest), "places"), 1
+    while reach <= n and not state.where("root is null").isEmpty():
+        above = state.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("root").alias("top"), F.col("place").alias("more"), F.col("depth").alias("deeper"))
+        longer = state.where("root is null").join(above, "up").select("id", F.col("next").alias("up"), F.col("top").alias("root"), (F.col("place") + F.col("more")).alias("place"), (F.col("depth") + F.col("deeper")).alias("depth"))
+        last, state = state, written(state.where("root is not null").unionByName(longer), "places")
+        dropped(last)
+        reach *= 2
+    out = written(state.where("root is not null").join(sizes.select("id", "size"), "id").select("id", "root", "place", "depth", "size"), "preorder")
+    dropped(nodes, sizes, kids, state)
+    return out
+
+
 def deepest_first(nodes: DataFrame, levels: int | None = None) -> DataFrame:
     """nodes (doc_id, pos, level) with parent as insertion by level gives it: the last node before it with just one level less; null: the root."""
     if levels is None:

@@ -408,6 +408,14 @@ def tree_depth(spark, d):
     return tree.depths(_tree(spark, d))
 
 
+@query(f"""WITH RECURSIVE t AS (SELECT id, parent, substring(id, 2)::BIGINT AS pos FROM ({TREE})),
+walk AS (SELECT id, id AS root, 0 AS depth, []::BIGINT[] AS path FROM t WHERE parent IS NULL UNION ALL SELECT t.id, root, depth + 1, list_append(path, t.pos) FROM t JOIN walk ON t.parent = walk.id),
+sizes AS (SELECT a.id, count(*) AS size FROM walk a JOIN walk b ON a.root = b.root AND len(b.path) >= len(a.path) AND b.path[1:len(a.path)] = a.path GROUP BY a.id)
+SELECT id, root, row_number() OVER (PARTITION BY root ORDER BY path) - 1 AS place, depth::BIGINT AS depth, size FROM walk JOIN sizes USING (id)""")
+def tree_preorder(spark, d):
+    return tree.preorder(_tree(spark, d).withColumn("pos", F.expr("cast(substring(id, 2) as long)")))
+
+
 LEVELS = "SELECT conv_id AS doc_id, turn AS pos, role = 'user' AS header, turn % 3 + 1 AS level FROM conversations"
 
 
