@@ -82,6 +82,18 @@ def test_organisations_in_runs():
         assert [m.span() for m in ner._found("org_with_suffix", regex, text)] == [m.span() for m in regex.finditer(text)]
 
 
+def test_every_pattern_matches_as_row_by_row(spark):
+    texts = duckdb.connect().execute(f"select doc_id, text from '{DATA}/documents.parquet'").fetchall()
+    texts += [(-1, "ÉCODE AB12-x ISO standard, NASA Committee; IEEE organization. Dr. Ann B. Lee, Sem IV, Clause 4.5.1, 12/3/2024, 3.5 credits, 7%, John Roe PhD, $1,200.50, https://x.org/a?b=c, Jan. 3, 2024"), (-2, ""), (-3, None)]
+    df = spark.createDataFrame(texts, "id long, text string").repartition(8)
+    found = df.select("id", *(ner.matches(F.col("text"), ner.pattern(p[0]), ner.NEEDED.get(p[0])).alias(p[0]) for p in ner.PATTERNS)).collect()
+    got = {(r.id, p[0]): r[p[0]] or [] for r in found for p in ner.PATTERNS}
+    for name, *_, regex in ner.PATTERNS:
+        made = re.compile(regex, re.I | re.M)
+        for i, t in texts:
+            assert got[i, name] == [m.group(0) for m in made.finditer(t or "")], (i, name)
+
+
 def test_merge_entities(spark):
     rows = [(1, "e1", "course", "DSP", [], {"code": "X1"}, 0, "", 0.7), (2, "e2", "course", "dsp", ["Signals"], {"code": "X2", "credits": "4"}, 3, "Semester I", 0.9), (3, "e3", "org", "IEEE", [], {}, 1, "", 0.4)]
     df = spark.createDataFrame(rows, "ord int, id string, type string, canonical_name string, aliases array<string>, attributes map<string,string>, page int, scope string, confidence double")
