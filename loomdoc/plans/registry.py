@@ -644,16 +644,17 @@ scored AS (SELECT query_id, e.vec_id AS id, {DOT} AS score FROM q, embeddings e)
 ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id, score FROM scored QUALIFY rank <= 3),
 chunks AS (SELECT query_id, rank, r.score, source, lang, concat('[Source: ', source, ' | Section: ', lang, ']', chr(10), text, chr(10)) AS chunk FROM ranked r JOIN documents ON doc_id = id),
 used AS (SELECT *, coalesce(length(block), 0) + sum(length(chunk)) OVER (PARTITION BY query_id ORDER BY rank) <= 8000 AS fits FROM chunks LEFT JOIN blocks USING (query_id)),
-kept AS (SELECT query_id, string_agg(concat(chr(10), '---', chr(10), chunk), '' ORDER BY rank) FILTER (fits) AS t, count(*) FILTER (fits) AS n, string_agg(concat('|', source, ':', lang, ':', round(score, 4)), '' ORDER BY rank) FILTER (fits) AS s FROM used GROUP BY query_id)
+kept AS (SELECT query_id, string_agg(concat(chr(10), '---', chr(10), chunk), '' ORDER BY rank) FILTER (fits) AS t, count(*) FILTER (fits) AS n, string_agg(concat('|', source, ':', lang, ':', round(score * 10000)::BIGINT), '' ORDER BY rank) FILTER (fits) AS s FROM used GROUP BY query_id)
 SELECT q.query_id, concat(coalesce(block, ''), CASE WHEN block IS NOT NULL AND n IS NOT NULL THEN concat(chr(10), '---', chr(10)) ELSE '' END, CASE WHEN n IS NOT NULL THEN concat(chr(10), '=== Retrieved Document Sections ===') ELSE '' END, coalesce(t, '')) AS context,
-(CASE WHEN block IS NULL THEN 0 ELSE 1 END + coalesce(n, 0))::BIGINT AS sources FROM q LEFT JOIN blocks USING (query_id) LEFT JOIN kept USING (query_id)""")
+(CASE WHEN block IS NULL THEN 0 ELSE 1 END + coalesce(n, 0))::BIGINT AS sources, concat(CASE WHEN block IS NOT NULL THEN concat('|Entity Store:', found, ' entities:10000') ELSE '' END, coalesce(s, '')) AS told FROM q LEFT JOIN blocks USING (query_id) LEFT JOIN kept USING (query_id)""")
 def hybrid_context(spark, d):
     """Entities and the nearest documents for a twentieth of the vectors as questions, under one budget."""
     q = _questions(spark, d)
     near = vector.top_k_per_query(_points(spark, d), q.select("query_id", F.col("embedding").alias("query")), 3)
     docs = _docs(spark, d).select("id", F.concat(F.lit("/data/"), "source_id").alias("source_id"), F.col("language").alias("title"), "text")
     out = retrieval.hybrid_context(q.select("query_id", "query"), _parts(spark, d), near.join(docs, "id"))
-    return out.select("query_id", "context", F.size("sources").cast("long").alias("sources"))
+    told = F.transform("sources", lambda x: F.concat(F.lit("|"), x["source"], F.lit(":"), x["title"], F.lit(":"), F.round(x["score"] * 10000).cast("long").cast("string")))
+    return out.select("query_id", "context", F.size("sources").cast("long").alias("sources"), F.array_join(told, "").alias("told"))
 
 
 @query("""WITH n AS (SELECT conv_id AS doc_id, turn AS pos, role = 'user' AS header, trim(text) AS text FROM conversations WHERE trim(text) <> ''),
