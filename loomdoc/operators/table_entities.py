@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import TableConfig
-from .tables import boundaries, column_of, grouped_rows, header_key, headers, is_table_row, regions
+from .tables import extract, header_key
 
 # What is no name.
 NOT_A_CANDIDATE = (r"^[\d\s\-]+$", r"^[A-Z]{2,4}\s+\d", r"^\d+\s+\d+\s+\d+")
@@ -54,9 +54,9 @@ def row_entities(rows: DataFrame, cfg: TableConfig = TableConfig(), confidence:
     good = F.filter(candidates, lambda c: c["value"].rlike("[a-z]") | (F.length(c["value"]) > 15))
     pool = F.when(F.size(good) > 0, good).otherwise(candidates)
     longest = F.aggregate(pool, F.lit(None).cast("string"), lambda best, c: F.when(best.isNull() | (F.length(c["value"]) > F.length(best)), c["value"]).otherwise(best))
-    found = found.withColumn("n", F.coalesce("f.name", longest)).where(F.col("n").isNull() | ~(_any(F.col("n"), NOT_A_NAME) | (F.length("n") < 3)))
+    found = found.withColumn("n", F.trim(F.regexp_replace(F.coalesce("f.name", longest), r"\s+", " "))).where(F.col("n").isNull() | ~(_any(F.col("n"), NOT_A_NAME) | (F.length("n") < 3)))
     name = F.coalesce("n", code)
-    used = F.filter("cells", lambda c: (c["value"] != "") & (c["value"] != code) & (c["value"] != name) & ~F.lower(c["header"]).startswith("column_"))
+    used = F.filter("cells", lambda c: (c["value"] != "") & (c["value"] != code) & (c["value"] != name) & ~header_key(c["header"]).startswith("column_"))
 
     def entry(c):
         key, digits = header_key(c["header"]), c["value"].rlike(r"^\d+$")
@@ -68,20 +68,15 @@ def row_entities(rows: DataFrame, cfg: TableConfig = TableConfig(), confidence:
     return found.select(*keep, F.lit("course").alias("type"), name.alias("canonical_name"), attributes.alias("attributes"), F.lit(confidence).alias("confidence"))
 
 
+def _rows(tables: DataFrame) -> DataFrame:
+    return tables.select("doc_id", "page", "scope", "table_index", F.posexplode_outer("rows").alias("row_index", "cells")).where("cells is not null")
+
+
 def table_rows(cells: DataFrame, cfg: TableConfig = TableConfig()) -> DataFrame:
-    """Positioned cells to the rows of tables: doc_id, page, table_index, row_index and cells (array of header, value). Runs of
-    table rows are tables; their columns are found from the cells' begins; a first row that looks like headers names them."""
-    keys = ["doc_id", "page"]
-    rows = grouped_rows(cells, cfg)
-    lined = rows.groupBy(*keys, "row_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda c: c["text"]).alias("texts"))
-    areas = regions(lined.withColumn("flag", is_table_row(F.col("texts"), cfg)), keys, "flag", "row_index", cfg.min_rows)
-    areas = areas.withColumn("table_index", F.expr("cast(row_number() over (partition by doc_id, page order by first) - 1 as int)"))
-    inside = rows.join(areas, keys).where((F.col("row_index") >= F.col("first")) & (F.col("row_index") < F.col("after")))
-    bounds = inside.groupBy(*keys, "table_index").agg(boundaries(F.collect_list("x0"), cfg.column_gap).alias("bounds")).where(F.size("bounds") >= 2)
-    placed = inside.join(bounds, [*keys, "table_index"]).withColumn("col", column_of(F.col("x0"), F.col("bounds"), cfg.column_slack))
-    joined = placed.groupBy(*keys, "table_index", "first", "row_index", "bounds", "col").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda c: c["text"]), " ").alias("value"))
-    lines = joined.groupBy(*keys, "table_index", "first", "row_index", "bounds").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("col", "value")))).alias("by_col"))
-    names = lines.where("row_index = first").select(*keys, "table_index", headers(F.col("by_col"), F.size("bounds"), cfg).alias("headers"))
-    full = lines.join(names, [*keys, "table_index"]).where((F.col("row_index") > F.col("first")) | (F.col("headers")[0] == "Column_0"))
-    cell = F.transform("headers", lambda h, i: F.struct(h.alias("header"), F.coalesce(F.col("by_col")[i], F.lit("")).alias("value")))
-    return full.select(*keys, "table_index", "row_index", cell.alias("cells"))
+    """Positioned cells to the rows of tables: doc_id, page, scope, table_index, row_index (in the table, without its headers) and cells (array of header, value)."""
+    return _rows(extract(cells, cfg))
+
+
+def tables_to_entities(tables: DataFrame, cfg: TableConfig = TableConfig()) -> DataFrame:
+    """Tables as `extract` gives them to the entities of their rows, with doc_id, page, scope, table_index and row_index."""
+    return row_entities(_rows(tables), cfg)

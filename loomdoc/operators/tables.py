@@ -1,4 +1,8 @@
-"""Tables from positioned cells: rows, columns, regions, headers. Cells (doc_id, page, text, x0, y0, x1, y1) have a top origin."""
+"""Tables from positioned cells: rows, columns, regions, headers. Cells (doc_id, page, text, x0, y0, x1, y1) have a top origin.
+
+`extract` does it all with one shuffle, by page; what it holds at once is one page. Cells without text, or without all of their
+coordinates, are dropped; further columns are ignored, whatever their names; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -51,11 +55,11 @@ def regions(rows: DataFrame, keys: list[str], flag: str, pos: str, least: int =
     return runs.where(F.col("n") >= least).select(*keys, "first", "after")
 
 
-def headers(first_row: Column, n: Column, cfg: TableConfig = TableConfig()) -> Column:
-    """Texts of the first row (map of column to text) if it looks like a header, else and for missing ones Column_i."""
-    joined = F.array_join(F.map_values(first_row), " ")
+def headers(first_row: Column, n: Column, cfg: TableConfig = TableConfig(), joined: Column | None = None) -> Column:
+    """Texts of the first row (map of column to text) if it looks like a header, else and for missing ones Column_i. joined: its whole text, if that isn't the map's values."""
+    joined = F.array_join(F.map_values(first_row), " ") if joined is None else joined
     known = reduce(lambda a, b: a | b, (joined.rlike(f"(?i){p}") for p in cfg.headers))
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(F.when(known, first_row[i]), F.concat(F.lit("Column_"), i.cast("string"))))
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(F.when(known, F.trim(F.regexp_replace(first_row[i], r"\s+", " "))), F.concat(F.lit("Column_"), i.cast("string"))))
 
 
 def header_key(h: Column) -> Column:
@@ -71,3 +75,79 @@ def outlines(cells: DataFrame, keys: list[str]) -> DataFrame:
     """The least box around the cells of each group, and their raw text: cells of a row by ` | `, rows by line ends. cells: keys, row_index, text, x0, y0, x1, y1."""
     rows = cells.groupBy(*keys, "row_index").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "y0", "text"))), lambda c: c["text"]), " | ").alias("row"))
     return rows.groupBy(*keys).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_index", "row"))), lambda r: r["row"]), "\n").alias("raw_text"))
+
+
+def _texts(row: Column) -> Column:
+    return F.transform(row, lambda c: c["text"])
+
+
+def _page_rows(cells: Column, cfg: TableConfig) -> Column:
+    """Cells in the order of y0 to rows, each in the order of x0."""
+
+    def step(state, c):
+        centre, rows = (c["y0"] + c["y1"]) / 2, state["rows"]
+        new = state["anchor"].isNull() | (F.abs(centre - state["anchor"]) > cfg.row_tolerance)
+        grown = F.concat(F.slice(rows, F.lit(1), F.size(rows) - 1), F.array(F.concat(F.element_at(rows, -1), F.array(c))))
+        return F.struct(F.when(new, centre).otherwise(state["anchor"]).alias("anchor"), F.when(new, F.concat(rows, F.array(F.array(c)))).otherwise(grown).alias("rows"))
+
+    cell = "struct<y0:double,x0:double,x1:double,y1:double,text:string>"
+    zero = F.struct(F.lit(None).cast("double").alias("anchor"), F.array().cast(f"array<array<{cell}>>").alias("rows"))
+    in_x = lambda row: F.array_sort(F.transform(row, lambda c: F.struct(*(c[f].alias(f) for f in ("x0", "y0", "text", "x1", "y1")))))
+    return F.transform(F.aggregate(cells, zero, step, lambda s: s["rows"]), in_x)
+
+
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often `use` takes it inside functions of elements."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _runs(flags: Column, least: int) -> Column:
+    """first and after (half-open) of each maximal run of true flags, of `least` or more. flags: a bound value."""
+    n = F.size(flags)
+    at = lambda i: F.coalesce(F.get(flags, i), F.lit(False))
+    firsts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: at(i) & ~at(i - 1))
+    afters = F.filter(F.sequence(F.lit(1), n), lambda i: at(i - 1) & ~at(i))
+    return F.filter(F.zip_with(firsts, afters, lambda a, b: F.struct(a.alias("first"), b.alias("after"))), lambda r: r["after"] - r["first"] >= least)
+
+
+def _valued(heads: Column, values: Column) -> Column:
+    """Array of header and value; of columns with one header the last counts, at the place of the first."""
+    return F.transform(F.array_distinct(heads), lambda h: F.struct(h.alias("header"), F.element_at(F.filter(values, lambda v, i: F.get(heads, i) == h), -1).alias("value")))
+
+
+def _laid_out(lines: Column, bounds: Column, cfg: TableConfig) -> Column:
+    """headers and rows of a table's lines."""
+    column = lambda: F.sequence(F.lit(0), F.size(bounds) - 1)
+    texts = lambda row: F.transform(column(), lambda i: _texts(F.filter(row, lambda c: column_of(c["x0"], bounds, cfg.column_slack) == i)))
+    joined = lambda row: F.transform(texts(row), lambda t: F.array_join(t, " "))
+    of_first = F.map_from_entries(F.filter(F.transform(texts(lines[0]), lambda t, i: F.when(F.size(t) > 0, F.struct(i, F.array_join(t, " ")))), lambda e: e.isNotNull()))
+    heads = bound(of_first, lambda m: headers(m, F.size(bounds), cfg, F.array_join(_texts(lines[0]), " ")))
+
+    def rows(heads):
+        body = F.when(heads[0] == "Column_0", lines).otherwise(F.slice(lines, F.lit(2), F.size(lines)))
+        return F.struct(heads.alias("headers"), F.transform(body, lambda row: bound(joined(row), lambda v: _valued(heads, v))).alias("rows"))
+
+    return bound(heads, rows)
+
+
+def extract(cells: DataFrame, cfg: TableConfig = TableConfig(), scope: str | None = None) -> DataFrame:
+    """One row for each table: doc_id, page, table_index, headers, rows (each an array of header and value), bbox, scope, raw_text, first (its first row's
+    index on the page). scope: a column of the cells (the least one of a page counts); without it an empty text. Runs of table rows are tables, numbered on
+    their page; those with fewer than `min_columns` columns keep their number and are left out; a first row that looks like headers names the columns and is no row."""
+    keys = ["doc_id", "page"]
+    put = F.struct(*(F.col(c).cast("double").alias(c) for c in ("y0", "x0", "x1", "y1")), F.regexp_replace("text", r"^\s+|\s+$", "").alias("text"))
+    whole = cells.where("text is not null and x0 is not null and y0 is not null and x1 is not null and y1 is not null").select(*keys, put.alias("cell"), (F.col(scope) if scope else F.lit("")).alias("scope")).where("cell.text <> ''")
+    pages = whole.groupBy(*keys).agg(_page_rows(F.array_sort(F.collect_list("cell")), cfg).alias("lines"), F.min("scope").alias("scope"))
+    runs = bound(F.transform("lines", lambda row: is_table_row(_texts(row), cfg)), lambda flags: _runs(flags, cfg.min_rows))
+    # The outer form, as the inner one would repeat the whole expression in a filter.
+    found = pages.select(*keys, "scope", "lines", F.posexplode_outer(runs).alias("table_index", "run")).where("run is not null")
+    found = found.select(*keys, "scope", "table_index", "run.first", F.slice("lines", F.col("run.first") + 1, F.col("run.after") - F.col("run.first")).alias("lines"))
+    bounds = boundaries(F.transform(F.flatten("lines"), lambda c: c["x0"]), cfg.column_gap)
+    laid = bound(bounds, lambda b: F.when(F.size(b) >= cfg.min_columns, _laid_out(F.col("lines"), b, cfg)))
+    flat = F.flatten("lines")
+    edge = lambda f, c: f(F.transform(flat, lambda x: x[c])).alias(c)
+    box = F.struct(edge(F.array_min, "x0"), edge(F.array_min, "y0"), edge(F.array_max, "x1"), edge(F.array_max, "y1"))
+    raw = F.array_join(F.transform("lines", lambda row: F.array_join(_texts(row), " | ")), "\n")
+    # An array of one table or none: exploded, so that no later filter repeats the expression.
+    tables = found.select(*keys, "scope", "table_index", "first", "lines", F.explode_outer(F.array(laid)).alias("laid")).where("laid is not null")
+    return tables.select(*keys, "table_index", "laid.headers", "laid.rows", box.alias("bbox"), "scope", raw.alias("raw_text"), "first")

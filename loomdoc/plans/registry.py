@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..config import DEFAULT, LAYOUT_EXCLUDED, LAYOUT_LEVELS, LAYOUT_SCOPES, LAYOUT_SECTIONS, RetrievalConfig
+from ..config import DEFAULT, LAYOUT_EXCLUDED, LAYOUT_LEVELS, LAYOUT_SCOPES, LAYOUT_SECTIONS, RetrievalConfig, TableConfig
 from ..functions import text as T
 from ..operators import chunking, embedding, layout, ner, retrieval, store, tables, text_index, tree, vector
 from ..operators import table_entities as rows_of_tables
@@ -371,23 +371,87 @@ def table_regions(spark, d):
     return tables.regions(e, ["user_id"], "flag", "pos", 2)
 
 
-CELLS = "(0,'Course Code',10,0),(0,'Course Title',100,0),(0,'Credits',300,2),(0,'U18ECT3101',10,20),(0,'Digital Signal Processing',100,21),(0,'4',305,20),(0,'U18ECT3102',10,40),(0,'Control Systems',100,47),(0,'3',300,56),(0,'plain paragraph',10,90)"
-
-
-def _cells(spark):
-    return spark.sql(f"SELECT 1L AS doc_id, page, text, cast(x AS double) AS x0, cast(y AS double) AS y0, cast(x + 50 AS double) AS x1, cast(y + 10 AS double) AS y1 FROM VALUES {CELLS} AS t(page, text, x, y)")
-
-
-@query("SELECT * FROM (VALUES ('Course Code',0),('Course Title',0),('Credits',0),('U18ECT3101',1),('4',1),('Digital Signal Processing',1),('U18ECT3102',2),('Control Systems',2),('3',3),('plain paragraph',4)) t(text, row_index)")
+# Orders as printed pages: a title, headers on two orders of three, a row for each line. Cells of a line lie up to ten points lower than its begin, some are missing, some lines have a
+# code that is none or a name that is refused, and notes between the lines end a table.
+CELLS = r"""line AS (SELECT l_orderkey AS doc_id, CASE WHEN l_linenumber > 4 THEN 1 ELSE 0 END AS page, 40.0 + 20 * l_linenumber AS y, * FROM lineitem JOIN part ON p_partkey = l_partkey),
+cells AS (SELECT doc_id, page, text, CAST(x AS DOUBLE) AS x0, CAST(y AS DOUBLE) AS y0, CAST(x + 30 AS DOUBLE) AS x1, CAST(y + 10 AS DOUBLE) AS y1 FROM (
+SELECT o_orderkey AS doc_id, 0 AS page, CONCAT(' Order ', o_orderkey, ' ') AS text, 10 AS x, 0 AS y FROM orders
+UNION ALL SELECT o_orderkey, 0, CASE WHEN o_orderkey % 3 = 1 THEN 'Course  Code' ELSE 'Subject No' END, 10, 40 FROM orders WHERE o_orderkey % 3 <> 0
+UNION ALL SELECT o_orderkey, 0, CASE WHEN o_orderkey % 3 = 1 THEN 'Course Title' ELSE 'Remark' END, 100, 41 FROM orders WHERE o_orderkey % 3 <> 0
+UNION ALL SELECT o_orderkey, 0, 'Credits', 300, 43 FROM orders WHERE o_orderkey % 3 <> 0
+UNION ALL SELECT o_orderkey, 0, CASE WHEN o_orderkey % 2 = 1 THEN 'Hours' ELSE 'Credits' END, 360, 46 FROM orders WHERE o_orderkey % 3 <> 0
+UNION ALL SELECT o_orderkey, 0, CASE WHEN o_orderkey % 5 = 1 THEN 'Pre-req, prereq of it' ELSE 'Category' END, 420, 40 FROM orders WHERE o_orderkey % 3 <> 0
+UNION ALL SELECT doc_id, page, CASE WHEN l_returnflag = 'R' THEN CONCAT('No. ', l_partkey) ELSE CONCAT('P', LPAD(CAST(l_partkey AS VARCHAR(20)), 6, '0')) END, 10, y FROM line WHERE l_partkey % 17 <> 0
+UNION ALL SELECT doc_id, page, CASE WHEN l_partkey % 11 = 0 THEN 'HS 3 0 2 0' WHEN l_partkey % 11 = 1 THEN '3 0 2 0' WHEN l_partkey % 11 = 2 THEN '' ELSE p_name END, 100 + l_suppkey % 9, y + l_partkey % 4 FROM line WHERE l_partkey % 13 <> 0
+UNION ALL SELECT doc_id, page, CAST(CAST(l_quantity AS INT) AS VARCHAR(20)), 300 + l_suppkey % 15, y + l_suppkey % 11 FROM line WHERE l_partkey % 4 <> 0 OR l_linestatus = 'O'
+UNION ALL SELECT doc_id, page, CAST(l_linenumber AS VARCHAR(20)), 360, y + 2 FROM line WHERE l_partkey % 7 <> 0
+UNION ALL SELECT doc_id, page, p_type, 420, y + 1 FROM line WHERE l_partkey % 3 <> 0
+UNION ALL SELECT doc_id, page, CONCAT('a note on line ', l_linenumber), 10, y + 11 FROM line WHERE l_linenumber = 3 AND l_partkey % 2 = 0))"""
+
+
+def _cells(spark, d):
+    sides = {t: _t(spark, d, t) for t in ("orders", "lineitem", "part")}
+    body = CELLS
+    for t in sides:
+        body = body.replace(f"FROM {t} ", f"FROM {{{t}}} ").replace(f"JOIN {t} ", f"JOIN {{{t}}} ").replace(f"FROM {t}\n", f"FROM {{{t}}}\n")
+    return spark.sql(f"WITH {body} SELECT * FROM cells", **sides)
+
+
+def _regex(c: str, patterns, options: str = "i") -> str:
+    return "(" + " OR ".join(f"regexp_matches({c}, '{p}', '{options}')" for p in patterns) + ")"
+
+
+TC = TableConfig()
+LINED = f"""WITH {CELLS},
+clean AS (SELECT * REPLACE (regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text) FROM cells),
+piled AS (SELECT doc_id, page, list({{'y0': y0, 'x0': x0, 'x1': x1, 'y1': y1, 'text': text, 'anchor': (y0 + y1) / 2, 'row_index': 0}} ORDER BY y0, x0, x1, y1, text) AS cs FROM clean WHERE text <> '' GROUP BY doc_id, page),
+folded AS (SELECT doc_id, page, unnest(list_reduce(list_transform(cs, lambda c: [c]), lambda s, c: list_append(s, CASE WHEN abs(c[1].anchor - s[-1].anchor) > {TC.row_tolerance}
+  THEN struct_update(c[1], row_index := s[-1].row_index + 1) ELSE struct_update(c[1], anchor := s[-1].anchor, row_index := s[-1].row_index) END))) AS c FROM piled),
+rows_ AS (SELECT doc_id, page, c.* FROM folded),
+lined AS (SELECT doc_id, page, row_index, list(text ORDER BY x0, y0, text) AS texts FROM rows_ GROUP BY ALL),
+flagged AS (SELECT *, len(texts) >= {TC.min_columns} AND ({_regex("array_to_string(texts, ' ')", TC.indicators)} OR len(list_filter(texts, lambda t: regexp_matches(t, '{TC.code}'))) > 0 OR len(list_filter(texts, lambda t: regexp_matches(t, '^\\d+$'))) >= 2) AS flag FROM lined),
+isles AS (SELECT *, row_index - row_number() OVER (PARTITION BY doc_id, page, flag ORDER BY row_index) AS isle FROM flagged),
+areas AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, page ORDER BY first) - 1)::INT AS table_index FROM (SELECT doc_id, page, min(row_index) AS first, max(row_index) AS last FROM isles WHERE flag GROUP BY doc_id, page, isle HAVING count(*) >= {TC.min_rows})),
+inside AS (SELECT r.*, table_index, first FROM rows_ r JOIN areas a ON r.doc_id = a.doc_id AND r.page = a.page AND row_index BETWEEN first AND last),
+bounded AS (SELECT * FROM (SELECT doc_id, page, table_index, list_reduce(list_transform(list(x0 ORDER BY x0), lambda x: [x]), lambda b, x: CASE WHEN x[1] - b[-1] > {TC.column_gap} THEN list_concat(b, x) ELSE b END) AS bounds FROM inside GROUP BY ALL) WHERE len(bounds) >= {TC.min_columns}),
+placed AS (SELECT i.*, bounds, greatest(len(list_filter(bounds, lambda b: x0 >= b - {TC.column_slack})) - 1, 0)::INT AS col FROM inside i JOIN bounded USING (doc_id, page, table_index)),
+vals AS (SELECT doc_id, page, table_index, first, row_index, bounds, col, string_agg(text, ' ' ORDER BY x0, y0, text) AS value FROM placed GROUP BY ALL),
+maps AS (SELECT doc_id, page, table_index, first, row_index, bounds, map_from_entries(list((col, value))) AS m FROM vals GROUP BY ALL),
+heads AS (SELECT doc_id, page, table_index, list_transform(range(len(bounds)), lambda i: CASE WHEN {_regex("array_to_string(texts, ' ')", TC.headers)} AND m[i::INT] IS NOT NULL THEN trim(regexp_replace(m[i::INT], '\\s+', ' ', 'g')) ELSE 'Column_' || i END) AS headers
+  FROM maps JOIN lined USING (doc_id, page, row_index) WHERE row_index = first),
+body AS (SELECT doc_id, page, table_index, row_index, list_transform(list_filter(headers, lambda h, i: list_position(headers, h) = i), lambda h: {{'header': h, 'value':
+  coalesce(m[(list_filter(range(len(headers)), lambda j: headers[j + 1] = h)[-1])::INT], '')}}) AS cells FROM maps JOIN heads USING (doc_id, page, table_index) WHERE row_index > first OR headers[1] = 'Column_0')
+"""
+
+HAS = lambda *parts: "(" + " OR ".join(f"contains(lower(c.header), '{p}')" for p in parts) + ")"
+IS_CODE = f"regexp_matches(c.value, '{TC.code}')"
+KEYED = "regexp_replace(regexp_replace(lower(c.header), '\\s+', '_', 'g'), '^_+|_+$', '', 'g')"
+ENTITIES = f""",
+told AS (SELECT *, row_number() OVER () AS rid, list_reduce(list_prepend({{'header': '', 'value': '', 'code': NULL::VARCHAR, 'name': NULL::VARCHAR}}, list_transform(cells, lambda c: {{'header': c.header, 'value': c.value, 'code': NULL::VARCHAR, 'name': NULL::VARCHAR}})),
+  lambda s, c: {{'header': '', 'value': '', 'code': CASE WHEN c.value = '' THEN s.code WHEN {IS_CODE} THEN c.value WHEN {HAS('code')} AND s.code IS NULL THEN c.value ELSE s.code END,
+    'name': CASE WHEN c.value = '' OR {IS_CODE} OR ({HAS('code')} AND s.code IS NULL) THEN s.name WHEN {HAS('title', 'name', 'subject', 'course')} THEN c.value ELSE s.name END}}) AS f FROM body),
+pools AS (SELECT *, list_filter(cells, lambda c: length(c.value) > 5 AND c.value <> f.code AND NOT {_regex('c.value', rows_of_tables.NOT_A_CANDIDATE, 'c')}) AS pool FROM told WHERE f.code IS NOT NULL),
+longest AS (SELECT *, list_filter(pool, lambda c: regexp_matches(c.value, '[a-z]') OR length(c.value) > 15) AS good FROM pools),
+called AS (SELECT *, trim(regexp_replace(coalesce(f.name, list_reduce(list_transform(CASE WHEN len(good) > 0 THEN good ELSE pool END, lambda c: c.value), lambda a, b: CASE WHEN length(b) > length(a) THEN b ELSE a END, '')), '\\s+', ' ', 'g')) AS raw_name FROM longest),
+entities AS (SELECT *, coalesce(nullif(raw_name, ''), f.code) AS canonical_name FROM called WHERE raw_name = '' OR NOT ({_regex('raw_name', rows_of_tables.NOT_A_NAME, 'c')} OR length(raw_name) < 3)),
+entries AS (SELECT rid, unnest(list_transform(range(len(cells)), lambda i: {{'i': i, 'c': cells[i + 1]}}), recursive := false) AS e, canonical_name, f.code AS code FROM entities),
+used AS (SELECT rid, e.i AS i, {KEYED.replace('c.header', 'e.c.header')} AS key, e.c.value AS value FROM entries WHERE e.c.value <> '' AND e.c.value <> code AND e.c.value <> canonical_name),
+renamed AS (SELECT rid, i, value, CASE WHEN contains(key, 'credit') AND regexp_matches(value, '^\\d+$') THEN 'credits' WHEN contains(key, 'hour') AND regexp_matches(value, '^\\d+$') THEN 'hours' WHEN contains(key, 'prereq') THEN 'prerequisites' WHEN contains(key, 'cat') THEN 'category' ELSE key END AS key FROM used WHERE NOT starts_with(key, 'column_')),
+attributes AS (SELECT rid, string_agg(key || '=' || value, ';' ORDER BY key) AS attributes FROM (SELECT rid, key, arg_max(value, i) AS value FROM (SELECT * FROM renamed UNION ALL SELECT rid, -1, f.code, 'code' FROM entities) GROUP BY rid, key) GROUP BY rid)
+SELECT doc_id, page, table_index, canonical_name, f.code AS code, attributes FROM entities JOIN attributes USING (rid)"""
+
+
+@query(LINED + "SELECT doc_id, page, text, x0, y0, row_index FROM rows_")
 def row_groups(spark, d):
-    return tables.grouped_rows(_cells(spark)).select("text", "row_index")
+    return tables.grouped_rows(_cells(spark, d).withColumn("text", F.trim("text")).where("text <> ''")).select("doc_id", "page", "text", "x0", "y0", "row_index")
 
 
-@query("SELECT * FROM (VALUES ('Course Code',0),('Course Title',1),('Credits',2),('U18ECT3101',0),('Digital Signal Processing',1),('4',2),('U18ECT3102',0),('Control Systems',1),('3',2),('plain paragraph',0)) t(text, col)")
+@query(f"""WITH {CELLS}, b AS (SELECT doc_id, page, list_reduce(list_transform(list(x0 ORDER BY x0), lambda x: [x]), lambda b, x: CASE WHEN x[1] - b[-1] > 20 THEN list_concat(b, x) ELSE b END) AS bounds FROM cells GROUP BY ALL)
+SELECT doc_id, page, text, x0, y0, greatest(len(list_filter(bounds, lambda b: x0 >= b - 10)) - 1, 0)::INT AS col FROM cells JOIN b USING (doc_id, page)""")
 def column_assign(spark, d):
-    cells = _cells(spark)
-    bounds = cells.groupBy("doc_id", "page").agg(tables.boundaries(F.collect_list("x0"), 20.0).alias("bounds"))
-    return cells.join(bounds, ["doc_id", "page"]).select("text", tables.column_of(F.col("x0"), F.col("bounds"), 10.0).alias("col"))
+    pages = _cells(spark, d).groupBy("doc_id", "page").agg(F.collect_list(F.struct("text", "x0", "y0")).alias("cells"))
+    bounded = pages.withColumn("bounds", tables.boundaries(F.col("cells.x0"), 20.0))
+    return bounded.select("doc_id", "page", "bounds", F.inline("cells")).select("doc_id", "page", "text", "x0", "y0", tables.column_of(F.col("x0"), F.col("bounds"), 10.0).alias("col"))
 
 
 @query(r"""SELECT doc_id, count(*) AS n, sum(length(t)) AS chars, sha256(string_agg(t, '|')) AS digest FROM (SELECT page_id AS doc_id, regexp_replace(
@@ -504,10 +568,21 @@ def stream_ingest(spark, d):
 
 # --- tables to entities, embeddings
 
-@query("SELECT * FROM (VALUES ('Digital Signal Processing','U18ECT3101','4'),('Control Systems','U18ECT3102','3')) t(canonical_name, code, credits)")
+@query(LINED + ENTITIES)
 def table_entities(spark, d):
-    found = rows_of_tables.row_entities(rows_of_tables.table_rows(_cells(spark).where("text <> 'plain paragraph'").withColumn("y0", F.floor(F.col("y0") / 20) * 20).withColumn("y1", F.col("y0") + 10)))
-    return found.select("canonical_name", F.col("attributes")["code"].alias("code"), F.col("attributes")["credits"].alias("credits"))
+    found = rows_of_tables.tables_to_entities(tables.extract(_cells(spark, d)))
+    listed = F.array_join(F.array_sort(F.transform(F.map_entries("attributes"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    return found.select("doc_id", "page", "table_index", "canonical_name", F.col("attributes")["code"].alias("code"), listed.alias("attributes"))
+
+
+@query(LINED + """, listed AS (SELECT doc_id, page, table_index, string_agg(line, '/' ORDER BY row_index) AS rows, count(*) AS n_rows FROM (SELECT doc_id, page, table_index, row_index, array_to_string(list_transform(cells, lambda c: c.value), '|') AS line FROM body) GROUP BY ALL),
+boxes AS (SELECT doc_id, page, table_index, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM inside GROUP BY ALL),
+raws AS (SELECT doc_id, page, table_index, string_agg(array_to_string(texts, ' | '), chr(10) ORDER BY row_index) AS raw_text FROM lined JOIN (SELECT DISTINCT doc_id, page, table_index, row_index FROM inside) USING (doc_id, page, row_index) GROUP BY ALL)
+SELECT doc_id, page, table_index, array_to_string(headers, '|') AS headers, coalesce(n_rows, 0) AS n_rows, coalesce(rows, '') AS rows, x0, y0, x1, y1, raw_text FROM heads LEFT JOIN listed USING (doc_id, page, table_index) JOIN boxes USING (doc_id, page, table_index) JOIN raws USING (doc_id, page, table_index)""")
+def table_extract(spark, d):
+    found = tables.extract(_cells(spark, d))
+    lines = F.array_join(F.transform("rows", lambda row: F.array_join(F.transform(row, lambda c: c["value"]), "|")), "/")
+    return found.select("doc_id", "page", "table_index", F.array_join("headers", "|").alias("headers"), F.size("rows").cast("long").alias("n_rows"), lines.alias("rows"), "bbox.*", "raw_text")
 
 
 @query("SELECT doc_id AS id, 1.0::DOUBLE AS norm, 384::BIGINT AS dimension FROM documents")
@@ -607,9 +682,10 @@ def page_previews(spark, d):
     return _t(spark, d, "pages").select(F.col("page_id").alias("id"), T.basename(F.col("url")).alias("name"), T.preview(F.col("html")).alias("preview"))
 
 
-@query("SELECT 0 AS page, 10.0::DOUBLE AS x0, 0.0::DOUBLE AS y0, 355.0::DOUBLE AS x1, 100.0::DOUBLE AS y1, concat_ws(chr(10), 'Course Code | Course Title | Credits', 'U18ECT3101 | Digital Signal Processing | 4', 'U18ECT3102 | Control Systems', '3', 'plain paragraph') AS raw_text")
+@query(LINED + """SELECT doc_id, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, any_value(raw_text) AS raw_text FROM rows_
+JOIN (SELECT doc_id, page, string_agg(array_to_string(texts, ' | '), chr(10) ORDER BY row_index) AS raw_text FROM lined GROUP BY ALL) USING (doc_id, page) GROUP BY ALL""")
 def table_outlines(spark, d):
-    return tables.outlines(tables.grouped_rows(_cells(spark)), ["doc_id", "page"]).drop("doc_id")
+    return tables.outlines(tables.grouped_rows(_cells(spark, d).withColumn("text", F.trim("text")).where("text <> ''")), ["doc_id", "page"])
 
 
 QUESTIONS = "SELECT vec_id AS query_id, embedding, CASE WHEN vec_id % 40 = 0 THEN concat('List semester ', vec_id % 50 + 1) ELSE concat('What is ', p_name) END AS query FROM embeddings LEFT JOIN part ON p_partkey = vec_id WHERE vec_id % 20 = 0"
