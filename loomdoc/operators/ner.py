@@ -1,7 +1,8 @@
 """Entities by patterns.
 
-One pattern alone runs in the JVM: matches by regexp_extract_all, offsets from the gaps that split leaves. The whole set, whose
-overlap rule depends on the order of acceptance, runs as an Arrow function over whole texts.
+One pattern alone runs in the JVM: matches by regexp_extract_all, offsets from the gaps that split leaves. So does the whole set (`extract_by_rows`): its overlap
+rule depends on the order of acceptance, but only among spans that overlap, so that each such cluster is folded by itself. `extract` does the
+same as an Arrow function over whole texts, for patterns that only Python's expressions can say.
 """
 
 from __future__ import annotations
@@ -12,6 +13,9 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions.columns import bound
 
 # Name, type, confidence, priority, pattern; matching ignores case and is by line.
 PATTERNS = (
@@ -51,7 +55,9 @@ def pattern(name: str) -> str:
 
 
 #: What a text must hold for the pattern to match; patterns that begin with an open run are only tried on such texts.
-NEEDED = {"org_with_suffix": "(?i)inc|llc|ltd|corp|university|institute|college|hospital|foundation"}
+NEEDED = {"org_with_suffix": "(?i)inc|llc|ltd|corp|university|institute|college|hospital|foundation", "email": "@", "url": "://", "percentage": "%"}
+#: A match of organisations takes the last suffix of a run of letters, and begins with the run's first letter: any other place is refused at once, so that long runs aren't tried from each of their letters.
+ANCHORED = {"org_with_suffix": r"(?<![A-Za-z\s])\s*"}
 
 
 def matches(c: Column, regex: str, needed: str | None = None) -> Column:
@@ -115,3 +121,43 @@ def extract(docs: DataFrame, cfg: NerConfig = NerConfig()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=["doc_id", "found"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, found {SPAN}").select("doc_id", F.inline("found"))
+
+
+def _pieces(c: Column, order: int, name: str, regex: str) -> Column:
+    """Array of order, number k, length of the gap before, and match."""
+    regex = f"(?iUm){ANCHORED.get(name, '')}{regex}"
+    cut = lambda found: bound(F.split(c, regex, -1), lambda gaps: F.transform(found, lambda m, k: F.struct(F.lit(order).alias("order"), k.alias("k"), F.length(F.get(gaps, k)).alias("gap"), m.alias("m"))))
+    found = F.regexp_extract_all(c, F.lit(regex), 0)
+    some = bound(found, lambda f: F.when(F.size(f) > 0, cut(f)))
+    some = some if name not in NEEDED else F.when(c.rlike(NEEDED[name]), some)
+    return F.coalesce(some, F.array().cast("array<struct<order:int,k:int,gap:int,m:string>>"))
+
+
+def _first_come(spans: Column) -> Column:
+    """Spans in order of acceptance; one is refused if one of its ends lies in an accepted one."""
+    inside = lambda s, x: (s["begin"] >= x["begin"]) & (s["begin"] < x["end"]) | (s["end"] > x["begin"]) & (s["end"] <= x["end"])
+    none = F.array().cast("array<struct<order:int,begin:int,end:int,text:string>>")
+    return F.aggregate(spans, none, lambda acc, s: F.when(F.exists(acc, lambda x: inside(s, x)), acc).otherwise(F.concat(acc, F.array(s))))
+
+
+def extract_by_rows(docs: DataFrame, cfg: NerConfig = NerConfig()) -> DataFrame:
+    """What `extract` gives, by DataFrame functions alone: matches are rows, dealt once by document. Rows of docs are taken one by one,
+    those with the same doc_id or none too; texts that are null or empty give nothing. Custom patterns are read as Java reads them.
+    White space is Unicode's, without the four separators that Python counts besides (U+001C to U+001F)."""
+    chosen = cfg.patterns()
+    listed = lambda i: F.element_at(F.array(*(F.lit(p[i]) for p in chosen)), F.col("order") + 1)
+    among = lambda names: F.col("order").isin([i for i, p in enumerate(chosen) if p[0] in names])
+    pieces = F.flatten(F.array(*(_pieces(F.col("text"), i, p[0], p[4]) for i, p in enumerate(chosen))))
+    rows = docs.select("doc_id", "text").where("text <> ''").withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", F.explode_outer(pieces).alias("piece")).where("piece is not null")
+    rows = rows.select("row", "doc_id", "piece.*").repartition("row")
+    of_pattern, of_row = Window.partitionBy("row", "order").orderBy("k"), Window.partitionBy("row").orderBy("begin", "order")
+    bare = F.when(among(ANCHORED), F.regexp_replace("m", r"(?U)^\s+", "")).otherwise(F.col("m"))
+    placed = rows.withColumn("end", F.sum(F.col("gap") + F.length("m")).over(of_pattern).cast("int")).withColumn("m", bare).withColumn("begin", F.col("end") - F.length("m"))
+    squeezed = F.when(among(SQUEEZED + TITLED), F.trim(F.regexp_replace("m", r"(?U)\s+", " "))).otherwise(F.col("m"))
+    spans = placed.select("row", "doc_id", "order", "begin", "end", F.when(among(TITLED), F.initcap(squeezed)).otherwise(squeezed).alias("text")).where(F.length("text") >= cfg.min_length)
+    reached = F.max("end").over(of_row.rowsBetween(Window.unboundedPreceding, -1))
+    clustered = spans.withColumn("new", F.when(F.col("begin") >= reached, 1).otherwise(0)).withColumn("cluster", F.sum("new").over(of_row))
+    together = clustered.groupBy("row", "doc_id", "cluster").agg(F.array_sort(F.collect_list(F.struct("order", "begin", "end", "text"))).alias("spans"))
+    accepted = together.select("row", "doc_id", F.explode_outer(_first_come(F.col("spans"))).alias("s")).select("row", "doc_id", "s.*").withColumn("type", listed(1))
+    firsts = accepted.groupBy("row", "doc_id", "type", F.lower("text").alias("low")).agg(F.min(F.struct("order", "begin", "end", "text")).alias("s"))
+    return firsts.select("doc_id", "type", "s.*").select("doc_id", "type", "text", "begin", "end", listed(0).alias("pattern"), listed(2).alias("confidence"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import TableConfig
+from ..functions.columns import bound
 
 
 def grouped_rows(cells: DataFrame, cfg: TableConfig = TableConfig()) -> DataFrame:
@@ -96,11 +97,6 @@ def _page_rows(cells: Column, cfg: TableConfig) -> Column:
     return F.transform(F.aggregate(cells, zero, step, lambda s: s["rows"]), in_x)
 
 
-def bound(value: Column, use) -> Column:
-    """use(value) with the value computed once, however often `use` takes it inside functions of elements."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _runs(flags: Column, least: int) -> Column:
     """first and after (half-open) of each maximal run of true flags, of `least` or more. flags: a bound value."""
     n = F.size(flags)

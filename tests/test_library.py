@@ -76,6 +76,17 @@ def test_greedy_spans(spark):
     assert got == {1: [("code", "Kumar", 4, 9), ("person", "Dr. Kumar R", 0, 11)], 2: [("code", "Smith", 9, 14)], 3: [("code", "Kumar", 9, 14)], 4: [], 5: []}
 
 
+def test_extraction_by_rows_equals_row_by_row(spark):
+    """Whole texts of sf0.001, with repeated and null keys, null and empty texts, overlaps, white space before organisations, an extra column of a clashing name."""
+    texts = duckdb.connect().execute(f"select doc_id, text from '{DATA}/documents.parquet'").fetchall()
+    odd = ["\n\t The Acme Widgets Inc. and Foo\nUniversity of it, Bar  College", "3.5 credits 7% 12/3/2024 $1,200.50 (202) 555-0143 Jan. 3, 2024", "Dr. Kumar Rao, John  Roe PhD; NASA committee", "Acme Corp. Acme Corp. ACME CORP."]
+    texts += [(7, t) for t in odd] + [(None, t) for t in odd] + [(-1, None), (-2, ""), (-3, "a b\u00a0" * 3000 + "Inc")]
+    df = spark.createDataFrame([(*t, "x") for t in texts], "doc_id long, text string, row string").repartition(4)
+    want = sorted(map(repr, map(tuple, ner.extract(df).collect())))
+    assert sorted(map(repr, map(tuple, ner.extract_by_rows(df).collect()))) == want and len(want) > 20000
+    assert ner.extract_by_rows(df.limit(0)).collect() == []
+
+
 def test_organisations_in_runs():
     regex = re.compile(ner.pattern("org_with_suffix"), re.I | re.M)
     for text in ("The Acme Widgets Inc. and Foo\nUniversity, or a b c. none here at all", "x" * 50 + " college, corp. 7 Bar Ltd.", "Inc. LLC"):
