@@ -9,11 +9,12 @@
    own best container; without boilerplate. The winners are broadcast up to BROADCAST_PATHS paths, and joined by shuffle beyond.
 
 Boilerplate by its own marks: tags as nav and form, the attribute hidden, roles as navigation, and classes and ids that are called as BOILER_WORDS. A name made of
-several words, as related-posts, counts if one of them does, unless the element is also plainly called as MAIN_WORDS (class="post tag-social").
+several words, as related-posts, counts if one of them does, unless the element is also plainly called as MAIN_WORDS (class="post tag-social"). Where only one of DOUBTFUL_WORDS does, as in share-price, the name
+alone doesn't decide: half of the element's text has to be links, or its text has to repeat on the host.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined in page
 order by one space. Formulas (math) are text; scripts, styles, drawings and embedded objects are not. Null or empty html, and pages without text, give an empty text. Long pages
-are parsed whole, one at a time if need be. Pages without url share one host. Rows are never merged, repeated ones included; an empty table gives no rows; rows without
+are parsed whole, one at a time if need be, in linear time however broken they are. Pages without url share one host. Rows are never merged, repeated ones included; an empty table gives no rows; rows without
 page_id are extracted too, and extra columns are ignored, whatever their names.
 """
 
@@ -36,6 +37,9 @@ from .kernels import lean, slices
 #: Paths (winners and boilerplate) that are broadcast at most: 8 bytes each, and the winner's name.
 BROADCAST_PATHS = 200_000
 
+#: A path of more characters begins with a digest of what stands before its last name, so that deep pages take linear space.
+LONG_PATH = 2_000
+
 
 @dataclass(frozen=True)
 class Config:
@@ -46,14 +50,9 @@ class Config:
     host_percent: int = 1  # of the host's pages have a path that can be boilerplate
 
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|object|xmp|noembed|noframes|annotation|annotation-xml)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>"
-    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs2>[^>]*)>"
-    r"|<[!?/][^>]*>",
-    re.S | re.I,
-)
+OPEN = re.compile(r"<(?:(/?)([a-zA-Z][a-zA-Z0-9:-]*)|[!?/])")
+STOPS = re.compile(r"[\"'>]")
+RAW = frozenset("script style noscript template textarea title iframe svg object xmp noembed noframes annotation annotation-xml".split())
 ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 MARKS = re.compile(r"class|id|role|hidden", re.I)
 CONTAINERS = frozenset("html body main article section div td th table tbody tr ul ol dl center figure details blockquote header footer nav aside form menu dialog fieldset button select search address".split())
@@ -63,6 +62,8 @@ BOILER_TAGS = frozenset("head header footer nav aside form menu dialog fieldset
 BOILER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright dialog disqus footer footnav gdpr header masthead menu modal nav navbar navigation navi newsletter notice notices overlay pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe tags toolbar topbar widget widgets".split()
 )
+#: Words of prose as well: a name with one of these among others, as share-price, is boilerplate only if half of the element's text is links.
+DOUBTFUL_WORDS = frozenset("promotion recommended related search share sharing skip social sponsor tags".split())
 MAIN_WORDS = frozenset("article articlebody body content entry main post story text".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar toolbar alert".split())
 CLOSERS = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "tr": frozenset(["tr"])}
@@ -77,10 +78,69 @@ def digest(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+def tags(text: str):
+    """(begin, end, name, whether it ends an element, attributes) of each tag; the name is empty for comments and declarations. The contents of RAW elements belong to
+    their tag. A quote that is left open hides nothing: such a tag ends at the next >. Time is linear in the text, whatever is broken in it: the end of a tag is looked
+    up where an earlier tag came by the same quote, and past the last > only comments are looked for."""
+    last, at, ends, raw_ends = text.rfind(">"), 0, {}, {}
+
+    def end_of(start: int) -> int:
+        """The > that ends a tag, outside quotes; -1 if there is none."""
+        seen, i = [], start
+        while True:
+            m = STOPS.search(text, i)
+            if m is None:
+                found = -1
+            elif m[0] == ">":
+                found = m.start()
+            elif m.start() in ends:
+                found = ends[m.start()]
+            else:
+                seen.append(m.start())
+                i = text.find(m[0], m.end()) + 1
+                if i:
+                    continue
+                found = -1
+            for q in seen:
+                ends[q] = found
+            return found
+
+    while True:
+        m = OPEN.search(text, at) if at <= last else None
+        if m is None or m.start() > last:
+            break
+        begin, name = m.start(), (m[2] or "").lower()
+        if not name:
+            if text.startswith("<!--", begin):
+                end = text.find("-->", begin + 4)
+                at = end + 3 if end >= 0 else len(text)
+            else:
+                at = text.find(">", m.end()) + 1
+            yield begin, at, "", False, ""
+            continue
+        end = end_of(m.end())
+        plain = end < 0
+        if plain:
+            end = text.find(">", m.end())
+        attrs, at = text[m.end() : end], end + 1
+        if name in RAW and not m[1] and not plain:
+            if name not in raw_ends:
+                raw_ends[name] = re.compile(rf"</{name}\s*>", re.I)
+            close = raw_ends[name].search(text, at)
+            at = close.end() if close else len(text)
+            yield begin, at, "", False, ""
+        else:
+            yield begin, at, name, bool(m[1]), attrs
+    begin = text.find("<!--", at)
+    if begin >= 0:
+        yield begin, len(text), "", False, ""
+
+
 @functools.lru_cache(maxsize=4096)
-def marks(tag: str, attrs: str) -> tuple[str, bool, int]:
-    """Name (tag and classes, generalised), whether the element is boilerplate, and how plainly it is the article (0 to 2)."""
+def marks(tag: str, attrs: str) -> tuple[str, bool, bool, int]:
+    """Name (tag and classes, generalised), whether the element is boilerplate, whether it may be, and how plainly it is the article (0 to 2)."""
     name, boiler, main = tag, tag in BOILER_TAGS, 2 if tag == "article" else int(tag == "main")
+    doubtful = False
     if attrs and MARKS.search(attrs):
         exact, part, named = False, False, False
         for key, a, b, c in ATTR.findall(attrs):
@@ -99,22 +159,28 @@ def marks(tag: str, attrs: str) -> tuple[str, bool, int]:
                     exact |= low in BOILER_WORDS
                     named |= low in MAIN_WORDS
                     found = {p.lower() for p in NAME_PARTS.findall(x)}
-                    part |= bool(found & BOILER_WORDS)
+                    part |= bool(found & (BOILER_WORDS - DOUBTFUL_WORDS))
+                    doubtful |= bool(found & DOUBTFUL_WORDS)
                     main = max(main, int(bool(found & MAIN_WORDS)))
-        boiler |= (exact or part and not named) and tag not in ("html", "body", "article", "main")
-    return name, boiler, main
+        free = tag in ("html", "body", "article", "main")
+        boiler |= (exact or part and not named) and not free
+        doubtful &= not (boiler or named or free)
+    return name, boiler, doubtful, main
 
 
 class Page:
     """Nodes of a page: path, parent (-1: none), container (itself, or the one it stands in), boiler, main; and its blocks: (node, text, link characters)."""
 
-    __slots__ = ("path", "parent", "container", "boiler", "main", "blocks")
+    __slots__ = ("path", "parent", "container", "boiler", "doubtful", "main", "blocks")
 
     def __init__(self, text: str):
         self.path, self.parent, self.container, self.boiler, self.main = ["#"], [-1], [0], [False], [0]
+        self.doubtful: list[int] = []
         self.blocks: list[tuple[int, str, int]] = []
         stack: list[tuple[str, int]] = [("", 0)]  # open elements that are nodes, and their nodes
+        standing: Counter = Counter()  # how often each tag is in the stack
         mute: list[str] = []  # open inline elements that are boilerplate, and those within
+        muted: Counter = Counter()
         parts: list[str] = []
         links, in_link, formula, listing, at = 0, 0, 0, 0, 0
 
@@ -126,6 +192,7 @@ class Page:
                     self.blocks.append((stack[-1][1], block, links))
                 parts, links = [], 0
             mute.clear()
+            muted.clear()
 
         def words(piece: str):
             nonlocal links
@@ -135,44 +202,49 @@ class Page:
                 if in_link:
                     links += len(piece)
 
-        def close(tags: frozenset[str], until: frozenset[str] = frozenset()):
+        def close(names: frozenset[str], until: frozenset[str] = frozenset()):
             """Ends the innermost open element of these, and what is open within it."""
+            if not any(standing[x] for x in names):
+                return
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in tags:
+                if stack[i][0] in names:
+                    standing.subtract(x for x, _ in stack[i:])
                     del stack[i:]
                     return
                 if stack[i][0] in until:
                     return
 
-        for m in TOKEN.finditer(text):
-            words(text[at : m.start()])
-            at = m.end()
-            tag = m["tag"] or m["tag2"]
-            if tag is None:
+        for begin, end, tag, ends, attrs in tags(text):
+            words(text[at:begin])
+            at = end
+            if not tag:
                 continue
-            tag = tag.lower()
             block = tag in CONTAINERS or tag in LEAVES or tag in BREAKS
             if tag == "math":
-                formula = 0 if m["end"] or m["end2"] else 1
+                formula = 0 if ends else 1
             if tag in ("pre", "code"):  # the marks of a listing's words are its own
-                listing = 0 if m["end"] or m["end2"] else 1
-            if m["end"] or m["end2"]:
+                listing = 0 if ends else 1
+            if ends:
                 if tag == "a":
                     in_link = 0
                 if not block or formula:
-                    if mute and tag in mute:
-                        del mute[len(mute) - 1 - mute[::-1].index(tag) :]
+                    if muted[tag]:
+                        while True:
+                            inner = mute.pop()
+                            muted[inner] -= 1
+                            if inner == tag:
+                                break
                     continue
                 flush()
                 in_link = 0
                 close(frozenset([tag]), CONTAINERS if tag in LEAVES else frozenset())
                 continue
-            attrs = (m["attrs"] if m["tag"] else m["attrs2"]) or ""
             if not block or formula:
                 if tag == "a":
                     in_link = 1
-                if tag not in VOID and not listing and not attrs.endswith("/") and (mute or attrs and MARKS.search(attrs) and marks(tag, attrs)[1]):
+                if tag not in VOID and not listing and not attrs.endswith("/") and (mute or attrs and MARKS.search(attrs) and self._muted(tag, attrs)):
                     mute.append(tag)
+                    muted[tag] += 1
                 continue
             flush()
             in_link = 0
@@ -182,13 +254,40 @@ class Page:
                 close(CLOSERS[tag], LISTS)
             if tag in CONTAINERS and not attrs.endswith("/") or tag in LEAVES and MARKS.search(attrs):
                 stack.append((tag, self._open(tag, attrs, stack[-1][1])))
+                standing[tag] += 1
         words(text[at:])
         flush()
 
+        if self.doubtful:
+            self._judge()
+
+    @staticmethod
+    def _muted(tag: str, attrs: str) -> bool:
+        """Whether an inline element is boilerplate."""
+        _, boiler, doubtful, _ = marks(tag, attrs)
+        return boiler or doubtful and tag == "a"
+
+    def _judge(self):
+        """Nodes that may be boilerplate are if half of the text in them is links."""
+        size, linked = [0] * len(self.path), [0] * len(self.path)
+        for c, text, links in self.blocks:
+            size[c] += len(text)
+            linked[c] += links
+        for c in range(len(size) - 1, 0, -1):
+            size[self.parent[c]] += size[c]
+            linked[self.parent[c]] += linked[c]
+        for c in self.doubtful:
+            self.boiler[c] = self.boiler[c] or 2 * linked[c] >= size[c]
+        for c in range(1, len(size)):
+            self.boiler[c] = self.boiler[c] or self.boiler[self.parent[c]]
+
     def _open(self, tag: str, attrs: str, parent: int) -> int:
-        name, boiler, main = marks(tag, attrs)
+        name, boiler, doubtful, main = marks(tag, attrs)
         node = len(self.path)
-        self.path.append(f"{self.path[parent]}>{name}" if parent else name)
+        if doubtful:
+            self.doubtful.append(node)
+        path = f"{self.path[parent]}>{name}" if parent else name
+        self.path.append(path if len(path) <= LONG_PATH else f"{digest(path[:-len(name)]):x}>{name[-LONG_PATH // 2:]}")
         self.parent.append(parent)
         self.container.append(node if tag in CONTAINERS else self.container[parent])
         self.boiler.append(boiler or self.boiler[parent])
