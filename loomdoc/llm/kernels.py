@@ -36,6 +36,14 @@ def _pow(base: np.uint64, n: int, key: str) -> np.ndarray:
     return _powers[key][:n]
 
 
+def free_name(names: list[str], name: str) -> str:
+    """name, or a longer one, that no column is called."""
+    taken = {n.lower() for n in names}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits whose every output bit depends on every input bit."""
     x = x ^ (x >> np.uint64(33))

@@ -7,6 +7,9 @@
    these first ones are dealt by hash, sorted, and anchored to the very first. So a seed brings one row at most for each
    partition to its group, however many documents share it, and there are no pairs within groups. The second and
    later occurrences in one document are anchored both to the seed's first one and to that of the same number elsewhere.
+   A seed has one first holder only, so that a later copy of a passage whose parts stand here and there in earlier documents would share anchors with many documents and with
+   none enough. So couples of a document's shared seeds, up to `couple` apart, that are anchored to different documents are seeds as well, whatever stands
+   between them: they are anchored to their own first holder, which has both.
 3. Chains. The anchors of a pair of documents are sorted; the best local chains (each anchor worth its new words, gaps at
    a cost in their length and in their change of diagonal) are found with a Fenwick tree of prefix maxima, in n log n. Anchors in one run on one diagonal are a chain as they are.
 4. Alignment. A chain is aligned on the words themselves: matching runs along the diagonals, a longest common
@@ -38,7 +41,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..plans.scratch import dropped, written
-from .kernels import SPACED, Words, arrow_rows, lean, mix, slices, windows
+from .kernels import SPACED, Words, arrow_rows, free_name, lean, mix, slices, windows
 
 #: A set of ids up to this size is broadcast (8 bytes each); a larger one is joined by shuffle.
 BROADCAST_IDS = 2_000_000
@@ -55,6 +58,7 @@ class Config:
     max_gap: int = 48
     least_anchors: int = 2
     pad: int = 64
+    couple: int = 6
 
 
 def _slide(x: np.ndarray, n: int, pick) -> np.ndarray:
@@ -81,9 +85,18 @@ ANCHOR = "doc long, partner long, x int, y int"
 ANCHOR_ARROW = pa.schema([("doc", pa.int64()), ("partner", pa.int64()), ("x", pa.int32()), ("y", pa.int32())])
 
 
+def _firsts(h: np.ndarray, d: np.ndarray, *places: np.ndarray) -> tuple:
+    """Sorted by h, d and the first of places: h, d, places, whether a row is the first of its h, and the row that is."""
+    order = np.lexsort((places[0], d, h))
+    h, d, *places = (v[order] for v in (h, d, *places))
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    return h, d, places, new, np.flatnonzero(new)[np.cumsum(new) - 1]
+
+
 def _seeds(docs: DataFrame, cfg: Config) -> DataFrame:
-    """The first occurrence of each seed in a partition (h, doc, x), and the anchors of the others to it (doc, x, partner, y)."""
-    schema = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("x", pa.int32()), ("partner", pa.int64()), ("y", pa.int32())])
+    """Each occurrence of a seed (h, doc, x): the first one in a partition (partner is null; others: whether more documents there have it), and the others with that one (partner, y)."""
+    schema = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("x", pa.int32()), ("partner", pa.int64()), ("y", pa.int32()), ("others", pa.bool_())])
 
     def run(batches):
         hs, ds, xs = [], [], []
@@ -110,26 +123,74 @@ def _seeds(docs: DataFrame, cfg: Config) -> DataFrame:
             nth = np.arange(len(h)) - np.flatnonzero(~same)[np.cumsum(~same) - 1]
             own = mix(h[again] + nth[again].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             h, d, x = np.concatenate([h, own]), np.concatenate([d, d[again]]), np.concatenate([x, x[again]])
-            order = np.lexsort((x, d, h))
-            h, d, x = h[order], d[order], x[order]
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
-        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        h, d, (x,), new, first = _firsts(h, d, x)
+        late = d != d[first]
+        others = np.zeros(len(h), bool)
+        others[first[late]] = True
+        for a in range(0, len(h), 200_000):
+            s = slice(a, a + 200_000)
+            keep = new[s] | late[s]
+            head = new[s][keep]
+            yield arrow_rows(schema, [h[s][keep].view(np.int64), d[s][keep], x[s][keep], pa.array(d[first[s]][keep], mask=head), pa.array(x[first[s]][keep], mask=head), others[s][keep]])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc is not null and text is not null").mapInArrow(lean(run), "h long, doc long, x int, partner long, y int, others boolean")
+
+
+def _couples(shared: DataFrame, cfg: Config) -> DataFrame:
+    """Couples of seeds of one document that are anchored to different documents (shared: h, doc, x, partner; their own holder is anchored to itself): the first occurrence in a
+    partition (h, doc, x, x2) and the others with that one (partner, y, y2; h is null)."""
+    schema = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("x", pa.int32()), ("x2", pa.int32()), ("partner", pa.int64()), ("y", pa.int32()), ("y2", pa.int32())])
+
+    def run(batches):
+        parts, held = [], None
+
+        def coupled(h, d, x, p):
+            for j in range(1, cfg.couple + 1):
+                at = np.flatnonzero((d[j:] == d[:-j]) & (p[j:] != p[:-j]) & (x[j:] > x[:-j]) & (x[j:] - x[:-j] <= cfg.max_gap))
+                parts.append((mix(h[at] + mix(h[at + j]) * np.uint64(3)), d[at], x[at], x[at + j]))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [batch.column("h").to_numpy().view(np.uint64), *(batch.column(c).to_numpy() for c in ("doc", "x", "partner"))]
+            held = [np.concatenate(z) for z in zip(held, now)] if held else now
+            end = int(np.searchsorted(held[1], held[1][-1]))
+            if end:  # the last document may go on in the next batch
+                coupled(*(z[:end] for z in held))
+                held = [z[end:] for z in held]
+        if held:
+            coupled(*held)
+        if not parts:
+            return
+        h, d, (x, x2), new, first = _firsts(*(np.concatenate(z) for z in zip(*parts)))
         for a in range(0, len(h), 200_000):
             s = slice(a, a + 200_000)
             keep = new[s] | (d[s] != d[first[s]])
             head = new[s][keep]
-            yield arrow_rows(schema, [pa.array(h[s][keep].view(np.int64), mask=~head), d[s][keep], x[s][keep], pa.array(d[first[s]][keep], mask=head), pa.array(x[first[s]][keep], mask=head)])
+            f = first[s][keep]
+            yield arrow_rows(schema, [pa.array(h[s][keep].view(np.int64), mask=~head), d[s][keep], x[s][keep], x2[s][keep], pa.array(d[f], mask=head), pa.array(x[f], mask=head), pa.array(x2[f], mask=head)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc is not null and text is not null").mapInArrow(lean(run), "h long, doc long, x int, partner long, y int")
+    dealt = shared.repartition("doc").sortWithinPartitions("doc", "x")
+    return dealt.mapInArrow(lean(run), "h long, doc long, x int, x2 int, partner long, y int, y2 int")
 
 
-def anchors(docs: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame]:
-    """(doc, partner, x, y) with partner < doc, and the table to drop once they have been read."""
+def anchors(docs: DataFrame, cfg: Config) -> tuple[DataFrame, list[DataFrame]]:
+    """(doc, partner, x, y) with partner < doc, and the tables to drop once they have been read."""
     seeds = written(_seeds(docs, cfg), "seeds")
     by = Window.partitionBy("h").orderBy("doc", "x")
-    heads = seeds.where("h is not null").select("doc", "x", F.first("doc").over(by).alias("partner"), F.first("x").over(by).alias("y")).where("doc <> partner")
-    return seeds.where("h is null").select("doc", "partner", "x", "y").unionByName(heads.select("doc", "partner", "x", "y")), seeds
+    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = seeds.where("partner is null").select("h", "doc", "x", F.first("doc").over(whole).alias("partner"), F.first("x").over(whole).alias("y"), (F.max("others").over(whole) | (F.first("doc").over(whole) < F.last("doc").over(whole))).alias("shared"))
+    heads = written(heads.where("shared").drop("shared"), "heads")
+    found = seeds.where("partner is not null").select("h", "doc", "x", "partner", "y").unionByName(heads)
+    scattered = written(found.groupBy("doc").agg(F.min("partner").alias("a"), F.max("partner").alias("b")).where("a < b").select("doc"), "scattered")
+    several = found.select("h", "doc", "x", "partner")
+    if scattered.count() <= BROADCAST_IDS:  # the others give no couples: less to shuffle
+        several = several.join(F.broadcast(scattered), "doc", "left_semi")
+    couples = written(_couples(several, cfg), "couples")
+    first = couples.where("h is not null").select("doc", "x", "x2", *(F.first(c).over(by).alias(o) for c, o in (("doc", "partner"), ("x", "y"), ("x2", "y2")))).where("doc <> partner")
+    both = couples.where("h is null").select("doc", "x", "x2", "partner", "y", "y2").unionByName(first)
+    both = both.select("doc", "partner", F.inline(F.array(F.struct("x", "y"), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))))
+    return found.where("doc <> partner").select("doc", "partner", "x", "y").unionByName(both), [seeds, heads, scattered, couples]
 
 
 def _shared_runs(docs: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame]:
@@ -337,6 +398,9 @@ def _chain(anchored: DataFrame, cfg: Config) -> DataFrame:
             if not batch.num_rows:
                 continue
             now = [batch.column(k).to_numpy() for k in ("doc", "partner", "x", "y")]
+            new = np.ones(len(now[0]), bool)  # an anchor may have come by several seeds
+            new[1:] = np.logical_or.reduce([z[1:] != z[:-1] for z in now])
+            now = [z[new] for z in now]
             held = [np.concatenate(z) for z in zip(held, now)] if held else now
             d, p = held[0], held[1]
             end = int(np.flatnonzero((d != d[-1]) | (p != p[-1]))[-1]) + 1 if ((d != d[-1]) | (p != p[-1])).any() else 0
@@ -411,7 +475,7 @@ def passages(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
     """doc, partner (partner < doc), begin, end, partner_begin, partner_end (in words) and matches of each passage."""
     anchored, seeds = anchors(docs, cfg)
     chains = written(_chain(anchored, cfg), "chains")
-    dropped(seeds)
+    dropped(*seeds)
     shared, runs = _shared_runs(docs, cfg)
     places = written(shared, "places")
     dropped(runs)
@@ -470,15 +534,16 @@ def repeated(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 def deduplicated(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
     """docs without the repetitions: each removed span becomes one space; documents of which no word is left go. Other texts stay as they are."""
-    gone = written(_united(passages(docs, cfg).select("doc", "begin", "end")).select(F.col("doc").alias("doc_key__"), F.col("spans").alias("removed__")), "removed")
     names = docs.columns
+    key, spans_of = (free_name(names, n) for n in ("doc_key__", "removed__"))
+    gone = written(_united(passages(docs, cfg).select("doc", "begin", "end")).select(F.col("doc").alias(key), F.col("spans").alias(spans_of)), "removed")
     small = F.broadcast(gone) if gone.count() <= BROADCAST_IDS // 10 else gone
-    joined = docs.join(small, F.col("doc_id").cast("long") == F.col("doc_key__"), "left").select(*[docs[c] for c in names], "removed__")
+    joined = docs.join(small, F.col("doc_id").cast("long") == F.col(key), "left").select(*[docs[c] for c in names], spans_of)
 
     def run(batches):
         for batch in batches:
             for rows, raw, off in slices(batch):
-                spans = rows.column("removed__").to_pylist()
+                spans = rows.column(spans_of).to_pylist()
                 text, keep = rows.column("text"), np.ones(rows.num_rows, bool)
                 if any(spans):
                     w = Words(raw, off, SPACED)
