@@ -584,7 +584,8 @@ def stream_ingest(spark, d):
     """Streams the documents into a table partitioned by source, then counts what stands there."""
     base = scratch.new_path(spark, "stream")
     schema = _t(spark, d, "documents").schema
-    made = ingest.ingest(spark, d, schema, f"{base}/table", f"{base}/log", lambda s: s.select("doc_id", "text", F.col("source").alias("source_id")), glob="documents.parquet")
+    # as a pattern, so that a table of one file will do as well as a folder of many
+    made = ingest.ingest(spark, f"{d}/documents.parque[t]", schema, f"{base}/table", f"{base}/log", lambda s: s.select("doc_id", "text", F.col("source").alias("source_id")))
     return made.groupBy("source_id").agg(F.count("*").alias("n"))
 
 

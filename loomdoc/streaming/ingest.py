@@ -18,11 +18,12 @@ def replace_sources(spark: SparkSession, table: str, key: str = "source_id") ->
 
 
 def ingest(spark: SparkSession, path: str, schema, table: str, checkpoint: str, made: Callable[[DataFrame], DataFrame] = lambda d: d, key: str = "source_id", glob: str | None = None):
-    """Reads what is new under path, makes its rows and replaces their sources in table; ends when nothing is left."""
+    """Reads what is new under path (a folder, or a pattern of folders and files), makes its rows and replaces their sources in table; ends when nothing is left. Where nothing came the table is empty."""
     stream = spark.readStream.schema(schema)
     if glob:
         stream = stream.option("pathGlobFilter", glob)
     rows = made(stream.parquet(path)).where(F.col(key).isNotNull())
     query = rows.writeStream.foreachBatch(replace_sources(spark, table, key)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(table)
+    spark.createDataFrame([], rows.schema).write.mode("ignore").partitionBy(key).parquet(table)
+    return spark.read.schema(rows.schema).parquet(table)
