@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str = "id", order: str = "ord") -> DataFrame:
-    """new replaces old by key; of several new rows with a key the last counts."""
-    last = new.withColumn("n__", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("n__ = 1").drop("n__", order)
+def upsert(old: DataFrame, new: DataFrame, key: str = "id", order: str = "ord", ties: tuple[str, ...] = ()) -> DataFrame:
+    """new replaces old by key; of several new rows with a key the last counts, of those the first by `ties` (columns that are left out then)."""
+    last = new.withColumn("n__", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order), *ties))).where("n__ = 1").drop("n__", order, *ties)
     return old.join(last.select(key), key, "left_anti").select(*last.columns).unionByName(last)
 
 

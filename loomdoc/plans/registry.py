@@ -675,9 +675,9 @@ def entity_get(spark, d):
 @query("""SELECT id, type, source_entity_id, target_entity_id FROM (SELECT o_orderkey AS id, 'ordered' AS type, o_custkey AS source_entity_id, o_orderkey % 97 AS target_entity_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
 UNION ALL SELECT l_orderkey, 'holds', l_orderkey, arg_max(l_partkey, l_linenumber) FROM lineitem GROUP BY l_orderkey)""")
 def relation_upsert(spark, d):
-    """Of an order's lines the last one counts."""
-    new = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.lit("holds").alias("type"), F.col("l_orderkey").alias("source_entity_id"), F.col("l_partkey").alias("target_entity_id"), F.col("l_linenumber").alias("ord"))
-    return store.upsert(_orders(spark, d), new)
+    """Of an order's lines the last one counts, of several last ones the first in the table."""
+    new = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.lit("holds").alias("type"), F.col("l_orderkey").alias("source_entity_id"), F.col("l_partkey").alias("target_entity_id"), F.col("l_linenumber").alias("ord"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("line"))
+    return store.upsert(_orders(spark, d), new, ties=("file", "line"))
 
 
 @query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 2 END AS aliases, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_brand END AS brand, p_size % 5 AS page, CASE WHEN p_partkey % 2 = 0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS confidence, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE 2024 END AS year FROM part""")
