@@ -59,7 +59,7 @@ def entity_line(kind: Column, name: Column, attributes: Column, scope: Column) -
 def _firsts(entities: DataFrame, found: DataFrame, key: str, limit: int) -> DataFrame:
     """The first `limit` entities of each value of key in found (key, id): surest first, then by id."""
     best = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("confidence"), "id"))
-    return entities.join(found, "id").withColumn("place", best).where(F.col("place") <= limit)
+    return entities.join(found.hint("merge"), "id").withColumn("place", best).where(F.col("place") <= limit)  # entities of a small file aren't small: never broadcast
 
 
 def entity_hits(queries: DataFrame, entities: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), index: DataFrame | None = None) -> DataFrame:
@@ -75,7 +75,7 @@ def entity_hits(queries: DataFrame, entities: DataFrame, cfg: RetrievalConfig =
     listable = entities.where(F.col("type") == LISTED_TYPE)
     scopes = listable.select(F.coalesce("scope", F.lit("")).alias("id")).distinct()  # a scope is its own id, and is met by name
     met = text_index.containing(scopes.where("id <> ''").select("id", F.array(F.lower("id")).alias("texts")), lists.where("asked_scope <> ''").select(F.col("asked_scope").alias("term")))
-    of_scope = met.select(F.col("term").alias("asked_scope"), F.col("id").alias("scope__")).join(listable.select("id", F.coalesce("scope", F.lit("")).alias("scope__")), "scope__").select("asked_scope", "id")
+    of_scope = met.select(F.col("term").alias("asked_scope"), F.col("id").alias("scope__")).join(listable.select("id", F.coalesce("scope", F.lit("")).alias("scope__")).hint("merge"), "scope__").select("asked_scope", "id")
     any_scope = listable.select("id").withColumn("asked_scope", F.lit(""))  # where no scope is named
     listed = _firsts(listable, of_scope.unionByName(any_scope), "asked_scope", cfg.max_entities)
     listed = lists.select("query_id", "asked_scope").join(listed, "asked_scope").withColumn("term_place", F.lit(0)).drop("asked_scope")

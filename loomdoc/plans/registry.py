@@ -724,7 +724,7 @@ blocks AS (SELECT query_id, concat('=== Extracted Entities ===', chr(10), string
 
 
 def _questions(spark, d):
-    both = _points(spark, d).where("id % 20 = 0").join(_t(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name"), "id", "left")
+    both = _points(spark, d).where("id % 20 = 0").join(_t(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name").hint("merge"), "id", "left")
     return both.select(F.col("id").alias("query_id"), "embedding", F.when(F.col("id") % 40 == 0, F.concat(F.lit("List semester "), (F.col("id") % 50 + 1).cast("string"))).otherwise(F.concat(F.lit("What is "), "p_name")).alias("query"))
 
 
