@@ -54,15 +54,27 @@ def pattern(name: str) -> str:
     return next(p[4] for p in PATTERNS if p[0] == name)
 
 
-#: What a text must hold for the pattern to match; patterns that begin with an open run are only tried on such texts.
-NEEDED = {"org_with_suffix": "(?i)inc|llc|ltd|corp|university|institute|college|hospital|foundation", "email": "@", "url": "://", "percentage": "%"}
+#: What a text must hold for the pattern to match, read with the pattern's flags: it fails fast where the pattern would try an open run or many words from each letter.
+NEEDED = {
+    "org_with_suffix": "(?i)inc|llc|ltd|corp|university|institute|college|hospital|foundation",
+    "date_mdy": r"\s\d{1,2},?\s+\d{4}",
+    "email": "@",
+    "phone": r"\d{3}[-.\s]?\d{4}",
+    "url": "://",
+    "section_code": r"\s\d",
+    "name_with_suffix": r"\s(?:Jr|Sr|PhD|MD|MBA)",
+    "acronym_org": r"\s(?:standard|committee|organization|association)",
+    "date_dmy": r"\d[-/]\d",
+    "credit_hours": r"\d\s*(?:credit|hour|unit|point)",
+    "percentage": r"\d%",
+}
 #: A match of organisations takes the last suffix of a run of letters, and begins with the run's first letter: any other place is refused at once, so that long runs aren't tried from each of their letters.
 ANCHORED = {"org_with_suffix": r"(?<![A-Za-z\s])\s*"}
 
 
 def matches(c: Column, regex: str, needed: str | None = None) -> Column:
     found = F.regexp_extract_all(c, F.lit(f"(?iUm){regex}"), 0)
-    return found if needed is None else F.when(c.rlike(needed), found).otherwise(F.array().cast("array<string>"))
+    return found if needed is None else F.when(c.rlike(f"(?iUm){needed}"), found).otherwise(F.array().cast("array<string>"))
 
 
 def spans(c: Column, regex: str) -> Column:
@@ -77,12 +89,15 @@ SPAN = "array<struct<type:string,text:string,begin:int,end:int,pattern:string,co
 
 LETTER_RUN = re.compile(r"[A-Za-z\s]{2,}", re.I)
 SUFFIX = re.compile(NEEDED["org_with_suffix"])
+HELD = {pattern(name): re.compile(p, re.I | re.M) for name, p in NEEDED.items()}
 
 
 def _found(name: str, regex: re.Pattern, text: str):
     """regex.finditer(text); that of organisations is only tried in runs of letters that hold a suffix, as any other run fails from each of its letters anew."""
     if name != "org_with_suffix":
-        yield from regex.finditer(text)
+        held = HELD.get(regex.pattern)
+        if held is None or held.search(text):
+            yield from regex.finditer(text)
     elif SUFFIX.search(text):
         for run in LETTER_RUN.finditer(text):
             if SUFFIX.search(text, run.start(), run.end()):
@@ -125,11 +140,11 @@ def extract(docs: DataFrame, cfg: NerConfig = NerConfig()) -> DataFrame:
 
 def _pieces(c: Column, order: int, name: str, regex: str) -> Column:
     """Array of order, number k, length of the gap before, and match."""
-    regex = f"(?iUm){ANCHORED.get(name, '')}{regex}"
+    needed, regex = NEEDED.get(name) if regex in HELD else None, f"(?iUm){ANCHORED.get(name, '')}{regex}"
     cut = lambda found: bound(F.split(c, regex, -1), lambda gaps: F.transform(found, lambda m, k: F.struct(F.lit(order).alias("order"), k.alias("k"), F.length(F.get(gaps, k)).alias("gap"), m.alias("m"))))
     found = F.regexp_extract_all(c, F.lit(regex), 0)
     some = bound(found, lambda f: F.when(F.size(f) > 0, cut(f)))
-    some = some if name not in NEEDED else F.when(c.rlike(NEEDED[name]), some)
+    some = some if needed is None else F.when(c.rlike(f"(?iUm){needed}"), some)
     return F.coalesce(some, F.array().cast("array<struct<order:int,k:int,gap:int,m:string>>"))
 
 
