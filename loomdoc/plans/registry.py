@@ -412,11 +412,43 @@ UNION ALL SELECT doc_id, page, CONCAT('a note on line ', l_linenumber), 10, y +
 
 
 def _cells(spark, d):
-    sides = {t: _t(spark, d, t) for t in ("orders", "lineitem", "part")}
-    body = CELLS
-    for t in sides:
-        body = body.replace(f"FROM {t} ", f"FROM {{{t}}} ").replace(f"JOIN {t} ", f"JOIN {{{t}}} ").replace(f"FROM {t}\n", f"FROM {{{t}}}\n")
-    return spark.sql(f"WITH {body} SELECT * FROM cells", **sides)
+    """CELLS: the cells of a line, and those of an order's head, are made together, so that each table is read and joined once."""
+
+    def cell(when, text, x, y):
+        put = F.struct(text.cast("string").alias("text"), *(v.cast("double").alias(n) for n, v in (("x0", x), ("y0", y), ("x1", x + 30), ("y1", y + 10))))
+        return F.when(when, put)
+
+    def of(rows, *cells):
+        return rows.select("doc_id", "page", F.explode_outer(F.array(*cells)).alias("c")).where("c is not null").select("doc_id", "page", "c.*")
+
+    c, n = F.col, F.lit
+    part = _t(spark, d, "part").select(c("p_partkey").alias("l_partkey"), "p_name", "p_type")
+    line = _t(spark, d, "lineitem").join(part, "l_partkey").withColumns({"doc_id": c("l_orderkey"), "page": F.when(c("l_linenumber") > 4, 1).otherwise(0), "y": n(40) + n(20) * c("l_linenumber")})
+    k, s, y, number = c("l_partkey"), c("l_suppkey"), c("y"), c("l_linenumber")
+    digits = k.cast("string")
+    code = F.when(c("l_returnflag") == "R", F.concat(n("No. "), digits)).otherwise(F.concat(n("P"), F.lpad(digits, 6, "0")))
+    name = F.when(k % 11 == 0, "HS 3 0 2 0").when(k % 11 == 1, "3 0 2 0").when(k % 11 == 2, "").otherwise(c("p_name"))
+    lines = of(
+        line,
+        cell(k % 17 != 0, code, n(10), y),
+        cell(k % 13 != 0, name, 100 + s % 9, y + k % 4),
+        cell((k % 4 != 0) | (c("l_linestatus") == "O"), c("l_quantity").cast("int"), 300 + s % 15, y + s % 11),
+        cell(k % 7 != 0, number, n(360), y + 2),
+        cell(k % 3 != 0, c("p_type"), n(420), y + 1),
+        cell((number == 3) & (k % 2 == 0), F.concat(n("a note on line "), number.cast("string")), n(10), y + 11),
+    )
+    o = c("o_orderkey")
+    head, either = o % 3 != 0, lambda m, a, b: F.when(o % m == 1, a).otherwise(b)
+    heads = of(
+        _t(spark, d, "orders").select("o_orderkey", o.alias("doc_id"), n(0).alias("page")),
+        cell(n(True), F.concat(n(" Order "), o.cast("string"), n(" ")), n(10), n(0)),
+        cell(head, either(3, "Course  Code", "Subject No"), n(10), n(40)),
+        cell(head, either(3, "Course Title", "Remark"), n(100), n(41)),
+        cell(head, n("Credits"), n(300), n(43)),
+        cell(head, either(2, "Hours", "Credits"), n(360), n(46)),
+        cell(head, either(5, "Pre-req, prereq of it", "Category"), n(420), n(40)),
+    )
+    return heads.unionByName(lines)
 
 
 def _regex(c: str, patterns, options: str = "i") -> str:
