@@ -49,7 +49,7 @@ def unique_documents(documents: DataFrame, cfg: Config, read: Observation, kept:
     """doc_id, source_id, lang, text (cleaned) of the documents that say something, one for each text."""
     text = T.clean(F.coalesce("text", F.lit("")))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source_id"), F.coalesce("lang", F.lit("und")).alias("lang"), text.alias("text"))
-    why = F.when(F.col("doc_id").isNull(), "no_id").when(F.col("text") == "", "empty").when(T.low_signal(F.col("text"), cfg.min_words, cfg.alpha_share), "low_signal").otherwise("")
+    why = F.when(F.col("doc_id").isNull(), "no_id").when(F.col("text") == "", "empty").when(T.low_signal(F.col("text"), cfg.min_words, cfg.alpha_share, squeezed=True), "low_signal").otherwise("")
     rows = rows.withColumn("why", why).observe(read, F.count("*").alias("read"), *(F.count_if(F.col("why") == w).alias(w) for w in ("no_id", "empty", "low_signal")))
     first = rows.where("why = ''").groupBy(F.sha2("text", 256).alias("digest")).agg(F.min(F.struct("doc_id", "source_id", "lang", "text")).alias("d"))
     return first.select("d.*").observe(kept, F.count("*").alias("unique"))
@@ -58,10 +58,11 @@ def unique_documents(documents: DataFrame, cfg: Config, read: Observation, kept:
 def chunks(documents: DataFrame, cfg: Config) -> DataFrame:
     """Rows of CHUNKS of unique documents."""
     parts = chunking.packed(chunking.sentences(F.col("text")), cfg.max_chars, cfg.overlap_chars)
-    rows = documents.select("doc_id", "source_id", "lang", parts.alias("parts")).select("doc_id", "source_id", "lang", F.size("parts").cast("long").alias("total_chunks"), F.posexplode("parts").alias("chunk_index", "text"))
+    # an outer one, as Spark would pack twice more to see whether there are parts
+    rows = documents.select("doc_id", "source_id", "lang", parts.alias("parts")).select("doc_id", "source_id", "lang", F.size("parts").cast("long").alias("total_chunks"), F.posexplode_outer("parts").alias("chunk_index", "text")).where("text is not null")
     rows = rows.withColumn("chunk_hash", T.chunk_key(F.col("source_id"), F.col("text")))
     first = rows.groupBy("chunk_hash").agg(F.min(F.struct("doc_id", "chunk_index", "source_id", "lang", "total_chunks", "text")).alias("c")).select("chunk_hash", "c.*")
-    return first.select("chunk_hash", "source_id", "doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "total_chunks", F.length("text").cast("long").alias("char_count"), F.size(T.words(F.col("text"))).cast("long").alias("word_count"), "text", "lang")
+    return first.select("chunk_hash", "source_id", "doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "total_chunks", F.length("text").cast("long").alias("char_count"), T.n_words_squeezed(F.col("text")).cast("long").alias("word_count"), "text", "lang")
 
 
 def run(spark: SparkSession, documents: str, output: str, cfg: Config = Config()) -> dict[str, int]:

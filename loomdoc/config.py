@@ -13,7 +13,8 @@ LAYOUT_EXCLUDED = (r"^Page\s+\d+", r"^\d+$", r"^https?://")
 LAYOUT_LEVELS = ((r"(?i)^(?:CHAPTER|UNIT)\s+[IVXLCDM\d]+", 1), (r"(?i)^(?:SEMESTER|SEM|PART)\s+[IVXLCDM\d]+", 1), (r"^\d+\.\s+[A-Z]", 2), (r"^\d+\.\d+\s+[A-Z]", 3))
 SECTION_CATEGORIES = ("Title", "SectionHeader", "Header")
 EXCLUDED_CATEGORIES = ("Header", "Footer", "PageNumber")
-SENTENCE_END = r"(?<=[.!?。！？।])\s+"
+# White space after a mark; the white space is looked for first, as most characters are none.
+SENTENCE_END = r"\s(?<=[.!?。！？।]\s)\s*"
 LISTING_WORDS = ("semester", "course", "papers", "subjects", "list", "all", "what are")
 ENTITY_BLOCK, SECTION_BLOCK = "=== Extracted Entities ===", "\n=== Retrieved Document Sections ==="
 HIDDEN_ATTRIBUTES = ("pattern", "original_text")

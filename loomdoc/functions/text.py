@@ -2,28 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of c, where c is computed once however often f names it: it is the one element of an array."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
 
 
 def squeeze(c: Column) -> Column:
     """Runs of white space as one space, ends stripped."""
-    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
+    # a single space is no match, so that plain text has few; no other white space is left to strip then
+    return F.trim(F.regexp_replace(c, r"(?U)\s(?:\s+|(?<! ))", " "))
 
 
 def clean(c: Column) -> Column:
     """Leaders of dots (... or . . .) become a space, then white space is squeezed."""
-    return squeeze(F.regexp_replace(F.regexp_replace(squeeze(c), r"\.{3,}", " "), r"(?U)(\.\s){3,}", " "))
+    # one pattern for both kinds, as no dot of a run of three begins or ends a leader with spaces; most texts have neither
+    plain = lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, r"\.(?:\.{2,}|(?: \.){2,} )", " "), " {2,}", " "))
+    return once(squeeze(c), lambda t: F.when(t.contains("...") | t.contains(". . . "), plain(t)).otherwise(t))
 
 
 def words(c: Column) -> Column:
-    return F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
+    return F.array_remove(F.split(c, r"(?U)\s+"), "")
+
+
+def n_words_squeezed(c: Column) -> Column:
+    """The number of words of a text whose only white space is single spaces."""
+    t = F.trim(c)
+    return F.octet_length(t) - F.octet_length(F.replace(t, F.lit(" "))) + (t != "").cast("int")
 
 
 def title_case(c: Column) -> Column:
@@ -55,11 +70,11 @@ def chunk_scope(c: Column, patterns, longest: int = 100) -> Column:
     return F.when((F.length(c) <= longest) & found.isNotNull(), squeeze(F.upper(found)))
 
 
-def low_signal(c: Column, min_words: int = 20, share: float = 0.3) -> Column:
-    """Few words, or few of them of letters only."""
-    w = words(c)
-    alpha = F.size(F.filter(w, lambda x: x.rlike(r"^\p{L}+$")))
-    return (F.size(w) < min_words) | (alpha / F.greatest(F.size(w), F.lit(1)) < share)
+def low_signal(c: Column, min_words: int = 20, share: float = 0.3, squeezed: bool = False) -> Column:
+    """Few words, or few of them of letters only. Words of squeezed text are counted by its spaces."""
+    # a match is what is left of a word from its first character that is no letter: one for each word that has one
+    other = F.regexp_count(c, F.lit(r"(?U)[^\s\p{L}]\S*+"))
+    return once(n_words_squeezed(c) if squeezed else F.size(words(c)), lambda n: (n < min_words) | ((n - other) / F.greatest(n, F.lit(1)) < share))
 
 
 def basename(c: Column) -> Column:

@@ -48,18 +48,17 @@ def sentences(c: Column) -> Column:
 def packed(sentence: Column, max_chars: int, overlap: int) -> Column:
     """Sentences joined to parts of at most max_chars; each next part begins with the last `overlap` characters of the one before."""
 
+    # n is the length of `now`, which isn't counted anew for each sentence
+    to = lambda done, now, n: F.struct(done.alias("done"), now.alias("now"), n.alias("n"))
+
     def step(state, s):
-        fits = F.length(state["now"]) + F.length(s) + 1 <= max_chars
-        tail = F.when(F.length(state["now"]) > overlap, F.substring(state["now"], -overlap, overlap)).otherwise(state["now"])
-        lead = F.concat(tail, F.lit(" "), s) if overlap else s
-        return (
-            F.when(state["now"] == "", F.struct(state["done"].alias("done"), s.alias("now")))
-            .when(fits, F.struct(state["done"].alias("done"), F.concat(state["now"], F.lit(" "), s).alias("now")))
-            .otherwise(F.struct(F.concat(state["done"], F.array(state["now"])).alias("done"), lead.alias("now")))
-        )
+        done, now, n = state["done"], state["now"], state["n"]
+        lead = F.concat(F.substring(now, -overlap, overlap), F.lit(" "), s) if overlap else s
+        size = n + F.length(s) + 1
+        return F.when(n == 0, to(done, s, F.length(s))).when(size <= max_chars, to(done, F.concat(now, F.lit(" "), s), size)).otherwise(to(F.concat(done, F.array(now)), lead, F.length(lead)))
 
-    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
-    return F.aggregate(sentence, zero, step, lambda s: F.when(s["now"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["now"]))))
+    zero = to(F.array().cast("array<string>"), F.lit(""), F.lit(0))
+    return F.aggregate(sentence, zero, step, lambda s: F.when(s["n"] == 0, s["done"]).otherwise(F.concat(s["done"], F.array(s["now"]))))
 
 
 def hard_split(c: Column, max_chars: int) -> Column:
