@@ -19,10 +19,24 @@ def points(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
     return joined, np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), off
 
 
+def _mixed(cps: np.ndarray) -> np.ndarray:
+    return mix(cps.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+
+
+@functools.cache
+def _low() -> np.ndarray:
+    """_mixed of the code points below 0x10000."""
+    return _mixed(np.arange(0x10000))
+
+
 def span_hashes(cps: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     n = len(cps)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(mix(cps.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * _pow(MUL, n + 1, "mul")[:n], out=sums[1:])
+    each = _low()[np.minimum(cps, np.uint32(0xFFFF))]
+    high = np.flatnonzero(cps > 0xFFFF)
+    each[high] = _mixed(cps[high])
+    each *= _pow(MUL, n + 1, "mul")[:n]
+    np.cumsum(each, out=sums[1:])
     return mix((sums[end] - sums[start]) * _pow(INV, n + 1, "inv")[start] + (end - start).astype(np.uint64))
 
 
@@ -117,6 +131,48 @@ class Cache:
         return keys[order], np.concatenate([a[1], b[1]])[order], np.concatenate([a[2], b[2]])[order]
 
 
+class Slots:
+    """Runs of values by 64-bit hash, one key in each slot (the hash's low bits). A key that was found since its slot was last asked for keeps it once more, any other gives way:
+    memory is bounded, and rare keys don't drive out frequent ones. Keys are told by their 64-bit hashes alone."""
+
+    def __init__(self, dtype, bits: int = 20):
+        n = 1 << bits
+        self.mask = np.uint64(n - 1)
+        self.keys, self.begin, self.size, self.found = np.zeros(n, np.uint64), np.full(n, -1, np.int64), np.zeros(n, np.int32), np.zeros(n, bool)
+        self.pool, self.end = np.zeros(n, dtype), 0
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin in the pool (-1: missing) and length of each key; they hold until the next call."""
+        if self.end > 4 * len(self.keys):
+            self._compact()
+        slot = (keys & self.mask).astype(np.int64)
+        begin = np.where(self.keys[slot] == keys, self.begin[slot], -1)
+        self.found[slot[begin >= 0]] = True
+        return begin, self.size[slot]
+
+    def add(self, keys: np.ndarray, values: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """keys: distinct and missing so far. The begin of each, which holds until the next find even if the key got no slot."""
+        begin, end = self.end + np.cumsum(size) - size, self.end + len(values)
+        if end > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.end], np.zeros(max(end, 2 * self.end) - self.end, self.pool.dtype)])
+        self.pool[self.end : end] = values
+        self.end = end
+        slot = (keys & self.mask).astype(np.int64)
+        free = np.flatnonzero(~self.found[slot])
+        self.found[slot] = False
+        self.keys[slot[free]] = keys[free]
+        won = free[self.keys[slot[free]] == keys[free]]  # one of those that share a slot
+        self.begin[slot[won]], self.size[slot[won]] = begin[won], size[won]
+        return begin
+
+    def _compact(self) -> None:
+        live = np.flatnonzero(self.begin >= 0)
+        values, size = runs_of(self.pool, self.begin[live], self.size[live]), self.size[live].astype(np.int64)
+        self.begin[live] = np.cumsum(size) - size
+        self.end = len(values)
+        self.pool = np.concatenate([values, np.zeros(max(0, len(self.keys) - len(values)), values.dtype)])
+
+
 def runs_of(pool: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The pool's runs, one after the other."""
     size = size.astype(np.int64)
@@ -125,40 +181,52 @@ def runs_of(pool: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray
 
 
 class ByteLevelEncoder:
-    """Ids of whole texts as tokenizers gives them, from one call of the library for each new pre-token.
+    """Ids of whole texts as tokenizers gives them, from the library's of each new pre-token.
 
-    A text that holds a special token's string goes to the library whole.
+    A text that holds a special token's string goes to the library whole. New pre-tokens are given to it as the words of one text: a batch
+    would be dealt to threads, which costs more than it saves when every core has a task.
     """
 
+    #: Pre-tokens given to the library at once.
+    WORDS = 20_000
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.cache = Cache(self.dtype)
+        self.cache = Slots(self.dtype)
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words and their number in each."""
+        ids, size = [], []
+        for at in range(0, len(words), self.WORDS):
+            some = words[at : at + self.WORDS]
+            e = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(e.ids, self.dtype))
+            size.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(some)))
+        return np.concatenate(ids), np.concatenate(size)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids and the offset of each text's."""
-        whole = {i: self._library([t])[0] for i, t in enumerate(texts) if any(s in t for s in self.special)}
+        whole = {i: self._whole(t) for i, t in enumerate(texts) if any(s in t for s in self.special)}
         joined, cps, off = points(["" if i in whole else t for i, t in enumerate(texts)])
         start = byte_level_starts(cps, off)
         end = np.append(start[1:], len(cps))
-        keys, first, inverse = np.unique(span_hashes(cps, start, end), return_index=True, return_inverse=True)
+        keys = span_hashes(cps, start, end)
         begin, size = self.cache.find(keys)
         miss = np.flatnonzero(begin < 0)
         if len(miss):
-            self.cache.add(keys[miss], self._library([joined[start[p] : end[p]] for p in first[miss].tolist()]))
-            begin, size = self.cache.find(keys)
-            if (begin < 0).any():  # the cache was emptied
-                miss = np.flatnonzero(begin < 0)
-                self.cache.add(keys[miss], self._library([joined[start[p] : end[p]] for p in first[miss].tolist()]))
-                begin, size = self.cache.find(keys)
-        ids = runs_of(self.cache.pool, begin[inverse], size[inverse])
-        ends = np.concatenate([[0], np.cumsum(size[inverse])]).astype(np.int64)
+            new, first, inverse = np.unique(keys[miss], return_index=True, return_inverse=True)
+            first = miss[first]
+            values, n = self._words([joined[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())])
+            begin[miss], size[miss] = self.cache.add(new, values, n)[inverse], n[inverse]
+        ids = runs_of(self.cache.pool, begin, size)
+        ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
         ends = ends[np.searchsorted(start, off)]
         if whole:
             parts = [np.array(whole[i], self.dtype) if i in whole else ids[ends[i] : ends[i + 1]] for i in range(len(texts))]
