@@ -707,8 +707,9 @@ def entity_get(spark, d):
 @query("""SELECT id, type, source_entity_id, target_entity_id FROM (SELECT o_orderkey AS id, 'ordered' AS type, o_custkey AS source_entity_id, o_orderkey % 97 AS target_entity_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
 UNION ALL SELECT l_orderkey, 'holds', l_orderkey, arg_max(l_partkey, l_linenumber) FROM lineitem GROUP BY l_orderkey)""")
 def relation_upsert(spark, d):
-    """Of an order's lines the last one counts, of several last ones the first in the table."""
-    new = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.lit("holds").alias("type"), F.col("l_orderkey").alias("source_entity_id"), F.col("l_partkey").alias("target_entity_id"), F.col("l_linenumber").alias("ord"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("line"))
+    """Of an order's lines the last one counts, of several last ones the first in the table. Lines without a number or a part don't count; an order with no others has no part."""
+    part, number = F.col("l_partkey"), F.col("l_linenumber")
+    new = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.lit("holds").alias("type"), F.col("l_orderkey").alias("source_entity_id"), F.when(number.isNotNull(), part).alias("target_entity_id"), F.when(part.isNotNull(), number).alias("ord"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("line"))
     return store.upsert(_orders(spark, d), new, ties=("file", "line"))
 
 
