@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import TableConfig
+from ..functions.columns import bound
 from .tables import extract, header_key
 
 # What is no name.
@@ -17,21 +18,34 @@ NOT_A_CANDIDATE = (r"^[\d\s\-]+$", r"^[A-Z]{2,4}\s+\d", r"^\d+\s+\d+\s+\d+")
 NOT_A_NAME = (r"^[A-Z]{2,4}\s+\d", r"^\d[\d\s\-]+$")
 
 
+def _roles(headers: Column) -> Column:
+    """For each header: the keys of its attribute, for a number and for another value (null where it names nothing), and whether codes or names stand under it."""
+
+    def role(h):
+        def of(b):
+            low, key = b["low"], b["key"]
+            has = lambda *parts: F.greatest(*[low.contains(p) for p in parts], F.lit(False))
+            other = F.when(key.contains("prereq"), "prerequisites").when(key.contains("cat"), "category").otherwise(key)
+            number = F.when(key.contains("credit"), "credits").when(key.contains("hour"), "hours").otherwise(other)
+            named = ~key.startswith("column_")
+            return F.struct(F.when(named, number).alias("number"), F.when(named, other).alias("other"), has("code").alias("code"), has("title", "name", "subject", "course").alias("name"))
+
+        return bound(F.struct(F.lower(h).alias("low"), header_key(h).alias("key")), of)
+
+    return F.transform(headers, role)
+
+
 def _code_and_name(cells: Column, cfg: TableConfig) -> Column:
     none = F.lit(None).cast("string")
 
     def step(state, c):
-        head, value = F.lower(c["header"]), c["value"]
-        has = lambda *parts: F.greatest(*[head.contains(p) for p in parts], F.lit(False))
-        is_code = value.rlike(cfg.code)
-        code, name = state["code"], state["name"]
+        code, name, value = state["code"], state["name"], c["value"]
         out = lambda a, b: F.struct(a.alias("code"), b.alias("name"))
         return (
             F.when(value == "", out(code, name))
-            .when(is_code, out(value, name))
-            .when(has("code") & code.isNull(), out(value, name))
-            .when(has("title", "name"), out(code, value))
-            .when(has("subject", "course"), out(code, value))
+            .when(value.rlike(cfg.code), out(value, name))
+            .when(c["code"] & code.isNull(), out(value, name))
+            .when(c["name"], out(code, value))
             .otherwise(out(code, name))
         )
 
@@ -45,31 +59,57 @@ def _any(c: Column, patterns) -> Column:
     return out
 
 
+def _longest(cells: Column, code: Column) -> Column:
+    """The longest value that may be a name; those with small letters, or very long ones, come before others."""
+    candidates = F.filter(cells, lambda c: (F.length(c["value"]) > 5) & (c["value"] != code) & ~_any(c["value"], NOT_A_CANDIDATE))
+
+    def among(found):
+        good = F.filter(found, lambda c: c["value"].rlike("[a-z]") | (F.length(c["value"]) > 15))
+        pool = bound(good, lambda g: F.when(F.size(g) > 0, g).otherwise(found))
+        return F.aggregate(pool, F.lit(None).cast("string"), lambda best, c: F.when(best.isNull() | (F.length(c["value"]) > F.length(best)), c["value"]).otherwise(best))
+
+    return bound(candidates, among)
+
+
+def _attributes(cells: Column, code: Column, name: Column) -> Column:
+    """The code, and the other values by the key of their header; of several with one key the last counts."""
+    used = F.filter(cells, lambda c: (c["value"] != "") & (c["value"] != code) & (c["value"] != name) & c["other"].isNotNull())
+    entry = lambda c: F.struct(F.when(c["value"].rlike(r"^\d+$"), c["number"]).otherwise(c["other"]).alias("key"), c["value"].alias("value"))
+    entries = F.concat(*(x.cast("array<struct<key:string,value:string>>") for x in (F.array(F.struct(F.lit("code"), code)), F.transform(used, entry))))
+    last = lambda e: bound(F.reverse(e["key"]), lambda keys: F.filter(e, lambda x, i: F.size(keys) - F.array_position(keys, x["key"]) == i))
+    return F.map_from_entries(bound(entries, last))
+
+
 def row_entities(rows: DataFrame, cfg: TableConfig = TableConfig(), confidence: float = 0.9) -> DataFrame:
     """rows with cells (array of header, value): the other columns, type, canonical_name, attributes and confidence."""
-    keep = [c for c in rows.columns if c != "cells"]
-    found = rows.withColumn("f", _code_and_name(F.col("cells"), cfg)).where("f.code is not null")
-    code = F.col("f.code")
-    candidates = F.filter("cells", lambda c: (F.length(c["value"]) > 5) & (c["value"] != code) & ~_any(c["value"], NOT_A_CANDIDATE))
-    good = F.filter(candidates, lambda c: c["value"].rlike("[a-z]") | (F.length(c["value"]) > 15))
-    pool = F.when(F.size(good) > 0, good).otherwise(candidates)
-    longest = F.aggregate(pool, F.lit(None).cast("string"), lambda best, c: F.when(best.isNull() | (F.length(c["value"]) > F.length(best)), c["value"]).otherwise(best))
-    found = found.withColumn("n", F.trim(F.regexp_replace(F.coalesce("f.name", longest), r"\s+", " "))).where(F.col("n").isNull() | ~(_any(F.col("n"), NOT_A_NAME) | (F.length("n") < 3)))
-    name = F.coalesce("n", code)
-    used = F.filter("cells", lambda c: (c["value"] != "") & (c["value"] != code) & (c["value"] != name) & ~header_key(c["header"]).startswith("column_"))
+    return _entities(rows.withColumn("roles__", _roles(F.transform("cells", lambda c: c["header"]))), cfg, confidence)
+
+
+def _entities(rows: DataFrame, cfg: TableConfig, confidence: float = 0.9) -> DataFrame:
+    """row_entities() for rows with the roles of their cells' headers (roles__)."""
+    keep = [c for c in rows.columns if c not in ("cells", "roles__")]
+    cells = F.zip_with("cells", "roles__", lambda c, r: F.struct(c["value"].alias("value"), *(r[x].alias(x) for x in ("number", "other", "code", "name"))))
+
+    def of(cells):
+        def coded(f):
+            def called(n):
+                name = F.coalesce(n, f["code"])
+                made = bound(name, lambda name: F.struct(name.alias("canonical_name"), _attributes(cells, f["code"], name).alias("attributes")))
+                return F.when(n.isNull() | ~(_any(n, NOT_A_NAME) | (F.length(n) < 3)), made)
+
+            name = F.trim(F.regexp_replace(F.coalesce(f["name"], _longest(cells, f["code"])), r"\s+", " "))
+            return F.when(f["code"].isNotNull(), bound(name, called))
 
-    def entry(c):
-        key, digits = header_key(c["header"]), c["value"].rlike(r"^\d+$")
-        key = F.when(key.contains("credit") & digits, "credits").when(key.contains("hour") & digits, "hours").when(key.contains("prereq"), "prerequisites").when(key.contains("cat"), "category").otherwise(key)
-        return F.struct(key.alias("key"), c["value"].alias("value"))
+        return bound(_code_and_name(cells, cfg), coded)
 
-    last_wins = lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["key"]), F.map_from_arrays(F.array(e["key"]), F.array(e["value"])))
-    attributes = F.aggregate(F.transform(used, entry), F.map_from_arrays(F.array(F.lit("code")), F.array(code)), last_wins)
-    return found.select(*keep, F.lit("course").alias("type"), name.alias("canonical_name"), attributes.alias("attributes"), F.lit(confidence).alias("confidence"))
+    # An array of one entity or none: exploded, so that no filter repeats the expression.
+    made = rows.withColumn("cells__", cells).select(*keep, F.array(bound(F.col("cells__"), of)).alias("e__"))
+    found = made.withColumn("e__", F.explode_outer("e__")).where("e__ is not null")
+    return found.select(*keep, F.lit("course").alias("type"), "e__.canonical_name", "e__.attributes", F.lit(confidence).alias("confidence"))
 
 
-def _rows(tables: DataFrame) -> DataFrame:
-    return tables.select("doc_id", "page", "scope", "table_index", F.posexplode_outer("rows").alias("row_index", "cells")).where("cells is not null")
+def _rows(tables: DataFrame, *more: str) -> DataFrame:
+    return tables.select("doc_id", "page", "scope", "table_index", *more, F.posexplode_outer("rows").alias("row_index", "cells")).where("cells is not null")
 
 
 def table_rows(cells: DataFrame, cfg: TableConfig = TableConfig()) -> DataFrame:
@@ -79,4 +119,5 @@ def table_rows(cells: DataFrame, cfg: TableConfig = TableConfig()) -> DataFrame:
 
 def tables_to_entities(tables: DataFrame, cfg: TableConfig = TableConfig()) -> DataFrame:
     """Tables as `extract` gives them to the entities of their rows, with doc_id, page, scope, table_index and row_index."""
-    return row_entities(_rows(tables), cfg)
+    # what headers say is told once for each table
+    return _entities(_rows(tables.withColumn("roles__", _roles(F.array_distinct("headers"))), "roles__"), cfg)

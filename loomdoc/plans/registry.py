@@ -626,7 +626,7 @@ def stream_ingest(spark, d):
 @query(LINED + ENTITIES)
 def table_entities(spark, d):
     found = rows_of_tables.tables_to_entities(tables.extract(_cells(spark, d)))
-    listed = F.array_join(F.array_sort(F.transform(F.map_entries("attributes"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    listed = F.array_join(F.sort_array(F.transform(F.map_entries("attributes"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
     return found.select("doc_id", "page", "table_index", "canonical_name", F.col("attributes")["code"].alias("code"), listed.alias("attributes"))
 
 
